@@ -72,7 +72,7 @@ def hub_degrees(edges: DataFrame, rows: int = HUB_ROWS) -> DataFrame:
         .groupBy("x")
         .agg(F.count(F.lit(1)).alias("d"))
     )
-    ends = degrees.agg(F.sum("d").cast("double")).scalar()
+    ends = edges.agg(2.0 * F.count(F.lit(1))).scalar()
     return degrees.where(F.col("d") > F.least(ends / F.lit(float(rows)), F.sqrt(ends)))
 
 
