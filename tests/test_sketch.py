@@ -28,7 +28,7 @@ from triflux.operators.sketch import (
     top_k_error,
     top_k_estimates,
 )
-from triflux.plans.jobs import stream_report
+from triflux.plans.jobs import report_on_counts, report_on_items
 
 PARAMS = SketchParams.draw(5, 8, seed=11)
 EVEN = SketchParams.draw(4, 8, seed=12)
@@ -131,7 +131,8 @@ def test_small_stream(spark):
     counts = item_counts(items, 1, 3)
     assert {(r.item, r.n) for r in counts.collect()} == {(1, 3), (2, 2), (3, 1), (None, 1)}
     assert sorted(map(tuple, histogram_of(counts).collect())) == [(1, 3), (2, 2), (3, 1)]
-    report = stream_report(counts, PARAMS, 1).first()
+    report = report_on_counts(counts, PARAMS, 1).first()
+    assert report == report_on_items(items, 1, 3, PARAMS, 1).first()
     assert (report.n_total, report.n_in_range, report.n_distinct) == (7, 6, 3)
     assert report.f2 == 14 / 36
     built = count_sketch(hist, PARAMS, "f")
@@ -157,7 +158,7 @@ def test_fewer_items_than_k_and_empty_streams(spark):
     hist = histogram(frame(spark, [1, 1, 2]), 0, 10)
     assert kth_frequency(hist, 50).first().kf == 1
     assert at_least_kth(hist, 50).count() == 2
-    report = stream_report(item_counts(frame(spark, []), 0, 10), PARAMS, 3).first()
+    report = report_on_items(frame(spark, []), 0, 10, PARAMS, 3).first()
     assert tuple(report) == (0, 0, 0, None, None, None)
     with pytest.raises(ValueError):
         top_k(hist, 0)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from triflux.functions.hashing import SketchParams
 from triflux.operators.histogram import histogram, histogram_of, in_range
 from triflux.operators.sketch import count_sketch
-from triflux.plans.jobs import stream_report
-from triflux.operators.histogram import item_counts
+from triflux.plans.jobs import report_on_counts, report_on_items
 from triflux.sources.items import items_from, stream_files
 from triflux.streaming.partials import (
     drain,
@@ -56,8 +55,8 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = table(spark, source)
     hist = histogram(batch, LEFT, RIGHT)
     assert rows(histogram_of(counts).select("item", "f")) == rows(hist.select("item", "f"))
-    from_stream = stream_report(counts, PARAMS, 5).first()
-    assert from_stream == stream_report(item_counts(batch, LEFT, RIGHT), PARAMS, 5).first()
+    from_stream = report_on_counts(counts, PARAMS, 5).first()
+    assert from_stream == report_on_items(batch, LEFT, RIGHT, PARAMS, 5).first()
     assert from_stream.n_total == 8_000
 
 
@@ -115,7 +114,7 @@ def test_threshold_keeps_the_crossing_batch(spark, tmp_path):
     kept = prefix_batches(batch_totals(counts, "n"), 5_000)
     assert rows(kept) == [(0, 2_000, 0), (1, 2_000, 2_000), (2, 2_000, 4_000)]
     prefix = keep_prefix(counts, 5_000, "n")
-    assert stream_report(prefix, PARAMS, 5).first().n_total == 6_000
+    assert report_on_counts(prefix, PARAMS, 5).first().n_total == 6_000
 
 
 @pytest.mark.parametrize("block_bits", [0, 1, 3, 20])

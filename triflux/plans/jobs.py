@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triflux.functions.hashing import PRIME, SketchParams, check_positive, draw_runs
-from triflux.operators.histogram import histogram_of, second_moment
+from triflux.operators.histogram import histogram, histogram_of, second_moment
 from triflux.operators.sketch import count_sketch, normalised_estimate, top_k_error
 from triflux.operators.triangles import (
     count_by_triplets,
@@ -47,19 +47,34 @@ def count_triangles(
     return estimate_by_partitions(edges, colours, seed).withColumnRenamed("estimate", "triangles")
 
 
-def stream_report(counts: DataFrame, params: SketchParams, k: int) -> DataFrame:
-    """One row of statistics from the rows of ``item_counts``, whole or per batch.
+def stream_report(
+    hist: DataFrame, n_total: Column, params: SketchParams, k: int
+) -> DataFrame:
+    """One row: n_total, n_in_range, n_distinct, avg_err, f2, f2_est.
 
-    Columns: n_total, n_in_range, n_distinct, avg_err, f2, f2_est.
+    ``hist`` is the histogram in range and ``n_total`` the length of the whole
+    stream. The sketch is built from the histogram, so items are shuffled once.
     """
-    hist = histogram_of(counts)
     sketch = count_sketch(hist, params, "f")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     return second_moment(hist).select(
-        total.alias("n_total"),
+        n_total.alias("n_total"),
         "n_in_range",
         "n_distinct",
         top_k_error(hist, sketch, params, k).scalar().alias("avg_err"),
         "f2",
         normalised_estimate(sketch, params, hist).scalar().alias("f2_est"),
     )
+
+
+def report_on_items(
+    items: DataFrame, left: int, right: int, params: SketchParams, k: int
+) -> DataFrame:
+    """:func:`stream_report` on a table of items and a closed interval."""
+    n_total = items.agg(F.count(F.lit(1))).scalar()
+    return stream_report(histogram(items, left, right), n_total, params, k)
+
+
+def report_on_counts(counts: DataFrame, params: SketchParams, k: int) -> DataFrame:
+    """:func:`stream_report` on the rows of ``item_counts``, as written per batch."""
+    n_total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return stream_report(histogram_of(counts), n_total, params, k)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from triflux.functions.hashing import SketchParams
 from triflux.functions.scratch import scratch_path
 from triflux.operators import graph, histogram, sketch, triangles
-from triflux.plans.jobs import stream_report
+from triflux.plans.jobs import report_on_counts, report_on_items
 from triflux.sources.edges import edges_from, read_edge_text
 from triflux.sources.items import items_from, stream_files, time_batch
 from triflux.streaming import partials, prefix
@@ -130,9 +130,8 @@ def _second_moment_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return estimate.select(F.round("f2_est", 9).alias("f2_est"))
 
 
-def _report(counts: DataFrame) -> DataFrame:
+def _rounded(report: DataFrame) -> DataFrame:
     rounded = [F.round(x, d).alias(x) for x, d in (("avg_err", 6), ("f2", 9), ("f2_est", 9))]
-    report = stream_report(counts, PARAMS, K)
     return report.select("n_total", "n_in_range", "n_distinct", *rounded)
 
 
@@ -192,6 +191,10 @@ QUERIES: dict[str, Query] = {
     "top_k_error": _top_k_error,
     "second_moment": _second_moment,
     "second_moment_estimate": _second_moment_estimate,
-    "stream_summary": lambda s, d: _report(histogram.item_counts(_items(s, d), LEFT, RIGHT)),
-    "stream_summary_stream": lambda s, d: _report(_stream_counts(s, d)),
+    "stream_summary": lambda s, d: _rounded(
+        report_on_items(_items(s, d), LEFT, RIGHT, PARAMS, K)
+    ),
+    "stream_summary_stream": lambda s, d: _rounded(
+        report_on_counts(_stream_counts(s, d), PARAMS, K)
+    ),
 }

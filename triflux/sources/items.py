@@ -34,6 +34,10 @@ def stream_files(
 
 
 def time_batch(ts: str, seconds: int) -> Column:
-    """Number of the ``seconds``-long time slot since 1970 that a TIMESTAMP_NTZ falls in."""
-    epoch = F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)")
-    return F.floor(epoch / F.lit(seconds)).cast("bigint")
+    """Number of the ``seconds``-long slot since 1970 that a TIMESTAMP_NTZ falls in.
+
+    Read from the fields of the value, so the session time zone has no part in it.
+    """
+    days = F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    clock = F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
+    return F.floor((days * 86_400 + clock) / F.lit(seconds)).cast("bigint")

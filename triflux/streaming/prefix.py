@@ -33,7 +33,8 @@ def prior_totals(totals: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
         before = window.rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(column).over(before), zero)
 
-    batches = totals.select("batch", "n", block.alias("block"))
+    # The filter is the join's own, stated for both sides so that they share one shuffle.
+    batches = totals.select("batch", "n", block.alias("block")).where(block.isNotNull())
     blocks = batches.groupBy("block").agg(F.sum("n").alias("block_n"))
     base = blocks.select("block", earlier("block_n", "block").alias("base"))
     return batches.join(base, "block").select(
