@@ -82,7 +82,8 @@ def orient(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     Vertices that are not hubs share degree 0 and are ordered by id. The hub
     table has a proven bound, so it is broadcast and edges are not shuffled.
     """
-    hubs = hub_degrees(edges, hub_rows)
+    # Set apart first, so that the broadcast does not wait for the aggregation.
+    hubs = hub_degrees(edges, hub_rows).hint("rebalance")
     ends = edges.join(
         F.broadcast(hubs.select(F.col("x").alias("u"), F.col("d").alias("du"))), "u", "left"
     ).join(F.broadcast(hubs.select(F.col("x").alias("v"), F.col("d").alias("dv"))), "v", "left")
