@@ -84,16 +84,16 @@ def orient(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     """
     # Set apart first, so that the broadcast does not wait for the aggregation.
     hubs = hub_degrees(edges, hub_rows).hint("rebalance")
-    ends = edges.join(
-        F.broadcast(hubs.select(F.col("x").alias("u"), F.col("d").alias("du"))), "u", "left"
-    ).join(F.broadcast(hubs.select(F.col("x").alias("v"), F.col("d").alias("dv"))), "v", "left")
-    du, dv = F.coalesce("du", F.lit(0)), F.coalesce("dv", F.lit(0))
-    first = du <= dv  # u < v already holds, so a tie goes to u
-    return ends.select(
-        F.when(first, F.col("u")).otherwise(F.col("v")).alias("src"),
-        F.when(first, F.col("v")).otherwise(F.col("u")).alias("dst"),
-        F.when(first, du).otherwise(dv).alias("src_d"),
-        F.when(first, dv).otherwise(du).alias("dst_d"),
+    ends = edges.join(F.broadcast(hubs.selectExpr("x as u", "d as du")), "u", "left").join(
+        F.broadcast(hubs.selectExpr("x as v", "d as dv")), "v", "left"
+    )
+    # u < v already holds, so on equal degrees u comes first.
+    known = ends.selectExpr("u", "v", "coalesce(du, 0) as du", "coalesce(dv, 0) as dv")
+    return known.selectExpr(
+        "if(du <= dv, u, v) as src",
+        "if(du <= dv, v, u) as dst",
+        "if(du <= dv, du, dv) as src_d",
+        "if(du <= dv, dv, du) as dst_d",
     )
 
 
@@ -104,54 +104,50 @@ def closed_wedges(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     # Shuffled once, as plain rows, and read by both sides of the join.
     out = (
-        oriented.where(F.col("src").isNotNull())
+        oriented.where("src is not null")
         .repartition(*keys, "src")
         .groupBy(*keys, "src", F.col("src_d").alias("d"))
-        .agg(F.sort_array(F.collect_list(F.struct("dst_d", "dst"))).alias("out"))
-        .select(*keys, "src", "d", F.col("out.dst").alias("ids"), F.col("out.dst_d").alias("ds"))
+        .agg(F.expr("sort_array(collect_list(struct(dst_d, dst)))").alias("out"))
+        .selectExpr(*keys, "src", "d", "out.dst as ids", "out.dst_d as ds")
     )
-    # The last out-neighbour has none after it, so n arrays serve n + 1 of them.
-    blocks = F.sequence(F.lit(0), F.floor((F.size("ids") - 2) / F.lit(SEND_BLOCK)).cast("int"))
-    place = F.col("k") * SEND_BLOCK + F.col("i") + 1
+    # Block k serves SEND_BLOCK out-neighbours; the last neighbour has none after it.
+    blocks = f"sequence(0, cast((size(ids) - 2) div {SEND_BLOCK} as int))"
+    served = f"slice(ids, k * {SEND_BLOCK} + 1, {SEND_BLOCK})"
     sent = (
-        out.where(F.size("ids") > 1)
-        .select(*keys, "src", "ids", "ds", F.explode(blocks).alias("k"))
+        out.where("size(ids) > 1")
+        .selectExpr(*keys, "src", "ids", "ds", f"explode({blocks}) as k")
         .repartition(*keys, "src", "k")
-        .select(
-            "*",
-            F.posexplode(F.slice("ids", F.col("k") * SEND_BLOCK + 1, SEND_BLOCK)).alias("i", "mid"),
-        )
-        .where(place < F.size("ids"))
-        .select(
+        .selectExpr("*", f"posexplode({served}) as (i, mid)")
+        .selectExpr("*", f"k * {SEND_BLOCK} + i + 1 as place")
+        .where("place < size(ids)")
+        .selectExpr(
             *keys,
             "src",
             "mid",
-            F.pmod(F.xxhash64("src"), _salts(F.element_at("ds", place))).alias("salt"),
-            F.slice("ids", place + 1, F.size("ids")).alias("later"),
+            f"pmod(xxhash64(src), element_at(ds, place) div {SALT_ROWS} + 1) as salt",
+            "slice(ids, place + 1, size(ids)) as later",
         )
     )
-    kept = out.select(
-        *keys,
-        F.col("src").alias("mid"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), _salts(F.col("d")) - 1)).alias("salt"),
-        "ids",
+    kept = out.selectExpr(
+        *keys, "src as mid", f"explode(sequence(0L, d div {SALT_ROWS})) as salt", "ids"
     )
     # Neither side is bounded, and size estimates do not see what posexplode adds.
     return (
         sent.hint("merge")
         .join(kept, [*keys, "mid", "salt"])
-        .select(*keys, "src", "mid", F.array_intersect("later", "ids").alias("last"))
+        .selectExpr(*keys, "src", "mid", "array_intersect(later, ids) as last")
     )
 
 
-def _salts(degree: Column) -> Column:
-    return F.call_function("div", degree, F.lit(SALT_ROWS)) + 1
+def triangles_closed(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(*keys, triangles)`` that sum up to the triangles of each key."""
+    closed = closed_wedges(oriented, keys)
+    return closed.selectExpr(*keys, "cast(size(last) as bigint) as triangles")
 
 
-def triangle_counts(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """``(*keys, triangles)``; without keys one row, 0 when there is no triangle."""
-    total = F.coalesce(F.sum(F.size("last").cast("bigint")), F.lit(0).cast("bigint"))
-    return closed_wedges(oriented, keys).groupBy(*keys).agg(total.alias("triangles"))
+def total_triangles() -> Column:
+    """``sum(triangles)``, 0 where there are no rows."""
+    return F.coalesce(F.sum("triangles"), F.lit(0).cast("bigint"))
 
 
 def triangle_rows(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -20,14 +20,21 @@ from triflux.functions.hashing import (
     check_positive,
 )
 from triflux.functions.median import integer_median
-from triflux.operators.graph import canonical_edges, orient, triangle_counts, triangle_rows
+from triflux.operators.graph import (
+    canonical_edges,
+    orient,
+    total_triangles,
+    triangle_rows,
+    triangles_closed,
+)
 
 TRIPLET = ("k0", "k1", "k2")
 
 
 def count_exact(edges: DataFrame) -> DataFrame:
     """One row ``triangles``."""
-    return triangle_counts(orient(canonical_edges(edges)))
+    closed = triangles_closed(orient(canonical_edges(edges)))
+    return closed.agg(total_triangles().alias("triangles"))
 
 
 def list_triangles(edges: DataFrame) -> DataFrame:
@@ -51,10 +58,10 @@ def monochromatic_edges(
     )
 
 
-def _coloured_counts(
+def _coloured_triangles(
     edges: DataFrame, colours: int, runs: Sequence[tuple[int, int]], p: int
 ) -> DataFrame:
-    """``(run, colour, triangles)`` over the monochromatic edges of every run."""
+    """Rows ``(run, colour, triangles)`` from the monochromatic edges of every run."""
     check_positive(colours=colours, runs=len(runs))
     for a, b in runs:
         check_coefficients(a, b, p)
@@ -74,18 +81,24 @@ def _coloured_counts(
         ]
     )
     keyed = oriented.select("*", F.inline(per_run)).where(F.col("colour").isNotNull())
-    return triangle_counts(keyed, ("run", "colour"))
+    return triangles_closed(keyed, ("run", "colour"))
+
+
+def _summed(rows: DataFrame, key: str, values: int) -> DataFrame:
+    """``(key, triangles)`` for the keys 0 to values - 1, 0 where a key has no rows."""
+    zeros = rows.sparkSession.range(values).select(
+        F.col("id").cast(rows.schema[key].dataType).alias(key),
+        F.lit(0).cast("bigint").alias("triangles"),
+    )
+    counts = rows.select(key, "triangles").unionByName(zeros).groupBy(key)
+    return counts.agg(F.sum("triangles").alias("triangles"))
 
 
 def triangles_per_colour(
     edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME
 ) -> DataFrame:
     """``(colour, triangles)`` for every colour, 0 where it has no triangle."""
-    counts = _coloured_counts(edges, colours, [(a, b)], p)
-    every = edges.sparkSession.range(colours).select(F.col("id").alias("colour"))
-    return every.join(counts, "colour", "left").select(
-        "colour", F.coalesce("triangles", F.lit(0)).alias("triangles")
-    )
+    return _summed(_coloured_triangles(edges, colours, [(a, b)], p), "colour", colours)
 
 
 def estimate_by_colours(
@@ -95,13 +108,12 @@ def estimate_by_colours(
 
     With one colour the estimate is the exact count.
     """
-    counts = _coloured_counts(edges, colours, runs, p)
-    every = edges.sparkSession.range(len(runs)).select(F.col("id").cast("int").alias("run"))
-    scale = F.lit(colours).cast("bigint") * F.lit(colours).cast("bigint")
-    return (
-        every.join(counts.groupBy("run").agg(F.sum("triangles").alias("t")), "run", "left")
-        .select("run", (scale * F.coalesce("t", F.lit(0))).alias("estimate"))
-    )
+    counts = _summed(_coloured_triangles(edges, colours, runs, p), "run", len(runs))
+    return counts.select("run", (_squared(colours) * F.col("triangles")).alias("estimate"))
+
+
+def _squared(n: int) -> Column:
+    return F.lit(n).cast("bigint") * F.lit(n).cast("bigint")
 
 
 def median_estimate(estimates: DataFrame) -> DataFrame:
@@ -136,9 +148,8 @@ def estimate_by_partitions(
     keyed = (
         orient(canonical_edges(edges)).select("*", *ends).withColumn("part", part).drop("u", "v")
     )
-    scale = F.lit(parts).cast("bigint") * F.lit(parts).cast("bigint")
-    total = F.coalesce(F.sum("triangles"), F.lit(0).cast("bigint"))
-    return triangle_counts(keyed, ("part",)).agg((scale * total).alias("estimate"))
+    closed = triangles_closed(keyed, ("part",))
+    return closed.agg((_squared(parts) * total_triangles()).alias("estimate"))
 
 
 def _triplet_keys(
@@ -163,27 +174,28 @@ def triplet_edges(edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME
     return _triplet_keys(canonical_edges(edges), colours, a, b, p, "u", "v")
 
 
-def triangles_per_triplet(
-    edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME
+def _triangles_in_own_triplet(
+    edges: DataFrame, colours: int, a: int, b: int, p: int
 ) -> DataFrame:
-    """``(k0, k1, k2, triangles)``: triangles whose sorted colours are the key.
+    """Every triangle once, as ``(k0, k1, k2, u, v, w)`` with its sorted colours as key.
 
-    A triangle with two vertices of one colour is met under several keys; the
-    comparison with its own colours counts it under one.
+    A triangle with two vertices of one colour closes under several keys; the
+    comparison with its own colours keeps one.
     """
     keyed = _triplet_keys(orient(canonical_edges(edges)), colours, a, b, p, "src", "dst")
     own = F.array_sort(F.array(*[bucket_hash(F.col(x), a, b, colours, p) for x in "uvw"]))
-    return (
-        triangle_rows(keyed, TRIPLET)
-        .where(F.array(*TRIPLET) == own)
-        .groupBy(*TRIPLET)
-        .agg(F.count(F.lit(1)).alias("triangles"))
-    )
+    return triangle_rows(keyed, TRIPLET).where(F.array(*TRIPLET) == own)
+
+
+def triangles_per_triplet(
+    edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME
+) -> DataFrame:
+    """``(k0, k1, k2, triangles)`` for the colour triplets that have triangles."""
+    found = _triangles_in_own_triplet(edges, colours, a, b, p)
+    return found.groupBy(*TRIPLET).agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def count_by_triplets(edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME) -> DataFrame:
     """One row ``triangles``: the exact count, the same for all colours, a and b."""
-    per_key = triangles_per_triplet(edges, colours, a, b, p)
-    return per_key.agg(
-        F.coalesce(F.sum("triangles"), F.lit(0).cast("bigint")).alias("triangles")
-    )
+    found = _triangles_in_own_triplet(edges, colours, a, b, p)
+    return found.agg(F.count(F.lit(1)).alias("triangles"))
