@@ -164,7 +164,7 @@ def test_out_arrays_stay_short_on_a_star(spark):
 edge_lists = st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), max_size=120)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(edge_lists, st.integers(1, 5), st.integers(1, 8190), st.integers(0, 8190))
 def test_all_methods_against_brute_force(spark, edges, colours, a, b):
     df = frame(spark, edges)

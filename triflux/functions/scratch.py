@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -20,3 +20,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="triflux-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def keep_table(frame: DataFrame, name: str) -> DataFrame:
+    """Write a DataFrame once, below ``spark.checkpoint.dir``, and return the table.
+
+    For data that several jobs use. The table outlives executors, and a join of
+    it with itself shuffles it once, which it does not do for a cached DataFrame.
+    """
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

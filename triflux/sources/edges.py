@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triflux.functions.scratch import keep_table
+
 
 def _tokens(spark: SparkSession, path: str, partitions: int | None) -> DataFrame:
     lines = spark.read.text(path)
@@ -18,20 +19,21 @@ def read_edge_text(
     spark: SparkSession,
     path: str,
     partitions: int | None = None,
-    persist: bool = False,
+    keep: bool = False,
 ) -> DataFrame:
     """Edges ``(u, v)`` from text lines; tokens after the second are ignored.
 
     Any other line (blank, one token, not an integer) fails the job. Use
     :func:`read_edge_text_lenient` to set such lines aside instead.
     ``partitions`` fixes the partition count; by default Spark chooses it.
+    ``keep`` parses the text now, into a table that several runs can share.
     """
     t = F.col("t")
     edges = _tokens(spark, path, partitions).select(
         F.element_at(t, 1).cast("bigint").alias("u"),
         F.coalesce(F.try_element_at(t, F.lit(2)), F.lit("")).cast("bigint").alias("v"),
     )
-    return edges.persist(StorageLevel.MEMORY_AND_DISK) if persist else edges
+    return keep_table(edges, "edges") if keep else edges
 
 
 def read_edge_text_lenient(
