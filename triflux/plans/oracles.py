@@ -92,7 +92,8 @@ f2e as (
 def _batches() -> str:
     return f"""
 with items as (
-  select user_id item, cast(floor(epoch(date_trunc('second', ts)) / {BATCH_SECONDS}) as bigint) batch
+  select user_id item,
+         cast(floor(epoch(date_trunc('second', ts)) / {BATCH_SECONDS}) as bigint) batch
   from events),
 totals as (select batch, count(*) n from items group by 1),
 running as (

@@ -58,9 +58,10 @@ def drain(items: DataFrame, left: int, right: int, name: str = "partials") -> Da
     """
     spark = items.sparkSession
     root = scratch_path(spark, name)
-    query = write_partials(items, f"{root}/counts", f"{root}/offsets", left, right, availableNow=True)
+    counts, offsets = f"{root}/counts", f"{root}/offsets"
+    query = write_partials(items, counts, offsets, left, right, availableNow=True)
     query.awaitTermination()
-    return read_partials(spark, f"{root}/counts")
+    return read_partials(spark, counts)
 
 
 def running(table: DataFrame, path: str, checkpoint: str, **trigger: str | bool) -> StreamingQuery:
