@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triflux.llm import packing, token_files
+from triflux.llm import mixing, packing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": lambda s, d: token_files.token_digest(s, _documents(s, d)),
     "op4_best_fit_packing": lambda s, d: packing.pack(_documents(s, d))[1],
+    "op7_source_mixing": lambda s, d: mixing.mix_report(_documents(s, d)),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_source_mixing": mixing.SQL}
