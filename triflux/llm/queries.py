@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triflux.llm import langid, mixing, packing, secret_scan, token_files
+from triflux.llm import langid, mixing, near_dup, packing, secret_scan, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_files": lambda s, d: token_files.token_digest(s, _documents(s, d)),
     "op2_secret_scan": lambda s, d: secret_scan.scan(_documents(s, d)),
     "op4_best_fit_packing": lambda s, d: packing.pack(_documents(s, d))[1],
+    "op5_near_duplicates": lambda s, d: near_dup.near_duplicates(_documents(s, d), words=4),
     "op7_source_mixing": lambda s, d: mixing.mix_report(_documents(s, d)),
     "op9_language_id": lambda s, d: langid.identify(_documents(s, d)),
 }
