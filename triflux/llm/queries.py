@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triflux.llm import langid, mixing, near_dup, packing, secret_scan, token_files
+from triflux.llm import (
+    fingerprints,
+    langid,
+    mixing,
+    near_dup,
+    packing,
+    secret_scan,
+    token_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +30,7 @@ QUERIES: dict[str, Query] = {
     "op5_near_duplicates": lambda s, d: near_dup.near_duplicates(_documents(s, d), words=4),
     "op7_source_mixing": lambda s, d: mixing.mix_report(_documents(s, d)),
     "op9_language_id": lambda s, d: langid.identify(_documents(s, d)),
+    "op10_fingerprints": lambda s, d: fingerprints.edited_fingerprints(_documents(s, d)),
 }
 
 ORACLES: dict[str, str] = {"op7_source_mixing": mixing.SQL}
