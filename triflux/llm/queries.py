@@ -14,6 +14,7 @@ from triflux.llm import (
     packing,
     secret_scan,
     token_files,
+    top_k,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +24,15 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def _top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return top_k.top_k(vectors, vectors.where(top_k.is_query()))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": lambda s, d: token_files.token_digest(s, _documents(s, d)),
     "op2_secret_scan": lambda s, d: secret_scan.scan(_documents(s, d)),
+    "op3_top_k_search": _top_k,
     "op4_best_fit_packing": lambda s, d: packing.pack(_documents(s, d))[1],
     "op5_near_duplicates": lambda s, d: near_dup.near_duplicates(_documents(s, d), words=4),
     "op7_source_mixing": lambda s, d: mixing.mix_report(_documents(s, d)),
@@ -33,4 +40,7 @@ QUERIES: dict[str, Query] = {
     "op10_fingerprints": lambda s, d: fingerprints.edited_fingerprints(_documents(s, d)),
 }
 
-ORACLES: dict[str, str] = {"op7_source_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {
+    "op3_top_k_search": top_k.SQL,
+    "op7_source_mixing": mixing.SQL,
+}
