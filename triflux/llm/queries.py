@@ -12,6 +12,7 @@ from triflux.llm import (
     mixing,
     near_dup,
     packing,
+    pii,
     secret_scan,
     token_files,
     top_k,
@@ -35,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op3_top_k_search": _top_k,
     "op4_best_fit_packing": lambda s, d: packing.pack(_documents(s, d))[1],
     "op5_near_duplicates": lambda s, d: near_dup.near_duplicates(_documents(s, d), words=4),
+    "op6_personal_data": lambda s, d: pii.scan(_documents(s, d)),
     "op7_source_mixing": lambda s, d: mixing.mix_report(_documents(s, d)),
     "op9_language_id": lambda s, d: langid.identify(_documents(s, d)),
     "op10_fingerprints": lambda s, d: fingerprints.edited_fingerprints(_documents(s, d)),
