@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from triflux.llm import (
     fingerprints,
     langid,
+    licenses,
     mixing,
     near_dup,
     packing,
@@ -38,6 +39,7 @@ QUERIES: dict[str, Query] = {
     "op5_near_duplicates": lambda s, d: near_dup.near_duplicates(_documents(s, d), words=4),
     "op6_personal_data": lambda s, d: pii.scan(_documents(s, d)),
     "op7_source_mixing": lambda s, d: mixing.mix_report(_documents(s, d)),
+    "op8_license_scan": lambda s, d: licenses.scan(_documents(s, d)),
     "op9_language_id": lambda s, d: langid.identify(_documents(s, d)),
     "op10_fingerprints": lambda s, d: fingerprints.edited_fingerprints(_documents(s, d)),
 }
