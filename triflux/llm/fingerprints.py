@@ -145,11 +145,19 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         F.col("key").alias("to"),
         F.floor(F.col("n_chars") / 4).cast("int").alias("n"),
     )
+    # Both uses take the same columns, or Spark would shuffle the texts for each.
     sent = sketched.join(sends, list(_KEY)).select(
-        "to", F.col("text").substr(F.lit(1), F.col("n")).alias("begin"), "sketch"
+        "to",
+        F.col("text").substr(F.lit(1), F.col("n")).alias("begin"),
+        "sketch",
+        "doc_id",
+        F.col("n_chars").alias("n_next"),
     )
     begins = sent.groupBy(*[F.col(f"to.{k}").alias(k) for k in _KEY]).agg(
-        F.first("begin").alias("begin"), F.first("sketch").alias("next_sketch")
+        F.first("begin").alias("begin"),
+        F.first("sketch").alias("next_sketch"),
+        F.first("doc_id").alias("next_id"),
+        F.first("n_next").alias("next_n_chars"),
     )
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     met = sketched.join(begins, list(_KEY)).select(
@@ -157,6 +165,8 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         "n_chars",
         "sketch",
         "next_sketch",
+        "next_id",
+        "next_n_chars",
         F.concat(F.col("text").substr(F.lit(1), kept), "begin").alias("edited"),
     )
     both = with_sketch(met, "edited", "edited_sketch", words)
@@ -168,4 +178,6 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         as_text("edited_sketch").alias("edited_fingerprint"),
         resemblance("sketch", "edited_sketch").alias("near_edited"),
         resemblance("sketch", "next_sketch").alias("near_next"),
+        "next_id",
+        F.col("next_n_chars").cast("long").alias("next_n_chars"),
     )
