@@ -30,6 +30,7 @@ TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "mit-line": "Released under the MIT License.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0-line": (
         "This work is licensed under the Creative Commons Attribution 4.0 International License."
     ),
