@@ -3,8 +3,8 @@
 Everything is DataFrame functions. Positions come from two arrays: the matches of
 a pattern and the gaps between them, whose lengths add up to code points.
 
-Generators propose number-like and address-like spans, which overlap each other
-and the fixed formats. Trees see their format and context, but not the checks of
+Generators propose number-like and address-like spans, which may overlap each
+other, besides those of the fixed formats. Trees see their format and context, but not the checks of
 the fixed formats (checksums, ranges), and learn from a bounded sample which of
 them those formats confirm. A candidate that no format confirms is added where
 its score is so high that at least ``PRECISION`` of the candidates with that score
@@ -17,6 +17,7 @@ match ended, which changes no match, so that long runs take linear time.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -49,12 +50,14 @@ SAMPLE = 20_000
 PRECISION = 0.99
 N_FEATURES = 10
 _SLOTS = 1 << 20
+#: A noncharacter that no generator takes.
+MASK = "\uffff"
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def _spans(text: str, pattern: str, hint: Column) -> Column:
-    """Start, end and text of each match; ``hint`` says cheaply where there may be one."""
+def _matches(text: str, pattern: str, hint: Column) -> Column:
+    """The matches of a pattern; ``hint`` says cheaply where there may be one."""
     return F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
@@ -83,37 +86,68 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step) % 10 == 0
 
 
-def _good_ip(x: Column) -> Column:
-    return x["value"].rlike(rf"^{PART}(?:\.{PART}){{3}}$")
+def _good_ip(value: Column) -> Column:
+    return value.rlike(rf"^{PART}(?:\.{PART}){{3}}$")
 
 
-def _good_card(x: Column) -> Column:
-    digits = F.regexp_replace(x["value"], "[ -]", "")
+def _good_card(value: Column) -> Column:
+    digits = F.regexp_replace(value, "[ -]", "")
     return F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(False)
 
 
-def _good_phone(x: Column) -> Column:
-    return F.length(F.regexp_replace(x["value"], "[^0-9]", "")).between(8, 15)
+def _good_phone(value: Column) -> Column:
+    return F.length(F.regexp_replace(value, "[^0-9]", "")).between(8, 15)
+
+
+def _passing(check: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: check(x["value"])
+
+
+def _masking(check: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda v: F.when(check(v), F.repeat(F.lit(MASK), F.length(v))).otherwise(v)
+
+
+FORMATS = (
+    (EMAIL, lambda value: F.lit(True)),
+    (IP, _good_ip),
+    (CARD, _good_card),
+    (PHONE, _good_phone),
+)
 
 
 def with_base_spans(frame: DataFrame) -> DataFrame:
     """``frame`` with ``_text`` (null: empty) and the spans of each base format, ``_base0`` on."""
     out = frame.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     digit = F.col("_text").rlike("[0-9]")
-    at = F.instr("_text", "@") > 0
-    plus = F.instr("_text", "+") > 0
-    checks = (lambda x: F.lit(True), _good_ip, _good_card, _good_phone)
-    for k, (pattern, hint) in enumerate(
-        ((EMAIL, at), (IP, digit), (CARD, digit), (PHONE, plus & digit))
-    ):
-        out = _with_places(out, pattern, hint, f"_base{k}")
-        out = out.withColumn(f"_base{k}", F.filter(f"_base{k}", checks[k]))
+    hints = (F.instr("_text", "@") > 0, digit, digit, F.instr("_text", "+") > 0)
+    for k, (pattern, check) in enumerate(FORMATS):
+        out = _with_places(out, "_text", pattern, hints[k], f"_base{k}")
+        out = out.withColumn(f"_base{k}", F.filter(f"_base{k}", _passing(check)))
     return out
 
 
-def _with_places(frame: DataFrame, pattern: str, hint: Column, name: str) -> DataFrame:
-    found = frame.withColumn("_m", _spans("_text", pattern, hint))
-    gaps = F.when(F.size("_m") > 0, F.split("_text", pattern, -1))
+def _with_rest(frame: DataFrame) -> DataFrame:
+    """``frame`` with ``_rest``, the text with ``MASK`` for each code point of a base span."""
+    out = frame.withColumn("_rest", F.col("_text"))
+    for k, (pattern, check) in enumerate(FORMATS):
+        some = F.size(f"_base{k}") > 0
+        out = out.withColumn("_m", _matches("_rest", pattern, some))
+        out = out.withColumn("_g", F.when(F.size("_m") > 0, F.split("_rest", pattern, -1)))
+        masked = F.transform("_m", _masking(check))
+        parts = F.transform(
+            F.arrays_zip(F.col("_g").alias("g"), masked.alias("m")),
+            lambda x: F.concat(x["g"], F.coalesce(x["m"], F.lit(""))),
+        )
+        rest = F.when(F.size("_m") > 0, F.array_join(parts, "")).otherwise(F.col("_rest"))
+        out = out.withColumn("_rest", rest)
+    return out.drop("_m", "_g")
+
+
+def _with_places(
+    frame: DataFrame, text: str, pattern: str, hint: Column, name: str
+) -> DataFrame:
+    found = frame.withColumn("_m", _matches(text, pattern, hint))
+    gaps = F.when(F.size("_m") > 0, F.split(text, pattern, -1))
     return found.withColumn("_g", gaps).withColumn(name, _placed("_m", "_g")).drop("_m", "_g")
 
 
@@ -146,29 +180,30 @@ def _features(generator: int, x: Column) -> Column:
 
 
 def with_candidates(frame: DataFrame) -> DataFrame:
-    """``frame`` with ``_found``: generator, start, end, features, and whether a base span confirms."""
-    out = _with_places(frame, NUMBER, F.col("_text").rlike("[0-9]"), "_c0")
-    hint = F.col("_text").rlike(r"@|\[at\]|\(at\)")
-    out = _with_places(out, ADDRESS, hint, "_c1")
-    base = F.concat(*[f"_base{k}" for k in range(BASE)])
-    out = out.withColumn("_every", base)
-
-    def described(generator: int) -> Column:
-        def one(x: Column) -> Column:
-            touches = F.exists(
-                "_every", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])
-            )
-            return F.struct(
+    """``frame`` with ``_found``: start, end, generator, features, and whether a format confirms.
+
+    The confirmed candidates are the base spans; the generators propose from the
+    rest of the text, so that what they add overlaps none of them.
+    """
+    out = _with_rest(frame)
+    out = _with_places(out, "_rest", NUMBER, F.col("_rest").rlike("[0-9]"), "_c0")
+    out = _with_places(out, "_rest", ADDRESS, F.col("_rest").rlike(r"@|\[at\]|\(at\)"), "_c1")
+
+    def described(name: str, generator: int, confirmed: bool) -> Column:
+        return F.transform(
+            name,
+            lambda x: F.struct(
                 x["start"].alias("start"),
                 x["end"].alias("end"),
                 F.lit(generator).alias("generator"),
                 _features(generator, x).alias("f"),
-                touches.alias("confirmed"),
-            )
-
-        return F.transform(f"_c{generator}", one)
+                F.lit(confirmed).alias("confirmed"),
+            ),
+        )
 
-    return out.withColumn("_found", F.concat(described(0), described(1))).drop("_c0", "_c1", "_every")
+    base = [described(f"_base{k}", 1 if k == 0 else 0, True) for k in range(BASE)]
+    found = F.concat(*base, described("_c0", 0, False), described("_c1", 1, False))
+    return out.withColumn("_found", found).drop("_c0", "_c1", "_rest")
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[boosting.Node], dict[int, float]]:
@@ -181,7 +216,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[boosting.Node], d
     share = math.ceil(min(1.0, sample / max(1, n)) * _SLOTS)
     slot = F.pmod(F.xxhash64(F.lit("private"), "doc_id", "text"), F.lit(_SLOTS))
     chosen = with_candidates(with_base_spans(docs.select("doc_id", "text").where(slot < share)))
-    rows = chosen.select(F.explode("_found").alias("x")).select("x.f", "x.confirmed")
+    # An outer explode: for an inner one Spark pushes a filter through all of the projections.
+    rows = chosen.select(F.explode_outer("_found").alias("x")).where("x is not null")
+    rows = rows.select("x.f", "x.confirmed")
     counted = rows.groupBy("f").agg(
         F.count("*").alias("n"), F.count_if("confirmed").alias("positive")
     )
