@@ -16,7 +16,7 @@ STREAMS = {
     "count_sketch_running",
     "stream_summary_stream",
 }
-BATCH = sorted(set(entry_points.queries()) - STREAMS)
+BATCH = sorted(set(registry.QUERIES) - STREAMS)
 
 
 def plan(df):

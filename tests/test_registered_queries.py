@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from triflux.plans.oracles import ORACLES
+from triflux.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.01"
 TABLES = ("lineitem", "events")
@@ -18,7 +20,9 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 def test_entry(spark):
@@ -29,10 +33,10 @@ def _key(row):
     return tuple((value is None, value) for value in row)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, duck, name):
-    got = entry_points.queries()[name](spark, SF)
-    want = duck.sql(entry_points.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    want = duck.sql(ORACLES[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     types = dict(zip(want.columns, map(str, want.types)))

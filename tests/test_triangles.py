@@ -8,7 +8,15 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from triflux.operators import graph
-from triflux.operators.graph import canonical_edges, closed_wedges, edge_counts, hub_degrees, orient
+from triflux.sources.edges import edges_from
+from triflux.operators.graph import (
+    canonical_edges,
+    closed_wedges,
+    degrees,
+    edge_counts,
+    is_hub,
+    orient,
+)
 from triflux.operators.triangles import (
     count_by_triplets,
     count_exact,
@@ -117,9 +125,22 @@ def test_triplet_keys_are_distinct_per_edge(spark):
 def test_hub_table_is_bounded(spark):
     edges = frame(spark, [(0, x) for x in range(1, 200)] + clique(range(200, 212)))
     ends = 2 * (199 + 66)
-    degrees = {r.x: r.d for r in hub_degrees(canonical_edges(edges), rows=2).collect()}
-    assert degrees == {0: 199}
-    assert len(degrees) < max(2, ends**0.5)
+    known = degrees(canonical_edges(edges))
+    hubs = {r.x: r.d for r in known.where(is_hub(known, rows=2)).collect()}
+    assert hubs == {0: 199}
+    assert len(hubs) < max(2, ends**0.5)
+
+
+@pytest.mark.parametrize("hub_rows", [1, 1_000, 1_000_000])
+def test_degree_order_is_the_same_at_every_size(spark, hub_rows):
+    """Fewer hubs, as a larger graph has, change neither wedges nor arrays nor salts."""
+    lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    edges = canonical_edges(edges_from(lines, "l_partkey", "l_suppkey"))
+    oriented = orient(edges, hub_rows)
+    out = oriented.groupBy("src").agg(F.count("*").alias("n"))
+    row = out.agg(F.sum(F.expr("n * (n - 1) div 2")), F.max("n")).first()
+    assert tuple(row) == (8_832_782, 68)
+    assert oriented.where("dst_d < src_d or src_d < 1").isEmpty()
 
 
 def _random_edges(seed, n=60, m=500):

@@ -8,8 +8,8 @@ How triangles are found
     least its degree. That bound makes it safe to keep out-neighbours in one
     array. Each vertex sends to each of its out-neighbours the part of its
     array that comes later in the order; the receiver intersects it with its
-    own array. No vertex pairs are emitted: what is shuffled is one array per
-    edge.
+    own array. What is shuffled is one array per edge: the vertex pairs after
+    each neighbour in packed form, never as rows.
 
 What keeps hot vertices apart
     A vertex with a third of all edges has a short out-array but may receive
@@ -21,11 +21,13 @@ What keeps hot vertices apart
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triflux.functions.checks import checked
+
 # Arrays received per (vertex, salt).
 SALT_ROWS = 65_536
 
@@ -60,35 +62,47 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     )
 
 
-def hub_degrees(edges: DataFrame, rows: int = HUB_ROWS) -> DataFrame:
-    """``(x, d)`` for the vertices of largest degree.
+def degrees(edges: DataFrame) -> DataFrame:
+    """``(x, d)`` for every vertex that has an edge."""
+    ends = edges.select(F.explode(F.array("u", "v")).alias("x"))
+    return ends.groupBy("x").agg(F.count(F.lit(1)).alias("d"))
+
+
+def is_hub(known: DataFrame, rows: int = HUB_ROWS) -> Column:
+    """Whether the vertex of a row of ``degrees`` is one of largest degree.
 
     With m edges the degrees sum to 2m, so fewer than 2m/T vertices have a
-    degree above T. T = min(2m/rows, sqrt(2m)) thus returns fewer than
+    degree above T. T = min(2m/rows, sqrt(2m)) thus holds for fewer than
     max(rows, sqrt(2m)) of them, and all others have degree at most sqrt(2m).
     """
-    degrees = (
-        edges.select(F.explode(F.array("u", "v")).alias("x"))
-        .groupBy("x")
-        .agg(F.count(F.lit(1)).alias("d"))
-    )
-    ends = edges.agg(2.0 * F.count(F.lit(1))).scalar()
-    return degrees.where(F.col("d") > F.least(ends / F.lit(float(rows)), F.sqrt(ends)))
+    ends = known.agg(F.sum("d").cast("double")).scalar()
+    return F.col("d") > F.least(ends / F.lit(float(rows)), F.sqrt(ends))
 
 
 def orient(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     """Canonical edges as ``(src, dst, src_d, dst_d)`` with src first in the degree order.
 
-    Vertices that are not hubs share degree 0 and are ordered by id. The hub
-    table has a proven bound, so it is broadcast and edges are not shuffled.
+    Every vertex has its degree. Those of hubs come by broadcast, as their table
+    has a proven bound. The others come by two shuffle joins, in which a vertex
+    that is not a hub has at most sqrt(2m) rows; rows of hubs, which find nothing
+    there, are spread by their other end.
     """
+    known = degrees(edges)
+    hub = is_hub(known, hub_rows)
     # Set apart first, so that the broadcast does not wait for the aggregation.
-    hubs = hub_degrees(edges, hub_rows).hint("rebalance")
-    ends = edges.join(F.broadcast(hubs.selectExpr("x as u", "d as du")), "u", "left").join(
-        F.broadcast(hubs.selectExpr("x as v", "d as dv")), "v", "left"
+    hubs = known.where(hub).hint("rebalance")
+    rest = known.where(~hub)
+    ends = edges.join(F.broadcast(hubs.selectExpr("x as u", "d as hu")), "u", "left").join(
+        F.broadcast(hubs.selectExpr("x as v", "d as hv")), "v", "left"
     )
+    for end, other in (("u", "v"), ("v", "u")):
+        keyed = ends.selectExpr(
+            "*", f"if(h{end} is null, {end}, {other}) as key", f"h{end} is not null as done"
+        )
+        own = rest.selectExpr("x as key", "false as done", f"d as r{end}")
+        ends = keyed.join(own, ["key", "done"], "left").drop("key", "done")
     # u < v already holds, so on equal degrees u comes first.
-    known = ends.selectExpr("u", "v", "coalesce(du, 0) as du", "coalesce(dv, 0) as dv")
+    known = ends.selectExpr("u", "v", "coalesce(hu, ru) as du", "coalesce(hv, rv) as dv")
     return known.selectExpr(
         "if(du <= dv, u, v) as src",
         "if(du <= dv, v, u) as dst",
@@ -97,10 +111,15 @@ def orient(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     )
 
 
-def closed_wedges(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def closed_wedges(
+    oriented: DataFrame,
+    keys: Sequence[str] = (),
+    last: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Rows ``(*keys, src, mid, last)``: all third vertices of the triangles on src -> mid.
 
-    Edges are matched within equal ``keys`` only.
+    Edges are matched within equal ``keys`` only. ``last`` says which third vertices
+    count, from the vertex and the columns ``keys, src, mid``; others are not sent.
     """
     # Shuffled once, as plain rows, and read by both sides of the join.
     out = (
@@ -110,44 +129,68 @@ def closed_wedges(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         .agg(F.expr("sort_array(collect_list(struct(dst_d, dst)))").alias("out"))
         .selectExpr(*keys, "src", "d", "out.dst as ids", "out.dst_d as ds")
     )
-    # Block k serves SEND_BLOCK out-neighbours; the last neighbour has none after it.
+    # A long array goes in blocks to several tasks: block k serves SEND_BLOCK
+    # out-neighbours and has the part of the array from its first one on.
     blocks = f"sequence(0, cast((size(ids) - 2) div {SEND_BLOCK} as int))"
-    served = f"slice(ids, k * {SEND_BLOCK} + 1, {SEND_BLOCK})"
-    sent = (
-        out.where("size(ids) > 1")
+    begin = f"k * {SEND_BLOCK} + 1"
+    short = out.where(f"size(ids) between 2 and {SEND_BLOCK}").selectExpr(*keys, "src", "ids", "ds")
+    long = (
+        out.where(f"size(ids) > {SEND_BLOCK}")
         .selectExpr(*keys, "src", "ids", "ds", f"explode({blocks}) as k")
+        .selectExpr(
+            *keys,
+            "src",
+            f"slice(ids, {begin}, size(ids)) as ids",
+            f"slice(ds, {begin}, {SEND_BLOCK}) as ds",
+            "k",
+        )
         .repartition(*keys, "src", "k")
-        .selectExpr("*", f"posexplode({served}) as (i, mid)")
-        .selectExpr("*", f"k * {SEND_BLOCK} + i + 1 as place")
-        .where("place < size(ids)")
+        .drop("k")
+    )
+    # The last neighbour has none after it.
+    sent = (
+        short.unionByName(long)
+        .selectExpr("*", "posexplode(ds) as (i, mid_d)")
+        .where("i + 1 < size(ids)")
         .selectExpr(
             *keys,
             "src",
-            "mid",
-            f"pmod(xxhash64(src), element_at(ds, place) div {SALT_ROWS} + 1) as salt",
-            "slice(ids, place + 1, size(ids)) as later",
+            "element_at(ids, i + 1) as mid",
+            f"pmod(xxhash64(src), mid_d div {SALT_ROWS} + 1) as salt",
+            "slice(ids, i + 2, size(ids)) as later",
         )
     )
+    if last is not None:
+        sent = sent.withColumn("later", F.filter("later", last)).where("size(later) > 0")
     kept = out.selectExpr(
         *keys, "src as mid", f"explode(sequence(0L, d div {SALT_ROWS})) as salt", "ids"
     )
+    # The second array is hashed; the shorter one should be.
+    common = (
+        "if(size(later) < size(ids), array_intersect(ids, later), array_intersect(later, ids))"
+    )
     # Neither side is bounded, and size estimates do not see what posexplode adds.
     return (
         sent.hint("merge")
         .join(kept, [*keys, "mid", "salt"])
-        .selectExpr(*keys, "src", "mid", "array_intersect(later, ids) as last")
+        .selectExpr(*keys, "src", "mid", f"{common} as last")
     )
 
 
-def triangles_closed(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def triangles_closed(
+    oriented: DataFrame,
+    keys: Sequence[str] = (),
+    last: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Rows ``(*keys, triangles)`` that sum up to the triangles of each key."""
-    closed = closed_wedges(oriented, keys)
+    closed = closed_wedges(oriented, keys, last)
     return closed.selectExpr(*keys, "cast(size(last) as bigint) as triangles")
 
 
 def total_triangles() -> Column:
-    """``sum(triangles)``, 0 where there are no rows."""
-    return F.coalesce(F.sum("triangles"), F.lit(0).cast("bigint"))
+    """``sum(triangles)``, 0 where there are no rows; an error beyond BIGINT."""
+    total = checked(F.try_sum("triangles"), "more triangles than BIGINT holds")
+    return F.when(F.count("triangles") == 0, F.lit(0).cast("bigint")).otherwise(total)
 
 
 def triangle_rows(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

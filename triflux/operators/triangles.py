@@ -13,6 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triflux.functions.checks import checked
 from triflux.functions.hashing import (
     PRIME,
     bucket_hash,
@@ -86,12 +87,12 @@ def _coloured_triangles(
 
 def _summed(rows: DataFrame, key: str, values: int) -> DataFrame:
     """``(key, triangles)`` for the keys 0 to values - 1, 0 where a key has no rows."""
-    zeros = rows.sparkSession.range(values).select(
+    zeros = rows.sparkSession.range(0, values, numPartitions=1).select(
         F.col("id").cast(rows.schema[key].dataType).alias(key),
         F.lit(0).cast("bigint").alias("triangles"),
     )
     counts = rows.select(key, "triangles").unionByName(zeros).groupBy(key)
-    return counts.agg(F.sum("triangles").alias("triangles"))
+    return counts.agg(total_triangles().alias("triangles"))
 
 
 def triangles_per_colour(
@@ -109,11 +110,12 @@ def estimate_by_colours(
     With one colour the estimate is the exact count.
     """
     counts = _summed(_coloured_triangles(edges, colours, runs, p), "run", len(runs))
-    return counts.select("run", (_squared(colours) * F.col("triangles")).alias("estimate"))
+    return counts.select("run", _scaled(colours, F.col("triangles")).alias("estimate"))
 
 
-def _squared(n: int) -> Column:
-    return F.lit(n).cast("bigint") * F.lit(n).cast("bigint")
+def _scaled(n: int, triangles: Column) -> Column:
+    """``n^2 * triangles``; an error beyond BIGINT."""
+    return checked(F.try_multiply(F.lit(n * n).cast("bigint"), triangles), "estimate beyond BIGINT")
 
 
 def median_estimate(estimates: DataFrame) -> DataFrame:
@@ -149,7 +151,7 @@ def estimate_by_partitions(
         orient(canonical_edges(edges)).select("*", *ends).withColumn("part", part).drop("u", "v")
     )
     closed = triangles_closed(keyed, ("part",))
-    return closed.agg((_squared(parts) * total_triangles()).alias("estimate"))
+    return closed.agg(_scaled(parts, total_triangles()).alias("estimate"))
 
 
 def _triplet_keys(
@@ -177,25 +179,31 @@ def triplet_edges(edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME
 def _triangles_in_own_triplet(
     edges: DataFrame, colours: int, a: int, b: int, p: int
 ) -> DataFrame:
-    """Every triangle once, as ``(k0, k1, k2, u, v, w)`` with its sorted colours as key.
+    """Rows ``(k0, k1, k2, triangles)`` that count every triangle once, under its sorted colours.
 
-    A triangle with two vertices of one colour closes under several keys; the
-    comparison with its own colours keeps one.
+    A triangle with two vertices of one colour would close under several keys. The
+    key and the colours of an edge leave one colour for the third vertex, so others
+    are dropped before they are sent.
     """
     keyed = _triplet_keys(orient(canonical_edges(edges)), colours, a, b, p, "src", "dst")
-    own = F.array_sort(F.array(*[bucket_hash(F.col(x), a, b, colours, p) for x in "uvw"]))
-    return triangle_rows(keyed, TRIPLET).where(F.array(*TRIPLET) == own)
+
+    def colour(x: Column) -> Column:
+        return bucket_hash(x, a, b, colours, p)
+
+    missing = sum((F.col(k) for k in TRIPLET[1:]), F.col(TRIPLET[0]))
+    missing = missing - colour(F.col("src")) - colour(F.col("mid"))
+    return triangles_closed(keyed, TRIPLET, lambda x: colour(x) == missing)
 
 
 def triangles_per_triplet(
     edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME
 ) -> DataFrame:
     """``(k0, k1, k2, triangles)`` for the colour triplets that have triangles."""
-    found = _triangles_in_own_triplet(edges, colours, a, b, p)
-    return found.groupBy(*TRIPLET).agg(F.count(F.lit(1)).alias("triangles"))
+    found = _triangles_in_own_triplet(edges, colours, a, b, p).where("triangles > 0")
+    return found.groupBy(*TRIPLET).agg(total_triangles().alias("triangles"))
 
 
 def count_by_triplets(edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME) -> DataFrame:
     """One row ``triangles``: the exact count, the same for all colours, a and b."""
     found = _triangles_in_own_triplet(edges, colours, a, b, p)
-    return found.agg(F.count(F.lit(1)).alias("triangles"))
+    return found.agg(total_triangles().alias("triangles"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triflux.functions.checks import checked
 from triflux.functions.scratch import keep_table
 
 
@@ -29,9 +30,12 @@ def read_edge_text(
     ``keep`` parses the text now, into a table that several runs can share.
     """
     t = F.col("t")
+    said = F.concat(F.lit("not an edge: "), F.col("value"))
     edges = _tokens(spark, path, partitions).select(
-        F.element_at(t, 1).cast("bigint").alias("u"),
-        F.coalesce(F.try_element_at(t, F.lit(2)), F.lit("")).cast("bigint").alias("v"),
+        *[
+            checked(F.try_element_at(t, F.lit(i)).try_cast("bigint"), said).alias(name)
+            for i, name in ((1, "u"), (2, "v"))
+        ]
     )
     return keep_table(edges, "edges") if keep else edges
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
+
+from triflux.functions.checks import checked
 
 
 def items_from(table: DataFrame, item: str, *extra: str) -> DataFrame:
@@ -13,7 +15,11 @@ def items_from(table: DataFrame, item: str, *extra: str) -> DataFrame:
     A text stream works too: its column is ``value``, and a record that is not
     an integer fails the job.
     """
-    return table.select(F.col(item).cast("bigint").alias("item"), *extra)
+    column, parsed = F.col(item), F.col(item).try_cast("bigint")
+    if isinstance(table.select(item).schema[0].dataType, StringType):
+        said = F.concat(F.lit("not an integer: "), column)
+        parsed = F.when(column.isNotNull(), checked(parsed, said))
+    return table.select(parsed.alias("item"), *extra)
 
 
 def stream_files(
