@@ -242,7 +242,8 @@ def read_token_files(
     if doc_ids is not None:
         hit: Column = F.lit(False)
         for x in doc_ids:
-            hit = hit | F.lit(x).between(F.coalesce("first_doc_id", F.lit(-(2**63))), "last_doc_id")
+            first = F.coalesce("first_doc_id", F.lit(-(2**63)))  # null comes before all others
+            hit = hit | F.lit(x).between(first, F.col("last_doc_id"))
         files = files.where(hit)
     wanted = None if doc_ids is None else set(doc_ids)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
