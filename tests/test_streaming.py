@@ -11,6 +11,7 @@ from triflux.operators.sketch import count_sketch
 from triflux.plans.jobs import report_on_counts, report_on_items
 from triflux.sources.items import items_from, stream_files
 from triflux.streaming.partials import (
+    _commit,
     drain,
     read_partials,
     read_running,
@@ -137,3 +138,30 @@ def test_scratch_needs_a_shared_folder(spark, tmp_path):
 
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_readers_see_committed_batches_only(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for i in range(3):
+        put(source, i, some_items(i))
+    query = write_partials(
+        stream(spark, source), out, str(tmp_path / "c"), LEFT, RIGHT, availableNow=True
+    )
+    query.awaitTermination()
+    want = set(map(tuple, read_partials(spark, out).collect()))
+    # What an attempt wrote before it failed, and a second attempt at a committed batch.
+    half = spark.createDataFrame([(20, 999, 3)], "item bigint, n bigint, batch bigint")
+    half.write.parquet(f"{out}/data/3-half")
+    assert set(map(tuple, read_partials(spark, out).collect())) == want
+    again = read_partials(spark, out).where("batch = 1").drop("batch")
+    _commit(again, out, 1)
+    assert set(map(tuple, read_partials(spark, out).collect())) == want
+
+
+def test_an_empty_stream_has_a_report_of_zeros(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    counts = drain(stream(spark, tmp_path / "in"), LEFT, RIGHT)
+    assert counts.count() == 0
+    report = report_on_counts(counts, PARAMS, 5).first()
+    assert (report.n_total, report.n_in_range, report.n_distinct) == (0, 0, 0)
+    assert read_running(spark, str(tmp_path / "none"), "r int, c bigint, cell bigint").count() == 0

@@ -93,9 +93,9 @@ def _running_sketch(spark: SparkSession, sf: str) -> DataFrame:
 def _merged_sketch(spark: SparkSession, sf: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
     inside = items_from(lines, "l_partkey", "l_linestatus").where(histogram.in_range(LEFT, RIGHT))
-    open_, closed = F.col("l_linestatus") == "O", F.col("l_linestatus") != "O"
+    open_ = F.col("l_linestatus").eqNullSafe("O")
     return sketch.merge_sketches(
-        *[sketch.count_sketch(inside.where(part), PARAMS) for part in (open_, closed)]
+        *[sketch.count_sketch(inside.where(part), PARAMS) for part in (open_, ~open_)]
     )
 
 

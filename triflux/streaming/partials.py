@@ -1,20 +1,28 @@
-"""Per-batch item counts of a stream, written once per batch.
-
-A batch that is retried overwrites its own folder, so nothing is counted
-twice. The counts determine everything else: length, prefix, histogram and,
-because it is linear, the sketch.
+"""Per-batch item counts of a stream, read only once they are committed.
+
+Each attempt at a batch writes a folder of its own and then a commit, one row
+that names the batch and the folder. Readers go by the commits: what an attempt
+left half-written has none, a batch that is tried again gets a second commit and
+the readers take one of them, and what they read is never removed. The counts
+determine everything else: length, prefix, histogram and, because it is linear,
+the sketch.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from triflux.functions.scratch import scratch_path
 from triflux.operators.histogram import item_counts
 
 SCHEMA = "item BIGINT, n BIGINT, batch BIGINT"
+COMMITS = "batch BIGINT, folder STRING"
 
 # Fixed value: the default interval between batches.
 TRIGGER = "100 milliseconds"
@@ -28,15 +36,14 @@ def write_partials(
     right: int,
     **trigger: str | bool,
 ) -> StreamingQuery:
-    """Start a query that writes ``(item, n)`` of each batch to ``path/batch=<id>``.
+    """Start a query that writes ``(item, n)`` of each batch to a folder below ``path/data``.
 
     ``trigger`` is passed on to the writer, as in ``availableNow=True``; by
     default a batch starts every 100 ms.
     """
 
     def save(rows: DataFrame, batch_id: int) -> None:
-        counts = item_counts(rows, left, right)
-        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _commit(item_counts(rows, left, right), path, batch_id)
 
     return (
         items.writeStream.foreachBatch(save)
@@ -47,8 +54,35 @@ def write_partials(
 
 
 def read_partials(spark: SparkSession, path: str) -> DataFrame:
-    """``(item, n, batch)`` of the batches written so far; NULL item is out of range."""
-    return spark.read.schema(SCHEMA).parquet(path)
+    """``(item, n, batch)`` of the batches committed so far; NULL item is out of range.
+
+    No rows where nothing is committed, as for an empty stream.
+    """
+    folders = _committed(spark, path)
+    if folders is None:
+        return spark.createDataFrame([], SCHEMA)
+    names = [r["folder"] for r in folders.orderBy("batch").collect()]
+    return spark.read.schema(SCHEMA).parquet(*names)
+
+
+def _commit(rows: DataFrame, path: str, batch: int) -> None:
+    """Writes the rows, with the batch's number, and then the commit."""
+    spark = rows.sparkSession
+    folder = f"{path}/data/{batch}-{uuid.uuid4().hex}"
+    rows.withColumn("batch", F.lit(batch).cast("bigint")).write.parquet(folder)
+    commit = spark.createDataFrame([(batch, folder)], COMMITS).coalesce(1)
+    commit.write.mode("append").parquet(f"{path}/commits")
+
+
+def _committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """``(batch, folder)``, one folder for each committed batch; None where there is none yet."""
+    try:
+        commits = spark.read.schema(COMMITS).parquet(f"{path}/commits")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return commits.groupBy("batch").agg(F.min("folder").alias("folder"))
 
 
 def drain(items: DataFrame, left: int, right: int, name: str = "partials") -> DataFrame:
@@ -67,11 +101,11 @@ def drain(items: DataFrame, left: int, right: int, name: str = "partials") -> Da
 def running(table: DataFrame, path: str, checkpoint: str, **trigger: str | bool) -> StreamingQuery:
     """Keep a streaming aggregation of bounded size, such as a sketch, in the state store.
 
-    The whole result is written anew to ``path/version=<id>`` after each batch.
+    The whole result is written anew, and committed, after each batch.
     """
 
     def save(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        _commit(rows, path, batch_id)
 
     return (
         table.writeStream.outputMode("complete")
@@ -82,8 +116,17 @@ def running(table: DataFrame, path: str, checkpoint: str, **trigger: str | bool)
     )
 
 
-def read_running(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version written by :func:`running`."""
-    versions = spark.read.parquet(path)
-    latest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == latest).drop("version")
+def read_running(
+    spark: SparkSession, path: str, schema: StructType | str | None = None
+) -> DataFrame:
+    """The latest version that :func:`running` has committed.
+
+    Where there is none, an empty table of ``schema``, or an error if that is not given.
+    """
+    folders = _committed(spark, path)
+    latest = None if folders is None else folders.orderBy(F.desc("batch")).first()
+    if latest is None:
+        if schema is None:
+            raise ValueError(f"{path} has no committed version; pass a schema for an empty one")
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(latest["folder"]).drop("batch")
