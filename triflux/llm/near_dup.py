@@ -5,32 +5,34 @@ shingle a 64-bit value, and a document retains its ``SKETCH`` smallest.
 
 1. Documents with the same words are one class; only classes are compared.
 2. Inverted lists of the ``LISTED`` smallest values give candidates: all pairs of
-   a list of up to ``LONG_LIST`` classes. Longer lists are split by runs of 2 and
-   then 4 neighbouring retained values. Texts that are alike have most runs in
+   a list of up to ``LONG_LIST`` classes. Longer lists are split by runs of 3
+   neighbouring retained values. Texts that are alike have most runs in
    common, while unlike texts that share a passage do not. The lists of short
    texts, which have few runs, are not split.
-3. What stays too long links each class to a few centres of its list first.
-   Classes of such a list that are not connected after that are compared block by
-   block, so that no pair is left out and none is written but likely ones.
+3. What stays too long links each class to a few centres of its list.
 4. The sketch of a pair's union estimates its similarity; likely pairs are
    confirmed on the full sets of their texts.
-5. Connected components of the confirmed links are groups of near-duplicates.
+5. Classes of long lists that are not connected after that are compared on their
+   full sets, block by block, so that no pair of such a list is left out.
+6. Connected components of the confirmed links are groups of near-duplicates.
 
 Two sets with similarity s miss each other in every list of step 2 with a chance
 of (1 - s) to the power of ``LISTED``, below 1e-16 for s = 0.8, or where all that
-they share is in long lists, of having no run of 4 in common. The estimate drops
+they share is in long lists, of having no run of 3 in common. The estimate drops
 a true pair only where it is off by five standard deviations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from triflux.functions.scratch import keep_table
 from triflux.llm.components import connected_components
@@ -43,9 +45,10 @@ LISTED = 24
 SHORT, REGULAR = 30, 25
 LONG_LIST = 32
 CENTRES = 2
-BLOCK = 256
+#: Shingles and classes of a block, and columns of the matrix that a task has at once.
+BLOCK, BLOCK_ROWS, COLUMNS = 200_000, 512, 4_096
 #: Lengths of runs that split lists, one after the other.
-RUNS = (1, 2, 4)
+RUNS = (1, 3)
 #: The estimate from which pairs are confirmed: at 0.8 its standard deviation is 0.05.
 LIKELY = 0.55
 _MIX = np.array(
@@ -207,59 +210,123 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(_similarity("sa", "sb") >= LIKELY).select("a", "b")
 
 
-def _block_pairs(lists: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Likely pairs within long lists of classes that are not connected yet.
+def _blocks_within(lists: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The classes that are in long lists, in blocks: ``node, n, label, cluster, bucket, block``.
 
-    A list's members lie in blocks by a hash; a task gets two blocks with their
-    sketches and compares them by numbers, so tasks are bounded however long a
-    list is. Lists whose members are all connected are done.
+    Classes that long lists connect are a cluster, so that each pair of it is met
+    once, however many lists it shares. Sizes with which two sets can reach the
+    similarity are in the same or in neighbouring buckets of a cluster. A block has
+    about ``BLOCK`` shingles and ``BLOCK_ROWS`` classes at most; ``blocks`` counts those
+    of a bucket.
     """
-    labelled = lists.join(labels, "node", "left").withColumn(
-        "label", F.coalesce("label", "node")
+    rows = lists.select("node", "key").distinct()
+    first = rows.groupBy("key").agg(F.min("node").alias("b"))
+    chained = connected_components(rows.join(first, "key").select(F.col("node").alias("a"), "b"))
+    members = chained.select("node", F.col("label").alias("cluster")).join(
+        nodes.select("node", "n"), "node"
     )
-    open_ = labelled.groupBy("key").agg(
-        F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # Clusters that are connected already are done.
+    open_ = labelled.groupBy("cluster").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")
     )
-    open_ = open_.where("low < high").withColumn(
-        "blocks", F.ceil(F.col("members") / BLOCK).cast("int")
+    kept = labelled.join(open_.where("low < high").select("cluster"), "cluster").withColumn(
+        "bucket", F.floor(F.ln("n") / math.log(100.5 / PERCENT)).cast("int")
     )
-    rows = labelled.join(open_.select("key", "blocks"), "key").join(
-        nodes.select("node", "sketch"), "node"
+    sizes = kept.groupBy("cluster", "bucket").agg(
+        F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks")
     )
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = rows.select("key", "node", "n", "label", "sketch", "block", other)
-    dealt = dealt.select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "node", "n", "label", "sketch",
-    )
+    return keep_table(
+        kept.join(sizes, ["cluster", "bucket"]).withColumn(
+            "block", F.pmod(F.xxhash64("node"), "blocks").cast("int")
+        ),
+        "blocks",
+    )
+
+
+def _links_within(blocks: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Links that connect what is not connected yet, from comparing blocks pair by pair.
+
+    A task gets two blocks with their texts and compares the full sets by numbers.
+    It returns a forest of the links it finds: fewer rows than it was given.
+    """
+    sizes = blocks.select("cluster", "bucket", "blocks").distinct()
+    with_next = blocks.join(
+        sizes.select("cluster", (F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("up")),
+        ["cluster", "bucket"],
+        "left",
+    ).join(
+        sizes.select("cluster", (F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("down")),
+        ["cluster", "bucket"],
+        "left",
+    )
+
+    def others(count: str, pair: Callable[[Column], Column]) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.col(count) - 1), pair)
+        return F.when(F.col(count) > 0, found).otherwise(F.array().cast("array<array<int>>"))
+
+    own = others("blocks", lambda x: F.array(
+        F.lit(0), F.col("bucket"), F.least(x, "block"), F.greatest(x, "block")
+    ))
+    up = others("up", lambda x: F.array(F.lit(1), F.col("bucket"), F.col("block"), x))
+    down = others("down", lambda x: F.array(F.lit(1), F.col("bucket") - 1, x, F.col("block")))
+    dealt = with_next.select(
+        "cluster", "bucket", "block", "node", "label", F.explode(F.concat(own, up, down)).alias("at")
+    ).join(texts, "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        node, n, label, block = (table[x].to_numpy() for x in ("node", "n", "label", "block"))
-        flat = table["sketch"].combine_chunks()
-        sizes = np.diff(flat.offsets.to_numpy())
-        values, column = np.unique(flat.flatten().to_numpy(), return_inverse=True)
-        has = np.zeros((len(node), len(values)), np.float32)
-        has[np.repeat(np.arange(len(node)), sizes), column] = 1
-        sketches = np.split(flat.flatten().to_numpy(), np.cumsum(sizes)[:-1])
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        common = has[left] @ has[right].T
-        x, y = np.meshgrid(left, right, indexing="ij")
-        # The estimate is at most what both have over the larger sketch.
-        good = (common >= LIKELY * np.maximum(sizes[x], sizes[y])) & (label[x] != label[y])
-        good &= (node[x] < node[y]) if i == j else (node[x] != node[y])
-        good &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * PERCENT
-        a, b = [], []
-        for p, q in zip(x[good].tolist(), y[good].tolist(), strict=True):
-            union = np.union1d(sketches[p], sketches[q])[:SKETCH]
-            both = np.intersect1d(sketches[p], sketches[q], assume_unique=True)
-            if np.isin(union, both, assume_unique=True).mean() >= LIKELY:
-                a.append(min(node[p], node[q]))
-                b.append(max(node[p], node[q]))
+        kind, bucket, i, j = table["at"][0].as_py()
+        node, label = table["node"].to_numpy(), table["label"].to_numpy()
+        block, level = table["block"].to_numpy(), table["bucket"].to_numpy()
+        left = np.flatnonzero((block == i) & (level == bucket))
+        right = np.flatnonzero((block == j) & (level == bucket + kind))
+        a: list[int] = []
+        b: list[int] = []
+        if len(np.unique(label)) > 1:
+            shingler = Shingler(words)
+            sets = [shingler.values(shingler.words(x.as_py())) for x in table["text"]]
+            sizes = np.array([len(x) for x in sets])
+            common = _common(sets, left, right)
+            union = sizes[left][:, None] + sizes[right][None, :] - common
+            good = (100 * common >= PERCENT * union) & (label[left][:, None] != label[right][None, :])
+            roots: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in roots:
+                    x = roots[x]
+                return x
+
+            for x, y in np.argwhere(good).tolist():
+                p, q = int(left[x]), int(right[y])
+                lower, higher = sorted((root(int(label[p])), root(int(label[q]))))
+                if lower != higher:
+                    roots[higher] = lower
+                    a.append(int(node[p]))
+                    b.append(int(node[q]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    grouped = dealt.groupBy("cluster", "at")
+    return grouped.applyInArrow(compare, "a long, b long")
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of sets, by products of parts of their incidence matrix."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, column, counts = np.unique(
+        np.concatenate(sets), return_inverse=True, return_counts=True
+    )
+    shared = counts[column] > 1
+    rows, column = rows[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    common = np.zeros((len(left), len(right)), np.int64)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, COLUMNS):
+        begin, end = np.searchsorted(column, (at, at + COLUMNS))
+        has = np.zeros((len(sets), min(COLUMNS, width - at)), np.float32)
+        has[rows[begin:end], column[begin:end] - at] = 1
+        common += (has[left] @ has[right].T).astype(np.int64)
+    return common
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -325,41 +392,85 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     smallest of a group that has others, and a group of null ids alone has a null
     component and is kept. Other columns are ignored.
     """
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return grouped(docs, words).select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
+    )
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row of each group of ``docs``, with all its columns: one with the smallest doc_id.
+
+    Rows without words are all kept. Rows that agree in id and words are one.
+    """
+    rows = grouped(docs, words).where(F.col("class").isNotNull())
+    first = rows.groupBy("label").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "class")).alias("x")
+    )
+    ones = first.select(F.col("x.doc_id").alias("_one"), F.col("x.class").alias("_one_class"))
+
+    text_at = docs.columns.index("text")
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            found = [
+                shingler.class_of(shingler.words(x.as_py())) for x in batch.column(text_at)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found, pa.binary())],
+                names=[*batch.schema.names, "_class"],
+            )
+
+    schema = StructType([*docs.schema.fields, StructField("_class", BinaryType())])
+    marked = docs.mapInArrow(classed, schema)
+    same = F.col("doc_id").eqNullSafe(F.col("_one")) & (F.col("_class") == F.col("_one_class"))
+    kept = marked.where(F.col("_class").isNotNull()).join(ones, same)
+    kept = kept.dropDuplicates(["doc_id", "_class"]).select(*docs.columns)
+    return kept.unionByName(marked.where(F.col("_class").isNull()).select(*docs.columns))
+
+
+def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Per row ``doc_id, n, class, label, component_id``; the last three are null without words."""
     signed = keep_table(signatures(docs, words), "signatures")
     nodes = keep_table(representatives(signed), "nodes")
     short = nodes.where(F.col("n") <= SHORT)
     active = nodes.where(F.col("n") >= REGULAR)
 
-    cold, hot = _split(_lists(_first_starts(short), 1, "short"))
-    cold_lists, hot_lists = cold, hot
-    starts = _first_starts(active)
+    lists = _lists(_first_starts(short), 1, "short").withColumn("short", F.lit(True))
+    starts, hot_lists = _first_starts(active), None
+    cold_lists: DataFrame | None = None
     for run in RUNS:
-        cold, hot = _split(_lists(starts, run, "run"))
-        cold_lists = cold_lists.unionByName(cold)
-        starts = _starts_in(active, hot)
-    hot_lists = hot_lists.unionByName(hot)
+        regular = _lists(starts, run, "run").withColumn("short", F.lit(False))
+        lists = regular if cold_lists is not None else lists.unionByName(regular)
+        cold, hot = _split(lists)
+        cold_lists = cold if cold_lists is None else cold_lists.unionByName(cold)
+        # The long lists of short texts stay as they are.
+        hot_lists = hot.where("short") if hot_lists is None else hot_lists
+        starts = _starts_in(active, hot.where("not short"))
+    assert cold_lists is not None and hot_lists is not None
+    hot_lists = hot_lists.unionByName(hot.where("not short"))
 
     pairs = _pairs_of_short(cold_lists).unionByName(_pairs_with_centres(hot_lists))
     likely = keep_table(likely_pairs(pairs, nodes), "pairs")
     links = _links(docs, nodes, likely, words)
     labels = connected_components(links)
-    rest = keep_table(_block_pairs(hot_lists, nodes, labels), "rest")
-    more_links = _links(docs, nodes, rest, words)
-    labels = connected_components(links.unionByName(more_links))
+    blocks = _blocks_within(hot_lists, nodes, labels)
+    if not blocks.isEmpty():
+        texts = keep_table(texts_of(docs, nodes, blocks.select("node"), words), "texts")
+        more_links = keep_table(_links_within(blocks, texts, words), "links")
+        labels = connected_components(links.unionByName(more_links))
 
-    grouped = nodes.join(labels, "node", "left").select(
+    labelled = nodes.join(labels, "node", "left").select(
         "class", "first_id", F.coalesce("label", "node").alias("label")
     )
-    smallest = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_class = grouped.join(smallest, "label").select("class", "component_id")
+    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    of_class = labelled.join(smallest, "label").select("class", "label", "component_id")
     rows = signed.select("doc_id", "n", "class").join(of_class, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
-    )
+    return rows.select("doc_id", "n", "class", "label", "component_id")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
