@@ -66,11 +66,12 @@ class BallTree:
     @classmethod
     def from_parts(cls, parts: list[bytes], dim: int) -> BallTree:
         vectors, ids, centres, radii, spans = parts
+        own_ids, own_radii = np.frombuffer(ids, "<i8"), np.frombuffer(radii, "<f8")
         return cls(
-            np.frombuffer(vectors, "<i8").reshape(-1, dim),
-            np.frombuffer(ids, "<i8"),
-            np.frombuffer(centres, "<f8").reshape(-1, dim),
-            np.frombuffer(radii, "<f8"),
+            np.frombuffer(vectors, "<i8").reshape(len(own_ids), dim),
+            own_ids,
+            np.frombuffer(centres, "<f8").reshape(len(own_radii), dim),
+            own_radii,
             np.frombuffer(spans, "<i8").reshape(-1, 3),
         )
 

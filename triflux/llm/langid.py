@@ -32,6 +32,8 @@ SMOOTHING = 0.5
 #: Scores are probabilities given as much evidence as so many words, so that long texts differ.
 EVIDENCE = 8
 UNKNOWN = "und"
+#: The score below which a document counts as of no language that was learned.
+LEAST = 0.5
 #: Partial word counts, and unseen words with their scores, that a task holds.
 KEPT, KEPT_SCORES = 200_000, 4_000_000
 
@@ -214,6 +216,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, with all columns, that have a language with score ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            found = [scorer.predict(x.as_py()) for x in batch.column(text_at)]
+            good = [lang != UNKNOWN and score >= least for lang, score in found]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learns from the documents that are not held out and predicts all."""
     return predict(docs, learn(docs))

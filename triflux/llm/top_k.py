@@ -52,7 +52,7 @@ def integer_vectors(frame: DataFrame) -> DataFrame:
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), dim)
 
 
 def build_shards(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
