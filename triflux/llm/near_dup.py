@@ -221,7 +221,9 @@ def _blocks_within(lists: DataFrame, nodes: DataFrame, labels: DataFrame) -> Dat
     """
     rows = lists.select("node", "key").distinct()
     first = rows.groupBy("key").agg(F.min("node").alias("b"))
-    chained = connected_components(rows.join(first, "key").select(F.col("node").alias("a"), "b"))
+    # Most lists of a node have the same first member: one edge each.
+    edges = rows.join(first, "key").select(F.col("node").alias("a"), "b").distinct()
+    chained = connected_components(edges)
     members = chained.select("node", F.col("label").alias("cluster")).join(
         nodes.select("node", "n"), "node"
     )
