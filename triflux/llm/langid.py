@@ -32,8 +32,9 @@ SMOOTHING = 0.5
 #: Scores are probabilities given as much evidence as so many words, so that long texts differ.
 EVIDENCE = 8
 UNKNOWN = "und"
-#: The score below which a document counts as of no language that was learned.
-LEAST = 0.5
+#: The score below which a document counts as of no language that was learned. A text
+#: that two languages share stays.
+LEAST = 0.3
 #: Partial word counts, and unseen words with their scores, that a task holds.
 KEPT, KEPT_SCORES = 200_000, 4_000_000
 
