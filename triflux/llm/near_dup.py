@@ -57,7 +57,7 @@ _MIX = np.array(
     np.uint64,
 )
 #: Word hashes that a task keeps.
-KEPT = 500_000
+KEPT = 100_000
 
 
 class Shingler:

@@ -16,7 +16,7 @@ import public_tokenizers
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 250_000
 WORDS_KEPT = 800_000
 
 #: A word of Latin letters and at most one mark: two pre-tokens whatever the case.
