@@ -150,3 +150,15 @@ def test_languages_of_odd_rows(frame):
 def test_unseen_words_back_off(word):
     model = langid._fit(["de", "en"], [("en", "the", 5), ("de", "der", 5)])
     assert np.isfinite(model.unseen(word)).all()
+
+
+def test_texts_of_no_learned_language_go(frame):
+    rows = [(k, t, lang) for k in range(40) for t, lang in (("the cat and the dog", "en"), ("der hund und die katze", "de"))]
+    model = langid.learn(frame(rows, DOCS))
+    kept = ["the dog and the cat", "der hund", "the cat and the dog und die katze und der hund", "the dog 12 qzx"]
+    gone = ["все люди равны", "人人生而自由", "όλοι οι άνθρωποι", "qzx vbnw kjqp wzzq", "kaikki ihmiset syntyvat vapaina", "12", None]
+    texts = frame([(k, t, None) for k, t in enumerate(kept + gone)], DOCS)
+    assert {r.text for r in langid.accepted(texts, model).collect()} == set(kept)
+    assert langid.Scorer(model).predict("все люди равны") == ("und", 0.0)
+    few = langid.learn(frame([(None, "the cat and the dog", "en")] * 3, DOCS))
+    assert [r.text for r in langid.accepted(texts, few).collect() if r.text in gone] == []

@@ -2,7 +2,15 @@
 
 A known word adds its log frequency in each language. An unseen word is looked
 up by its n-grams of ``NGRAMS[0]`` characters, with marks for its ends; only if
-none of them is known do shorter ones speak for it, down to single characters.
+none of them is known do shorter ones speak for it, down to single characters. The
+marks are no characters of their own, so a word of unknown letters says nothing.
+
+Whether a text is of a learned language at all is a question of fit, not of the
+score, which only compares the learned languages. A known word fits; an unseen one
+by the square of the share of its n-grams of ``NGRAMS[0]`` characters that one
+language has, as related languages share many. Each word may fit another language,
+so texts in several languages fit. The fit is measured against the median of that
+language's held-out documents.
 
 The model is fitted on a bounded sample: of each of the ``LANGUAGES`` most common
 languages about ``SAMPLE`` labelled documents, chosen by a hash of their ids, and
@@ -32,9 +40,12 @@ SMOOTHING = 0.5
 #: Scores are probabilities given as much evidence as so many words, so that long texts differ.
 EVIDENCE = 8
 UNKNOWN = "und"
-#: The score below which a document counts as of no language that was learned. A text
-#: that two languages share stays.
-LEAST = 0.3
+#: The share of its language's usual fit below which a document is of no language that
+#: was learned; about how many held-out documents of a language tell what is usual, and
+#: what is where no language has any.
+LEAST, FITTED, USUAL = 0.3, 500, 0.5
+#: Letters for which a word counts at most in the fit, so that no run of letters outweighs a text.
+LETTERS = 12
 #: Partial word counts, and unseen words with their scores, that a task holds.
 KEPT, KEPT_SCORES = 200_000, 4_000_000
 
@@ -48,28 +59,42 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc % 4 == 2, F.lit(False))
 
 
+def _pieces(word: str, size: int) -> list[str]:
+    """The n-grams of a word, with marks for its ends unless they are single characters."""
+    marked = f"<{word}>" if size > 1 else word
+    return [marked[i : i + size] for i in range(len(marked) - size + 1)]
+
+
 @dataclass
 class Model:
-    """Log frequencies, a row per word or n-gram and a column per language."""
+    """Log frequencies, a row per word or n-gram and a column per language.
+
+    ``ngram_known`` says which language has an n-gram, ``usual`` how well texts of a language fit.
+    """
 
     languages: list[str]
     words: dict[str, int]
     word_rows: np.ndarray
     ngrams: dict[str, int]
     ngram_rows: np.ndarray
+    ngram_known: np.ndarray
+    usual: np.ndarray
 
     def unseen(self, word: str) -> np.ndarray:
-        marked = f"<{word}>"
         for n in NGRAMS:
-            found = [
-                row
-                for i in range(len(marked) - n + 1)
-                if (row := self.ngrams.get(marked[i : i + n])) is not None
-            ]
+            found = [row for x in _pieces(word, n) if (row := self.ngrams.get(x)) is not None]
             if found:
                 return self.ngram_rows[found].mean(axis=0)
         return np.zeros(len(self.languages))
 
+    def fit(self, word: str) -> float:
+        """How well an unseen word fits the language that it fits best, from 0 to 1."""
+        pieces = _pieces(word, min(NGRAMS[0], len(word) + 2))
+        found = [row for x in pieces if (row := self.ngrams.get(x)) is not None]
+        if not found:
+            return 0.0
+        return float(self.ngram_known[found].sum(axis=0).max() / len(pieces)) ** 2
+
 
 class Scorer:
     """Predicts in one task; keeps the scores of unseen words it has met."""
@@ -79,6 +104,10 @@ class Scorer:
         self._known = len(model.words)
         self._kept = min(KEPT, KEPT_SCORES // max(1, len(model.languages)))
         self._rows = np.vstack([model.word_rows, np.zeros((self._kept, len(model.languages)))])
+        # Letters, and those that fit; all of a known word's do.
+        known = np.array([min(len(x), LETTERS) for x in model.words], np.float64)
+        letters = np.concatenate([known, np.zeros(self._kept)])
+        self._fits = np.column_stack([letters, letters])
         self._extra: dict[str, int] = {}
 
     def _row(self, word: str) -> int:
@@ -86,23 +115,42 @@ class Scorer:
         if found is None:
             found = self._extra[word] = self._known + len(self._extra)
             self._rows[found] = self._model.unseen(word)
+            letters = min(len(word), LETTERS)
+            self._fits[found] = letters, letters * self._model.fit(word)
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        lang, score, _ = self.judge(text)
+        return lang, score
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its score among the languages, and the fit to any of them."""
         words = WORDS.findall(text.lower()) if text else []
         if not words or not self._model.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         known = self._model.words
         total = np.zeros(len(self._model.languages))
+        fits = np.zeros(2)
         for at in range(0, len(words), self._kept):
             part = words[at : at + self._kept]
             if len(self._extra) + len(part) > self._kept:
                 self._extra.clear()
             rows = [known[w] if w in known else self._row(w) for w in part]
             total += self._rows[rows].sum(axis=0)
+            fits += self._fits[rows].sum(axis=0)
+        if not total.any():  # not one letter is known
+            return UNKNOWN, 0.0, 0.0
         best = int(total.argmax())
         evidence = (total - total[best]) * min(1.0, EVIDENCE / len(words))
-        return self._model.languages[best], float(1 / np.exp(evidence).sum())
+        score = float(1 / np.exp(evidence).sum())
+        return self._model.languages[best], score, float(fits[1] / fits[0])
+
+    def accepts(self, text: str | None, least: float = LEAST) -> bool:
+        """Whether a text fits the languages at ``least`` times as well as is usual."""
+        lang, _, fit = self.judge(text)
+        if lang == UNKNOWN:
+            return False
+        return fit >= least * self._model.usual[self._model.languages.index(lang)]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,20 +175,22 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
+def learn(
+    docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, usual: bool = True
+) -> Model:
     """Fits the model to ``docs (doc_id, text, lang)`` that are not held out.
 
     Null texts and languages teach nothing. A language with up to ``sample``
-    documents is learned from all of them. Ties of counts go by the word.
+    documents is learned from all of them. Ties of counts go by the word. The
+    usual fit, which only ``accepted`` needs, is measured on held-out documents.
     """
-    labelled = docs.where(
-        ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    ).select("doc_id", "lang", "text")
+    complete = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = complete.where(~held_out()).select("doc_id", "lang", "text")
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     common = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in common)
     if not languages:
-        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
+        return _fit([], [])
     shares = F.create_map(
         *[F.lit(x) for r in common for x in (r["lang"], math.ceil(sample / r["n"] * _SLOTS))]
     )
@@ -156,7 +206,38 @@ def learn(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -
         F.col("rank") <= vocabulary
     )
     counts = kept.select("lang", "word", "n").toPandas()  # at most a vocabulary per language
-    return _fit(languages, list(counts.itertuples(index=False, name=None)))
+    model = _fit(languages, list(counts.itertuples(index=False, name=None)))
+    if usual:
+        model.usual = _usual(complete.where(held_out()), model)
+    return model
+
+
+def _usual(docs: DataFrame, model: Model) -> np.ndarray:
+    """The median fit of each language's documents; the lowest one where a language has none."""
+    docs = docs.where(F.col("lang").isin(model.languages)).select("doc_id", "text", "lang")
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    usual = np.full(len(model.languages), np.nan)
+    if sizes:
+        shares = F.create_map(
+            *[F.lit(x) for r in sizes for x in (r["lang"], math.ceil(FITTED / r["n"] * _SLOTS))]
+        )
+        slot = F.pmod(F.xxhash64(F.lit("usual"), "doc_id", "text"), F.lit(_SLOTS))
+        chosen = docs.where(slot < F.element_at(shares, F.col("lang"))).select("lang", "text")
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(shared.value)
+            for batch in batches:
+                fits = [scorer.judge(x.as_py())[2] for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(fits, pa.float64())], names=["lang", "fit"]
+                )
+
+        fits = chosen.mapInArrow(run, "lang string, fit double")
+        for r in fits.groupBy("lang").agg(F.percentile_approx("fit", 0.5).alias("fit")).collect():
+            usual[model.languages.index(r["lang"])] = r["fit"]
+    known = usual[~np.isnan(usual)]
+    return np.where(np.isnan(usual), known.min() if len(known) else USUAL, usual)
 
 
 def _fit(languages: list[str], counts: list[tuple[str, str, int]]) -> Model:
@@ -168,11 +249,10 @@ def _fit(languages: list[str], counts: list[tuple[str, str, int]]) -> Model:
     for lang, word, n in counts:
         c = column[lang]
         word_counts[words.setdefault(word, len(words)), c] += n
-        marked = f"<{word}>"
         for size in NGRAMS:
-            for i in range(len(marked) - size + 1):
+            for piece in _pieces(word, size):
                 # Each word once: n-grams stand for words that are rare.
-                ngram_counts[ngrams.setdefault(marked[i : i + size], len(ngrams)), c] += 1
+                ngram_counts[ngrams.setdefault(piece, len(ngrams)), c] += 1
 
     def logs(found: Counter[tuple[int, int]], keys: dict[str, int], group: np.ndarray) -> np.ndarray:
         table = np.full((len(keys), len(languages)), SMOOTHING)
@@ -183,20 +263,25 @@ def _fit(languages: list[str], counts: list[tuple[str, str, int]]) -> Model:
         return np.log(table)
 
     sizes = np.array([len(x) for x in ngrams], np.int64)
+    ngram_known = np.zeros((len(ngrams), len(languages)), bool)
+    for found in ngram_counts:
+        ngram_known[found] = True
     return Model(
         languages,
         words,
         logs(word_counts, words, np.zeros(len(words), np.int64)),
         ngrams,
         logs(ngram_counts, ngrams, sizes),
+        ngram_known,
+        np.full(len(languages), USUAL),
     )
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row of ``docs (doc_id, text)``.
 
-    ``lang_pred`` is ``und``, with score 0, where the text is null or has no letter.
-    Nothing but the text enters the prediction.
+    ``lang_pred`` is ``und``, with score 0, where the text is null or has no letter
+    that any language has. Nothing but the text enters the prediction.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -218,15 +303,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs``, with all columns, that have a language with score ``least`` or more."""
+    """The rows of ``docs``, with all columns, whose texts fit the learned languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(x.as_py()) for x in batch.column(text_at)]
-            good = [lang != UNKNOWN and score >= least for lang, score in found]
+            good = [scorer.accepts(x.as_py(), least) for x in batch.column(text_at)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -234,4 +318,4 @@ def accepted(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Learns from the documents that are not held out and predicts all."""
-    return predict(docs, learn(docs))
+    return predict(docs, learn(docs, usual=False))
