@@ -162,3 +162,35 @@ def test_texts_of_no_learned_language_go(frame):
     assert langid.Scorer(model).predict("все люди равны") == ("und", 0.0)
     few = langid.learn(frame([(None, "the cat and the dog", "en")] * 3, DOCS))
     assert [r.text for r in langid.accepted(texts, few).collect() if r.text in gone] == []
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Released under the BSD License.", ["bsd-line"]),
+        ("Released under the XYZ License.", []),
+        ("This work is licensed under the GNU General Public License, version 2.", ["gpl-2.0-line"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["lgpl-3.0-line"]),
+        ("Licensed under CC BY-SA 4.0.", ["cc-by-sa-4.0-line"]),
+        ("Licensed under CC BY 4.0.", ["cc-by-4.0-short-line"]),
+        ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa-4.0-line"]),
+        ("Licensed under the Apache License, Version 1.1.", []),
+        (licenses.TEMPLATES["gpl-3.0"].replace("version 3", "version 2"), ["gpl-2.0"]),
+        (licenses.TEMPLATES["gpl-3.0"].replace("General", "Affero General"), ["agpl-3.0"]),
+    ],
+)
+def test_short_notices_need_their_name_and_version(text, want):
+    assert [x.licence for x in licenses.Matcher(licenses.TEMPLATES).find(f"Prose. {text} More.")] == want
+
+
+@pytest.mark.parametrize("licence", sorted(licenses.TEMPLATES))
+def test_templates_are_found_whole_and_with_a_tenth_of_the_words_changed(licence):
+    matcher, own = licenses.Matcher(licenses.TEMPLATES), licenses.TEMPLATES[licence]
+    assert licence in [x.licence for x in matcher.find(own) if x.coverage == 1.0]
+    if licence not in licenses.REQUIRED:
+        words = own.split()
+        # Of all the words that few other templates have.
+        spread = {w: sum(w.lower() in x.lower() for x in licenses.TEMPLATES.values()) for w in set(words)}
+        for i in sorted(range(len(words)), key=lambda i: (spread[words[i]], i))[: len(words) // 10]:
+            words[i] = "changed"
+        assert licence in [x.licence for x in matcher.find(" ".join(words))]

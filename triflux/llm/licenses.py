@@ -1,11 +1,14 @@
 """Licence notices in texts, by patience alignment with templates.
 
-A text is looked at around each occurrence of a template's key words, the rarest
-among all templates. There the words of text and template are aligned: words that
-both have exactly once are anchors, the longest increasing run of anchors stays,
-and the gaps between them are aligned in the same way, after equal words at their
-ends have been paired. The share of the template's words that are paired is the
-coverage. All offsets are code points of the whole text, ends exclusive.
+A text is looked at around the occurrences of a template's key words, the rarest
+among all templates. They stand at so many of its places that a notice with enough
+coverage cannot do without ``need`` of them; where a text has fewer, none is there.
+There the words of text and template are aligned: words that both have exactly once
+are anchors, the longest increasing run of anchors stays, and the gaps between them
+are aligned in the same way, after equal words at their ends have been paired. The
+share of the template's words that are paired is the coverage. What identifies a
+short notice has to be there without a word in between. All offsets are code points
+of the whole text, ends exclusive.
 """
 
 from __future__ import annotations
@@ -14,18 +17,62 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from triflux.llm.licence_texts import FULL
+
 COVERAGE = 0.8
-KEYS = 3
+#: The share of a template's words that keys stand for, above what coverage lets a notice miss.
+KEYS = 0.2
 #: Words around a template's place in a text that are aligned too, as a share of its words.
 SLACK = 0.25
 WORD = re.compile(r"[^\W_]+")
 
-# Notices as they are published.
+_BSD = """
+Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: 1. Redistributions of source code must retain the
+above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in
+binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """ 3. Neither the name of the copyright holder nor the names of its contributors may be
+used to endorse or promote products derived from this software without specific prior written
+permission."""
+_BSD_END = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY
+EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+_GNU = """
+This program is free software: you can redistribute it and/or modify it under the terms of the {name}
+as published by the Free Software Foundation, either version {version} of the License, or (at your
+option) any later version. This program is distributed in the hope that it will be useful, but
+WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of the {name}
+along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_GNU_NAMES = {
+    "gpl": "GNU General Public License",
+    "lgpl": "GNU Lesser General Public License",
+    "agpl": "GNU Affero General Public License",
+}
+_GNU_VERSIONS = [("gpl", "2"), ("gpl", "3"), ("lgpl", "2.1"), ("lgpl", "3"), ("agpl", "3")]
+_CC = {
+    "by-sa": "Attribution-ShareAlike",
+    "by-nd": "Attribution-NoDerivatives",
+    "by-nc": "Attribution-NonCommercial",
+    "by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+    "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+
+# Notices as they are published. Of the lines the first four are also those that
+# the generated test tables have.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "mit-line": "Released under the MIT License.",
@@ -70,7 +117,62 @@ THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES
 WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
 NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
 THIS SOFTWARE.""",
+    "bsd-2-clause": _BSD + _BSD_END,
+    "bsd-3-clause": _BSD + _BSD_NAMES + _BSD_END,
+    "unlicense": """
+This is free and unencumbered software released into the public domain. Anyone is free to copy,
+modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions
+that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public
+at large and to the detriment of our heirs and successors. We intend this dedication to be an overt
+act of relinquishment in perpetuity of all present and future rights to this software under copyright
+law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to
+<https://unlicense.org>""",
+    "mpl-2.0": """
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
+MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "cc0-1.0": """
+To the extent possible under law, the author has waived all copyright and related or neighboring
+rights to this work. This work is published under CC0 1.0 Universal.""",
+    "bsd-line": "Released under the BSD License.",
+    "cc-by-4.0-short-line": "Licensed under CC BY 4.0.",
 }
+#: Phrases that identify a notice: all have to be in a text without a word in between.
+REQUIRED = {
+    "apache-2.0-line": ("apache license version 2 0",),
+    "mit-line": ("mit license",),
+    "bsd-line": ("the bsd license",),
+    "gpl-3.0-line": ("gnu general public license", "version 3"),
+    "cc-by-nc-4.0-line": ("cc by nc 4 0",),
+    "cc-by-4.0-line": ("creative commons attribution 4 0",),
+    "cc-by-4.0-short-line": ("cc by 4 0",),
+    "apache-2.0": ("apache license version 2 0",),
+    "mpl-2.0": ("mozilla public license v 2 0",),
+    "cc0-1.0": ("cc0 1 0",),
+}
+for _kind, _version in _GNU_VERSIONS:
+    _name, _key = _GNU_NAMES[_kind], f"{_kind}-{_version if '.' in _version else _version + '.0'}"
+    TEMPLATES.setdefault(_key, _GNU.format(name=_name, version=_version))
+    TEMPLATES.setdefault(
+        f"{_key}-line", f"This work is licensed under the {_name}, version {_version}."
+    )
+    _phrases = (_name.lower(), f"version {_version.replace('.', ' ')}")
+    REQUIRED |= {_key: _phrases, f"{_key}-line": _phrases}
+for _kind, _name in _CC.items():
+    TEMPLATES.setdefault(f"cc-{_kind}-4.0-line", f"Licensed under CC {_kind.upper()} 4.0.")
+    REQUIRED[f"cc-{_kind}-4.0-line"] = (f"cc {_kind.replace('-', ' ')} 4 0",)
+    TEMPLATES[f"cc-{_kind}-4.0-long-line"] = (
+        f"This work is licensed under the Creative Commons {_name} 4.0 International License."
+    )
+    REQUIRED[f"cc-{_kind}-4.0-long-line"] = (
+        f"creative commons {_name.replace('-', ' ').lower()} 4 0",
+    )
+TEMPLATES |= FULL
 
 
 class Notice(NamedTuple):
@@ -126,44 +228,101 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+class Template(NamedTuple):
+    """The words, what to look for, how often that is in every notice, and runs of places to pair."""
+
+    words: list[str]
+    keys: dict[str, list[int]]
+    need: int
+    required: list[list[range]]
+
+
 class Matcher:
-    """Finds the notices of a text."""
+    """Finds the notices of a text with at least ``coverage``."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
-        self._words = {k: WORD.findall(x.lower()) for k, x in templates.items()}
-        spread = Counter(w for words in self._words.values() for w in set(words))
-        self._keys: dict[str, list[tuple[str, int]]] = {}
-        for licence, words in self._words.items():
+    def __init__(
+        self,
+        templates: dict[str, str],
+        coverage: float = COVERAGE,
+        required: dict[str, tuple[str, ...]] = REQUIRED,
+    ) -> None:
+        self._coverage = coverage
+        split = {k: WORD.findall(x.lower()) for k, x in templates.items()}
+        spread = Counter(w for words in split.values() for w in set(words))
+        self._templates: dict[str, Template] = {}
+        self._keys: dict[str, list[str]] = {}
+        for licence, words in split.items():
+            phrases = [x.split() for x in required.get(licence, ())]
+            runs = [
+                [range(i, i + len(p)) for i in range(len(words)) if words[i : i + len(p)] == p]
+                for p in phrases
+            ]
+            count = Counter(words)
             # Words of few templates first, long ones before short ones.
-            ranked = sorted(set(words), key=lambda w: (spread[w], -len(w), w))[:KEYS]
-            for key in ranked:
-                self._keys.setdefault(key, []).append((licence, words.index(key)))
+            ranked = sorted(count, key=lambda w: (spread[w], -len(w), w))
+            if phrases:
+                # Any word of a phrase is in every notice.
+                keys, need = [min(phrases[0], key=lambda w: (spread[w], -len(w), w))], 1
+            else:
+                missed = len(words) - ceil(coverage * len(words))
+                keys, n = [], 0
+                while n < min(len(words), missed + max(1, int(KEYS * len(words)))):
+                    keys.append(ranked[len(keys)])
+                    n += count[keys[-1]]
+                need = n - missed
+            places = {k: [i for i, w in enumerate(words) if w == k] for k in keys}
+            self._templates[licence] = Template(words, places, need, runs)
+            for key in keys:
+                self._keys.setdefault(key, []).append(licence)
+
+    def _places(self, hits: list[int], words: list[str], template: Template) -> Iterator[int]:
+        """Where the template may begin, to steps of a quarter of the slack before."""
+        n = len(template.words)
+        slack = int(SLACK * n) + 1
+        step = max(1, slack // 4)
+        seen: set[int] = set()
+        for at in hits:
+            for place in template.keys[words[at]]:
+                first = (at - place) // step * step
+                if first not in seen:
+                    seen.add(first)
+                    low, high = first - slack, first + n + slack + step
+                    if bisect_left(hits, high) - bisect_left(hits, low) >= template.need:
+                        yield first
+
+    def _identified(self, pairs: list[tuple[int, int]], template: Template) -> bool:
+        at = {c: a for a, c in pairs}
+        return all(
+            any(all(at.get(c, -1) == at.get(run[0], -2) + c - run[0] for c in run) for run in runs)
+            for runs in template.required
+        )
 
-    def find(self, text: str | None, coverage: float = COVERAGE) -> list[Notice]:
+    def find(self, text: str | None) -> list[Notice]:
         """Notices by start; of those that overlap the one with more matched words stays."""
         if not text:
             return []
-        lower = text.lower()
-        if not any(key in lower for key in self._keys):
-            return []
-        tokens = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
-        words = [x[2] for x in tokens]
-        found: set[Notice] = set()
-        seen: set[tuple[str, int]] = set()
+        words = [w.lower() for w in WORD.findall(text)]
+        hits: dict[str, list[int]] = {}
         for at, word in enumerate(words):
-            for licence, place in self._keys.get(word, ()):
-                template = self._words[licence]
-                first = at - place
-                if (licence, first) in seen:
-                    continue
-                seen.add((licence, first))
-                slack = int(SLACK * len(template)) + 1
-                low, high = max(0, first - slack), first + len(template) + slack
-                pairs = align(words[low:high], template)
-                if len(pairs) >= coverage * len(template):
+            if word in self._keys:
+                for licence in self._keys[word]:
+                    hits.setdefault(licence, []).append(at)
+        found: set[Notice] = set()
+        tokens: list[tuple[int, int]] = []
+        for licence, own in hits.items():
+            template = self._templates[licence]
+            if len(own) < template.need:
+                continue
+            n = len(template.words)
+            slack = int(SLACK * n) + 1
+            step = max(1, slack // 4)
+            for first in self._places(own, words, template):
+                low, high = max(0, first - slack), max(0, first + n + slack + step)
+                pairs = align(words[low:high], template.words)
+                if len(pairs) >= self._coverage * n and self._identified(pairs, template):
+                    tokens = tokens or [m.span() for m in WORD.finditer(text)]
                     begin, end = tokens[low + pairs[0][0]][0], tokens[low + pairs[-1][0]][1]
-                    share = len(pairs) / len(template)
-                    found.add(Notice(begin, end, licence, len(pairs), share))
+                    found.add(Notice(begin, end, licence, len(pairs), len(pairs) / n))
         kept: list[Notice] = []
         taken: list[tuple[int, int]] = []
         for notice in sorted(found, key=lambda x: (-x.matched, -x.coverage, x)):
