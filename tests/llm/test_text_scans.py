@@ -194,3 +194,14 @@ def test_templates_are_found_whole_and_with_a_tenth_of_the_words_changed(licence
         for i in sorted(range(len(words)), key=lambda i: (spread[words[i]], i))[: len(words) // 10]:
             words[i] = "changed"
         assert licence in [x.licence for x in matcher.find(" ".join(words))]
+
+
+def test_obfuscated_private_data_are_added_by_their_context(frame):
+    rows = [(k, f"call +1 (938) 555-{k:04d} or mail jane{k}@mail.com now") for k in range(200)]
+    rows += [(1000 + k, f"order {k:06d} of 2024-01-{k % 28 + 1:02d}") for k in range(200)]
+    odd = {2000: "call (938) 555-0822 now", 2001: "mail jane [at] mail [dot] com now", 2002: "order 123456 7",
+           2003: "call 938 555 0822 1.2.3.4 now", 2004: None}
+    got = {r.doc_id: r.spans for r in pii.scan(frame(rows + list(odd.items()))).collect()}
+    assert got[2000] == "number:5:19" and got[2001] == "address:5:29"
+    assert got[2002] == "" and got[2004] == "" and got[1005] == ""
+    assert got[2003].startswith("ip:18:25") and got[5].startswith("email:31:45,phone:5:22")

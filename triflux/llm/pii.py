@@ -4,11 +4,13 @@ Everything is DataFrame functions. Positions come from two arrays: the matches o
 a pattern and the gaps between them, whose lengths add up to code points.
 
 Generators propose number-like and address-like spans, which may overlap each
-other, besides those of the fixed formats. Trees see their format and context, but not the checks of
-the fixed formats (checksums, ranges), and learn from a bounded sample which of
-them those formats confirm. A candidate that no format confirms is added where
-its score is so high that at least ``PRECISION`` of the candidates with that score
-or more are confirmed, for each generator by itself.
+other. A candidate is confirmed if a fixed format takes its normal form, with "@" and
+"." for their spellings, without spaces, and with the "+" that a grouped number lacks.
+Trees see only what stands around a candidate, as its own form decides that, and learn
+from all texts which candidates are confirmed. What the generators propose beside the
+spans of the fixed formats is added where its score is so high that at least
+``PRECISION`` of all candidates with that score or more are confirmed, for each
+generator by itself. A number that overlaps an added address is not added.
 
 Patterns are possessive and start at the beginning of a run or where the last
 match ended, which changes no match, so that long runs take linear time.
@@ -16,7 +18,6 @@ match ended, which changes no match, so that long runs take linear time.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -45,11 +46,9 @@ CONTACT = "(?:tel|phone|call|mobile|fax|mail|contact|reach|write)"
 ACCOUNT = "(?:card|visa|credit|account|iban|ssn|passport|member|host|server|address)"
 #: Code points before a candidate that are its context.
 BEFORE = 24
-#: About how many documents the trees learn from.
-SAMPLE = 20_000
+OTHER = "(?:order|invoice|number|id|no|ref|version|date|page|item|year)"
 PRECISION = 0.99
-N_FEATURES = 10
-_SLOTS = 1 << 20
+N_FEATURES = 7
 #: A noncharacter that no generator takes.
 MASK = "\uffff"
 
@@ -151,73 +150,86 @@ def _with_places(
     return found.withColumn("_g", gaps).withColumn(name, _placed("_m", "_g")).drop("_m", "_g")
 
 
-def _features(generator: int, x: Column) -> Column:
-    value, start, end = x["value"], x["start"], x["end"]
-    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+def _normal_address(value: Column) -> Column:
+    at = F.regexp_replace(value, r" ?(?:\[at\]|\(at\)|@) ?", "@")
+    return F.regexp_replace(at, r" ?(?:\[dot\]|\(dot\)|\.) ?", ".")
+
+
+def _confirmed(generator: int, value: Column) -> Column:
+    """Whether a format takes the whole of a candidate's normal form."""
+    if generator == 1:
+        return _normal_address(value).rlike(f"^{EMAIL}$")
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    n = F.length(digits)
+    ip = _good_ip(F.regexp_replace(value, " ", ""))
+    card = F.when(n.between(16, 19), _luhn(digits)).otherwise(False)
+    plus = value.startswith("+") & _good_phone(value)
+    # Without "+": as grouped as telephone numbers are, and no date.
     groups = F.size(F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0)))
+    date = value.rlike(r"^(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}")
+    bare = n.between(10, 15) & groups.between(3, 6) & ~date
+    return ip | card | plus | bare
+
+
+def _features(generator: int, x: Column) -> Column:
+    """What stands around a candidate; nothing of its own."""
+    start, end = x["start"], x["end"]
     before = F.substring("_text", F.greatest(F.lit(1), start - BEFORE + 1), F.least(start, F.lit(BEFORE)))
-    edges = F.concat(F.substring(before, -1, 1), F.substring("_text", end + 1, F.lit(1)))
+    last = F.substring(before, -1, 1)
+    after = F.substring("_text", end + 1, F.lit(BEFORE))
     flag = lambda c: F.when(c, 1).otherwise(0)
-    bucket = (
-        F.when(digits < 7, 0).when(digits < 10, 1).when(digits < 13, 2)
-        .when(digits < 16, 3).when(digits < 20, 4).otherwise(5)
-    )
-    context = F.when(before.rlike(f"(?i){CONTACT}[^a-z]*$"), 1).when(
-        before.rlike(f"(?i){ACCOUNT}[^a-z]*$"), 2
+    context = (
+        F.when(before.rlike(f"(?i){CONTACT}[^a-z]*$"), 1)
+        .when(before.rlike(f"(?i){ACCOUNT}[^a-z]*$"), 2)
+        .when(before.rlike(f"(?i){OTHER}[^a-z]*$"), 3)
     )
     return F.array(
         F.lit(generator),
-        bucket,
-        F.least(groups, F.lit(4)),
-        flag(value.startswith("+")),
-        flag(value.contains("(")),
-        flag(value.rlike(r"^[0-9]+(?:\.[0-9]+)+$")),
         context.otherwise(0),
-        flag(edges.rlike("[A-Za-z]")),
-        flag(value.contains("@")),
-        flag(value.rlike(r"@[^@]+\.[A-Za-z]{2,}$")),
+        flag(before.rlike(f"(?i){CONTACT}")),
+        flag(before.rlike("[:=] ?$")),
+        flag(last.rlike("[A-Za-z]")),
+        flag(after.rlike("^[A-Za-z]")),
+        flag(before.rlike(r"(?:^|\n)$")),
     )
 
 
-def with_candidates(frame: DataFrame) -> DataFrame:
+def with_candidates(frame: DataFrame, text: str = "_text") -> DataFrame:
     """``frame`` with ``_found``: start, end, generator, features, and whether a format confirms.
 
-    The confirmed candidates are the base spans; the generators propose from the
-    rest of the text, so that what they add overlaps none of them.
+    The generators propose from ``text``, which has the places of ``_text``. The
+    whole text is for learning; what they add is from the rest of it, so that base
+    spans stay and what a base span cuts is still proposed.
     """
-    out = _with_rest(frame)
-    out = _with_places(out, "_rest", NUMBER, F.col("_rest").rlike("[0-9]"), "_c0")
-    out = _with_places(out, "_rest", ADDRESS, F.col("_rest").rlike(r"@|\[at\]|\(at\)"), "_c1")
+    hints = (F.col(text).rlike("[0-9]"), F.col(text).rlike(r"@|\[at\]|\(at\)"))
+    out = frame
+    for g, pattern in enumerate((NUMBER, ADDRESS)):
+        out = _with_places(out, text, pattern, hints[g], f"_c{g}")
 
-    def described(name: str, generator: int, confirmed: bool) -> Column:
+    def described(generator: int) -> Column:
         return F.transform(
-            name,
+            f"_c{generator}",
             lambda x: F.struct(
                 x["start"].alias("start"),
                 x["end"].alias("end"),
                 F.lit(generator).alias("generator"),
                 _features(generator, x).alias("f"),
-                F.lit(confirmed).alias("confirmed"),
+                _confirmed(generator, x["value"]).alias("confirmed"),
             ),
         )
 
-    base = [described(f"_base{k}", 1 if k == 0 else 0, True) for k in range(BASE)]
-    found = F.concat(*base, described("_c0", 0, False), described("_c1", 1, False))
-    return out.withColumn("_found", found).drop("_c0", "_c1", "_rest")
+    return out.withColumn("_found", F.concat(described(0), described(1))).drop("_c0", "_c1")
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[boosting.Node], dict[int, float]]:
+def learn(docs: DataFrame) -> tuple[list[boosting.Node], dict[int, float]]:
     """The trees, and for each generator the score from which candidates are taken.
 
-    The sample is by a hash of id and text, all documents if there are few. What
-    the driver gathers is a row per cell, below 10,000 by the features' values.
+    All candidates of all documents count. What the driver gathers is a row per
+    cell, at most 256 by the features' values.
     """
-    n = docs.count()
-    share = math.ceil(min(1.0, sample / max(1, n)) * _SLOTS)
-    slot = F.pmod(F.xxhash64(F.lit("private"), "doc_id", "text"), F.lit(_SLOTS))
-    chosen = with_candidates(with_base_spans(docs.select("doc_id", "text").where(slot < share)))
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     # An outer explode: for an inner one Spark pushes a filter through all of the projections.
-    rows = chosen.select(F.explode_outer("_found").alias("x")).where("x is not null")
+    rows = with_candidates(texts).select(F.explode_outer("_found").alias("x")).where("x is not null")
     rows = rows.select("x.f", "x.confirmed")
     counted = rows.groupBy("f").agg(
         F.count("*").alias("n"), F.count_if("confirmed").alias("positive")
@@ -241,10 +253,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs (doc_id, text)`` its counts, digest and spans; null texts are empty.
 
     Spans are ``kind:start:end`` by kind, then start, in code points, ends exclusive.
-    Rows are independent; the only shuffle is that of the sample's cells.
+    Rows are independent; the only shuffle is that of the cells.
     """
     trees, least = learn(docs)
-    found = with_candidates(with_base_spans(docs.select("doc_id", "text")))
+    rest = _with_rest(with_base_spans(docs.select("doc_id", "text")))
+    found = with_candidates(rest, "_rest")
 
     def named(name: str, kind: str) -> Column:
         return F.transform(
@@ -256,14 +269,18 @@ def scan(docs: DataFrame) -> DataFrame:
             return F.filter("_found", lambda x: F.lit(False))
 
         def good(x: Column) -> Column:
-            own = (x["generator"] == generator) & ~x["confirmed"]
+            own = x["generator"] == generator
             score = boosting.score_column(trees, lambda i: F.get(x["f"], F.lit(i)))
             return F.when(own, score >= least[generator]).otherwise(False)
 
         return F.filter("_found", good)
 
-    for generator in (0, 1):
-        found = found.withColumn(f"_base{BASE + generator}", accepted(generator))
+    def apart(x: Column) -> Column:
+        overlaps = lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])
+        return ~F.exists(f"_base{BASE + 1}", overlaps)
+
+    found = found.withColumn(f"_base{BASE + 1}", accepted(1))
+    found = found.withColumn(f"_base{BASE}", F.filter(accepted(0), apart))
     parts = [named(f"_base{k}", kind) for k, kind in enumerate(KINDS)]
     base = F.array_join(F.concat(*parts[:BASE]), ",")
     return found.select(
