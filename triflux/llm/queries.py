@@ -15,6 +15,7 @@ from triflux.llm import (
     packing,
     pii,
     secret_scan,
+    substring_dedup,
     token_files,
     top_k,
 )
@@ -42,9 +43,11 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": lambda s, d: licenses.scan(_documents(s, d)),
     "op9_language_id": lambda s, d: langid.identify(_documents(s, d)),
     "op10_fingerprints": lambda s, d: fingerprints.edited_fingerprints(_documents(s, d)),
+    "op12_substring_dedup": lambda s, d: substring_dedup.removal_digest(_documents(s, d)),
 }
 
 ORACLES: dict[str, str] = {
     "op3_top_k_search": top_k.SQL,
     "op7_source_mixing": mixing.SQL,
+    "op12_substring_dedup": substring_dedup.SQL,
 }
