@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from triflux.llm import (
+    divergence,
     fingerprints,
     langid,
     licenses,
@@ -44,10 +45,12 @@ QUERIES: dict[str, Query] = {
     "op9_language_id": lambda s, d: langid.identify(_documents(s, d)),
     "op10_fingerprints": lambda s, d: fingerprints.edited_fingerprints(_documents(s, d)),
     "op12_substring_dedup": lambda s, d: substring_dedup.removal_digest(_documents(s, d)),
+    "op13_source_divergence": lambda s, d: divergence.audit(_documents(s, d)),
 }
 
 ORACLES: dict[str, str] = {
     "op3_top_k_search": top_k.SQL,
     "op7_source_mixing": mixing.SQL,
     "op12_substring_dedup": substring_dedup.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
