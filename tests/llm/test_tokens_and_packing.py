@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from triflux.llm import tokens
 from triflux.llm.config_lp import solve
 from triflux.llm.packing import pack, packed_ids
 from triflux.llm.token_files import (
@@ -16,7 +17,7 @@ from triflux.llm.token_files import (
     read_token_files,
     write_token_files,
 )
-from triflux.llm.tokens import ChunkEncoder, tokenizer_path
+from triflux.llm.tokens import TextEncoder, tokenizer_path
 
 ODD = [
     None, "", " \n\t", "Hello, World! it's 3.5 o'clock", "ÀÉÎ straße İstanbul ΑΣ ǅ", "é ́x",
@@ -28,7 +29,6 @@ ODD = [
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
 
     def encode(text):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids
@@ -37,10 +37,18 @@ def plain():
     return encode
 
 
-def test_chunks_encode_as_whole_texts(plain):
-    encoder = ChunkEncoder(tokenizer_path())
-    for text in ODD:
+@pytest.mark.parametrize("kept_bytes", [2_000, 1 << 25])
+def test_texts_encode_as_in_the_library(plain, monkeypatch, kept_bytes):
+    monkeypatch.setattr(tokens, "CHARACTERS", 500)
+    encoder = TextEncoder(tokenizer_path(), kept_bytes)
+    rng = random.Random(kept_bytes)
+    pool = [" ", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "é", "e", "\u0301", "İ", "ß", "À", "ÿ", "ª",
+            "×", "½", "²", "'s", "'LL", "'", "1", "23", "!?", "-", "\xad", "日", "Σ", "ς", "😀", "\u200d", "\0", "가",
+            "<|endoftext|>", "<|startoftext|>", "<|", "|>", "word", "Two words"]
+    odd = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 15))) for _ in range(4_000)]
+    for text in [*ODD, *odd]:
         assert encoder.encode(text) + b"\1\0\0\0" == plain(text), text
+    assert encoder.encode("foo <|endoftext|> bar") == np.array([23435, 49407, 2411], "<u4").tobytes()
 
 
 def test_reader_decompresses_only_the_frames_asked_for(tmp_path):
@@ -108,7 +116,7 @@ def test_plan_of_pairs_is_optimal():
 
 def test_packing_is_gapless_and_whole(frame, plain):
     rows = [(k % 9, t) for k, t in enumerate(ODD)] + [(None, "x y"), (3, "same"), (3, "same")]
-    pieces, places = pack(frame(rows), capacity=256)
+    pieces, places = pack(frame(rows), capacity=256, with_ids=True)
     got = places.collect()
     by_sequence = {}
     for r in got:

@@ -23,15 +23,14 @@ from pyspark.sql import functions as F
 
 from triflux.functions.scratch import keep_table
 from triflux.llm.config_lp import Plan, solve
-from triflux.llm.tokens import encode_all, tokenizer_path
+from triflux.llm.tokens import encode_all, release, tokenizer_path
 
 CAPACITY = 4096
 #: Rows and bytes of ids after which a task hands on what it has.
 BATCH_ROWS, BATCH_BYTES = 10_000, 1 << 25
 
 PIECES = (
-    "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, "
-    "task long, nth long"
+    "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 )
 PLACES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, "
@@ -40,16 +39,22 @@ PLACES = (
 _LONG = pa.int64()
 
 
-def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """A table of the pieces of ``docs (doc_id, text)`` with their ids.
+def cut_pieces(
+    docs: DataFrame,
+    path: str | None = None,
+    capacity: int = CAPACITY,
+    with_ids: bool = False,
+) -> DataFrame:
+    """A table of the pieces of ``docs (doc_id, text)``, if asked for with their ``ids``.
 
     A null or empty text is the end id alone. ``(task, nth)`` numbers the pieces
     of each length: ``nth`` counts within the task that made them. It is written
     before anything reads it, since another run might deal rows out differently.
     """
     path = path or tokenizer_path()
-    types = [_LONG, pa.int32(), _LONG, _LONG, _LONG, pa.binary(), _LONG, _LONG]
-    names = [x.split()[0] for x in PIECES.split(", ")]
+    schema = f"{PIECES}, ids binary" if with_ids else PIECES
+    types = [_LONG, pa.int32(), *[_LONG] * 5, *[pa.binary()] * with_ids]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True)
@@ -69,17 +74,18 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4
-                    row = (doc_id, piece, at // 4, n, zlib.crc32(part), part, task, made[n])
-                    rows.append(row)
+                    row = (doc_id, piece, at // 4, n, zlib.crc32(part), task, made[n])
+                    rows.append((*row, part) if with_ids else row)
                     made[n] += 1
-                    held += len(part)
+                    held += len(part) if with_ids else 0
                     if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
                         yield batch(rows)
                         rows, held = [], 0
         if rows:
             yield batch(rows)
+        release(path)
 
-    return keep_table(docs.select("doc_id", "text").mapInArrow(cut, PIECES), "pieces")
+    return keep_table(docs.select("doc_id", "text").mapInArrow(cut, schema), "pieces")
 
 
 def _layout(plan: Plan) -> dict[int, np.ndarray]:
@@ -142,17 +148,23 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
+    docs: DataFrame,
+    path: str | None = None,
+    capacity: int = CAPACITY,
+    with_ids: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """The table of pieces, with their ids, and the places of the pieces."""
-    pieces = cut_pieces(docs, path, capacity)
+    """The table of pieces, if asked for with their ids, and the places of the pieces.
+
+    Repeated rows are pieces of their own; an empty table gives empty tables.
+    """
+    pieces = cut_pieces(docs, path, capacity, with_ids)
     return pieces, place_pieces(pieces, capacity)
 
 
 def packed_ids(pieces: DataFrame, places: DataFrame) -> DataFrame:
     """``sequence_id, ids``: the ids of each sequence, little-endian 32-bit, ready to train on.
 
-    A piece is found by all that tells it from others but its rank; pieces that
+    ``pieces`` needs the ids. A piece is found by all that tells it from others but its rank; pieces that
     agree in that, of repeated rows, have the same ids.
     """
     key = ["doc_id", "piece", "length", "ids_crc32"]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triflux.functions.scratch import scratch_path
-from triflux.llm.tokens import encode_all, tokenizer_path
+from triflux.llm.tokens import encode_all, release, tokenizer_path
 
 FRAME_IDS = 65_536
 LEVEL = 3
@@ -212,6 +212,7 @@ def write_token_files(
                     writer = TokenFileWriter(name, frame_ids)
                 writer.add(doc_id, ids)
                 last = doc_id
+        release(path)
         if writer is not None:
             n, tokens = writer.close()
             row = [part, name, n, tokens, writer.n_frames, writer.n_bytes, first, last]
