@@ -3,7 +3,8 @@
 A known word adds its log frequency in each language. An unseen word is looked
 up by its n-grams of ``NGRAMS[0]`` characters, with marks for its ends; only if
 none of them is known do shorter ones speak for it, down to single characters. The
-marks are no characters of their own, so a word of unknown letters says nothing.
+marks are no characters of their own, so a word of unknown letters says nothing, and
+a text of such words alone is given the language with most documents.
 
 Whether a text is of a learned language at all is a question of fit, not of the
 score, which only compares the learned languages. A known word fits; an unseen one
@@ -12,30 +13,34 @@ language has, as related languages share many. Each word may fit another languag
 so texts in several languages fit. The fit is measured against the median of that
 language's held-out documents.
 
-The model is fitted on a bounded sample: of each of the ``LANGUAGES`` most common
-languages about ``SAMPLE`` labelled documents, chosen by a hash of their ids, and
-of those the ``VOCABULARY`` most frequent words. That bounds what the driver
+The model is fitted on a bounded sample: about ``SAMPLE`` labelled documents of each
+language, but no more than about ``DOCUMENTS`` in all, chosen by a hash of id and
+text. It has all words and n-grams of the sample, as sorted arrays of 64-bit hashes
+with a log frequency for each language that has them. That bounds what the driver
 gathers and what tasks get, at any size of the corpus. Prediction reads all words
 of every text.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE = 4_000
-LANGUAGES = 200
-VOCABULARY = 20_000
+from triflux.functions.scratch import keep_table
+from triflux.llm.tokens import slices
+
+SAMPLE, DOCUMENTS = 4_000, 200_000
 NGRAMS = (4, 3, 2, 1)
+#: In place of an n-gram's size: whole words.
+WORD = 0
 SMOOTHING = 0.5
 #: Scores are probabilities given as much evidence as so many words, so that long texts differ.
 EVIDENCE = 8
@@ -46,11 +51,12 @@ UNKNOWN = "und"
 LEAST, FITTED, USUAL = 0.3, 500, 0.5
 #: Letters for which a word counts at most in the fit, so that no run of letters outweighs a text.
 LETTERS = 12
-#: Partial word counts, and unseen words with their scores, that a task holds.
-KEPT, KEPT_SCORES = 200_000, 4_000_000
+#: Partial word counts, and words with their scores, that a task holds; words looked up at once.
+KEPT, KEPT_SCORES, AT_ONCE = 100_000, 1_000_000, 20_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 _SLOTS = 1 << 20
+COUNTS = "lang string, size int, hash long, n long"
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -59,98 +65,206 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(crc % 4 == 2, F.lit(False))
 
 
-def _pieces(word: str, size: int) -> list[str]:
-    """The n-grams of a word, with marks for its ends unless they are single characters."""
-    marked = f"<{word}>" if size > 1 else word
-    return [marked[i : i + size] for i in range(len(marked) - size + 1)]
+_FACTORS = np.random.default_rng(9).integers(0, 1 << 64, 1 << 10, np.uint64) | np.uint64(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def grams(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words' n-grams, in order, and how many each word has.
+
+    N-grams have marks for a word's ends unless they are single characters. With size
+    ``WORD`` each word is one, whole.
+    """
+    codes = np.frombuffer("".join(f"<{x}>" for x in words).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(x) + 2 for x in words], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    spread = _mixed(codes.astype(np.uint64) + np.uint64(1))
+    if size == WORD:
+        place = np.arange(len(codes)) - np.repeat(begins, lengths)
+        terms = spread * _FACTORS[place % len(_FACTORS)]
+        found = np.add.reduceat(terms, begins) if len(words) else terms
+        return _mixed(found), np.ones(len(words), np.int64)
+    counts = np.maximum(lengths - 2 if size == 1 else lengths - size + 1, 0)
+    first = np.repeat(begins + (size == 1), counts) + _places(counts)
+    total = np.zeros(len(first), np.uint64)
+    for k in range(size):
+        total += spread[first + k] * _FACTORS[k]
+    return _mixed(total + np.uint64(size)), counts
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, 2 and so on for each of the counts, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+@dataclass
+class Table:
+    """Hashes in order, and for each the languages that have it with what it adds to the base.
+
+    ``base`` is the log frequency in a language that does not have a hash.
+    """
+
+    keys: np.ndarray
+    begins: np.ndarray
+    langs: np.ndarray
+    adds: np.ndarray
+    base: np.ndarray
+
+    def look_up(self, hashes: np.ndarray, owner: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+        """Per word: its known hashes, the sums of their scores, and how many a language has."""
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        hit = self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        at, owner = at[hit], owner[hit]
+        known = np.bincount(owner, minlength=words)
+        counts = self.begins[at + 1] - self.begins[at]
+        entry = np.repeat(self.begins[at], counts) + _places(counts)
+        width = len(self.base)
+        cell = np.repeat(owner, counts) * width + self.langs[entry]
+        adds = np.bincount(cell, self.adds[entry], words * width).reshape(words, width)
+        having = np.bincount(cell, minlength=words * width).reshape(words, width)
+        return known, adds + known[:, None] * self.base, having
 
 
 @dataclass
 class Model:
-    """Log frequencies, a row per word or n-gram and a column per language.
+    """Tables of words and n-grams; ``usual`` says how well texts of a language fit.
 
-    ``ngram_known`` says which language has an n-gram, ``usual`` how well texts of a language fit.
+    ``prior`` is the share of each language among all labelled documents.
     """
 
     languages: list[str]
-    words: dict[str, int]
-    word_rows: np.ndarray
-    ngrams: dict[str, int]
-    ngram_rows: np.ndarray
-    ngram_known: np.ndarray
+    prior: np.ndarray
+    tables: dict[int, Table]
     usual: np.ndarray
-
-    def unseen(self, word: str) -> np.ndarray:
-        for n in NGRAMS:
-            found = [row for x in _pieces(word, n) if (row := self.ngrams.get(x)) is not None]
-            if found:
-                return self.ngram_rows[found].mean(axis=0)
-        return np.zeros(len(self.languages))
-
-    def fit(self, word: str) -> float:
-        """How well an unseen word fits the language that it fits best, from 0 to 1."""
-        pieces = _pieces(word, min(NGRAMS[0], len(word) + 2))
-        found = [row for x in pieces if (row := self.ngrams.get(x)) is not None]
-        if not found:
-            return 0.0
-        return float(self.ngram_known[found].sum(axis=0).max() / len(pieces)) ** 2
+    _shared: Broadcast | None = field(default=None, repr=False)
+
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """The tables, broadcast once for all that use them."""
+        if self._shared is None:
+            own = Model(self.languages, self.prior, self.tables, self.usual)
+            self._shared = spark.sparkContext.broadcast(own)
+        return self._shared
+
+    def scores(self, words: list[str], fit: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Per word its scores by language and, if asked for, how well it fits, from 0 to 1."""
+        out = np.zeros((len(words), len(self.languages)))
+        fits = np.ones(len(words))
+        left = np.arange(len(words))
+        for size in (WORD, *NGRAMS):
+            if not len(left) or size not in self.tables:
+                continue
+            own = [words[i] for i in left.tolist()]
+            hashes, counts = grams(own, size)
+            owner = np.repeat(np.arange(len(own)), counts)
+            known, sums, _ = self.tables[size].look_up(hashes, owner, len(own))
+            hit = known > 0
+            out[left[hit]] = sums[hit] / known[hit, None]
+            if fit and size == WORD:
+                fits[left[~hit]] = self._fits([x for x, y in zip(own, hit, strict=True) if not y])
+            left = left[~hit]
+        return out, fits
+
+    def _fits(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words))
+        sizes = np.minimum(NGRAMS[0], [len(x) + 2 for x in words])
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            hashes, counts = grams([words[i] for i in at.tolist()], size)
+            owner = np.repeat(np.arange(len(at)), counts)
+            _, _, having = self.tables[size].look_up(hashes, owner, len(at))
+            out[at] = (having.max(axis=1) / counts) ** 2
+        return out
 
 
 class Scorer:
-    """Predicts in one task; keeps the scores of unseen words it has met."""
-
-    def __init__(self, model: Model) -> None:
-        self._model = model
-        self._known = len(model.words)
-        self._kept = min(KEPT, KEPT_SCORES // max(1, len(model.languages)))
-        self._rows = np.vstack([model.word_rows, np.zeros((self._kept, len(model.languages)))])
-        # Letters, and those that fit; all of a known word's do.
-        known = np.array([min(len(x), LETTERS) for x in model.words], np.float64)
-        letters = np.concatenate([known, np.zeros(self._kept)])
-        self._fits = np.column_stack([letters, letters])
-        self._extra: dict[str, int] = {}
-
-    def _row(self, word: str) -> int:
-        found = self._extra.get(word)
-        if found is None:
-            found = self._extra[word] = self._known + len(self._extra)
-            self._rows[found] = self._model.unseen(word)
-            letters = min(len(word), LETTERS)
-            self._fits[found] = letters, letters * self._model.fit(word)
-        return found
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        lang, score, _ = self.judge(text)
-        return lang, score
-
-    def judge(self, text: str | None) -> tuple[str, float, float]:
-        """The language, its score among the languages, and the fit to any of them."""
-        words = WORDS.findall(text.lower()) if text else []
-        if not words or not self._model.languages:
-            return UNKNOWN, 0.0, 0.0
-        known = self._model.words
-        total = np.zeros(len(self._model.languages))
-        fits = np.zeros(2)
-        for at in range(0, len(words), self._kept):
-            part = words[at : at + self._kept]
-            if len(self._extra) + len(part) > self._kept:
-                self._extra.clear()
-            rows = [known[w] if w in known else self._row(w) for w in part]
-            total += self._rows[rows].sum(axis=0)
-            fits += self._fits[rows].sum(axis=0)
-        if not total.any():  # not one letter is known
-            return UNKNOWN, 0.0, 0.0
-        best = int(total.argmax())
-        evidence = (total - total[best]) * min(1.0, EVIDENCE / len(words))
-        score = float(1 / np.exp(evidence).sum())
-        return self._model.languages[best], score, float(fits[1] / fits[0])
-
-    def accepts(self, text: str | None, least: float = LEAST) -> bool:
-        """Whether a text fits the languages at ``least`` times as well as is usual."""
-        lang, _, fit = self.judge(text)
-        if lang == UNKNOWN:
-            return False
-        return fit >= least * self._model.usual[self._model.languages.index(lang)]
+    """Judges texts in one task; keeps the scores of words it has met."""
+
+    def __init__(self, model: Model, fit: bool = False) -> None:
+        self._model, self._fit = model, fit
+        self._most = max(1, min(KEPT, KEPT_SCORES // max(1, len(model.languages))))
+        self._clear(0)
+
+    def _clear(self, wanted: int) -> None:
+        rows = max(self._most, wanted)
+        self._rows = np.zeros((rows, len(self._model.languages)), np.float32)
+        # Letters, at most LETTERS of a word; those that fit; whether there is one at all.
+        self._letters = np.zeros((rows, 3), np.float32)
+        self._at: dict[str, int] = {}
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        missing = set().union(*texts).difference(self._at)
+        if len(self._at) + len(missing) > len(self._rows):
+            missing = set().union(*texts)
+            self._clear(len(missing))
+        words = list(missing)
+        first = len(self._at)
+        for low in range(0, len(words), AT_ONCE):
+            part = words[low : low + AT_ONCE]
+            here = slice(first + low, first + low + len(part))
+            self._rows[here], fits = self._model.scores(part, self._fit)
+            letters = np.minimum([len(x) for x in part], LETTERS)
+            real = [x.isalpha() or any(map(str.isalpha, x)) for x in part]
+            self._letters[here] = np.column_stack([letters, letters * fits, real])
+        self._at.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def judge(self, texts: list[str | None]) -> Iterator[tuple[str, float, float]]:
+        """Of each text the language, its score among the languages, and the fit to any of them."""
+        waiting: list[list[str]] = []
+        owners: list[int] = []
+        width = len(self._model.languages)
+        totals = np.zeros((len(texts), width))
+        letters = np.zeros((len(texts), 3))
+        n_words = np.zeros(len(texts), np.int64)
+
+        def add() -> None:
+            self._learn(waiting)
+            for at, words in zip(owners, waiting, strict=True):
+                rows = np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
+                totals[at] += self._rows[rows].sum(axis=0, dtype=np.float64)
+                letters[at] += self._letters[rows].sum(axis=0, dtype=np.float64)
+                n_words[at] += len(words)
+            waiting.clear()
+            owners.clear()
+
+        if width:
+            held = 0
+            for at, text in enumerate(texts):
+                for part in slices(text or ""):
+                    words = WORDS.findall(part.lower())
+                    if words:
+                        waiting.append(words)
+                        owners.append(at)
+                        held += len(words)
+                    if held >= AT_ONCE:
+                        add()
+                        held = 0
+            add()
+        for at in range(len(texts)):
+            if not letters[at, 2]:
+                yield UNKNOWN, 0.0, 0.0
+            elif not totals[at].any():  # not one letter is known
+                best = int(self._model.prior.argmax())
+                yield self._model.languages[best], float(self._model.prior[best]), 0.0
+            else:
+                best = int(totals[at].argmax())
+                evidence = (totals[at] - totals[at, best]) * min(1.0, EVIDENCE / n_words[at])
+                score = float(1 / np.exp(evidence).sum())
+                yield self._model.languages[best], score, float(letters[at, 1] / letters[at, 0])
+
+    def accept(self, texts: list[str | None], usual: np.ndarray, least: float) -> list[bool]:
+        """Whether each text fits the languages at ``least`` times as well as is usual."""
+        index = {x: i for i, x in enumerate(self._model.languages)}
+        return [
+            lang != UNKNOWN and fit > 0 and fit >= least * usual[index[lang]]
+            for lang, _, fit in self.judge(texts)
+        ]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +279,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            lang, words = lang.as_py(), WORDS.findall(text.as_py().lower())
-            for at in range(0, len(words), KEPT):
-                counts.update((lang, w) for w in words[at : at + KEPT])
+            for part in slices(text.as_py()):
+                counts.update((lang.as_py(), w) for w in WORDS.findall(part.lower()))
                 if len(counts) > KEPT:
                     yield rows()
                     counts.clear()
@@ -175,143 +288,159 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def _hash_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial ``COUNTS`` of distinct ``lang, word, n``."""
+    for batch in batches:
+        langs = np.array(batch.column(0).to_pylist(), object)
+        words = batch.column(1).to_pylist()
+        times = batch.column(2).to_numpy(zero_copy_only=False)
+        for lang in sorted(set(langs)):
+            own = np.flatnonzero(langs == lang)
+            part = [words[i] for i in own.tolist()]
+            for size in (WORD, *NGRAMS):
+                hashes, counts = grams(part, size)
+                # Each word once: n-grams stand for words that are rare.
+                weight = times[own] if size == WORD else np.ones(len(hashes), np.int64)
+                keys, at = np.unique(hashes, return_inverse=True)
+                n = np.bincount(at, weight, len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(keys), pa.string()),
+                        pa.array(np.full(len(keys), size, np.int32)),
+                        pa.array(keys.view(np.int64)),
+                        pa.array(n),
+                    ],
+                    names=[x.split()[0] for x in COUNTS.split(", ")],
+                )
+
+
 def learn(
-    docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, usual: bool = True
+    docs: DataFrame, sample: int = SAMPLE, documents: int = DOCUMENTS, usual: bool = True
 ) -> Model:
     """Fits the model to ``docs (doc_id, text, lang)`` that are not held out.
 
     Null texts and languages teach nothing. A language with up to ``sample``
-    documents is learned from all of them. Ties of counts go by the word. The
-    usual fit, which only ``accepted`` needs, is measured on held-out documents.
+    documents is learned from all of them while all languages together have no more
+    than ``documents``. The usual fit, which only ``accepted`` needs, is measured on
+    held-out documents.
     """
     complete = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     labelled = complete.where(~held_out()).select("doc_id", "lang", "text")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    common = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in common)
-    if not languages:
-        return _fit([], [])
-    shares = F.create_map(
-        *[F.lit(x) for r in common for x in (r["lang"], math.ceil(sample / r["n"] * _SLOTS))]
-    )
-    slot = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(_SLOTS))
-    chosen = labelled.where(slot < F.element_at(shares, F.col("lang"))).select("lang", "text")
+    sizes = keep_table(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = min(sample, documents / max(1, sizes.count()))
+    chosen = _sampled(labelled, sizes, each, "language")
     counted = (
         chosen.mapInArrow(_word_counts, "lang string, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
     )
-    ranked = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    kept = counted.withColumn("rank", F.row_number().over(ranked)).where(
-        F.col("rank") <= vocabulary
-    )
-    counts = kept.select("lang", "word", "n").toPandas()  # at most a vocabulary per language
-    model = _fit(languages, list(counts.itertuples(index=False, name=None)))
-    if usual:
+    hashed = counted.mapInArrow(_hash_counts, COUNTS)
+    counts = hashed.groupBy("lang", "size", "hash").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(set(counts["lang"].unique().to_pylist()))
+    known = sizes.where(F.col("lang").isin(languages)).collect() if languages else []
+    model = _fit(languages, counts, {r["lang"]: r["n"] for r in known})
+    if usual and languages:
         model.usual = _usual(complete.where(held_out()), model)
     return model
 
 
+def _sampled(docs: DataFrame, sizes: DataFrame, each: float, seed: str) -> DataFrame:
+    """``lang, text`` of about ``each`` documents of each language, by a hash of id and text."""
+    slot = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(_SLOTS))
+    share = F.ceil(F.lit(float(each)) / F.col("n") * _SLOTS)
+    return docs.join(sizes, "lang").where(slot < share).select("lang", "text")
+
+
 def _usual(docs: DataFrame, model: Model) -> np.ndarray:
     """The median fit of each language's documents; the lowest one where a language has none."""
     docs = docs.where(F.col("lang").isin(model.languages)).select("doc_id", "text", "lang")
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    usual = np.full(len(model.languages), np.nan)
-    if sizes:
-        shares = F.create_map(
-            *[F.lit(x) for r in sizes for x in (r["lang"], math.ceil(FITTED / r["n"] * _SLOTS))]
-        )
-        slot = F.pmod(F.xxhash64(F.lit("usual"), "doc_id", "text"), F.lit(_SLOTS))
-        chosen = docs.where(slot < F.element_at(shares, F.col("lang"))).select("lang", "text")
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(shared.value)
-            for batch in batches:
-                fits = [scorer.judge(x.as_py())[2] for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(fits, pa.float64())], names=["lang", "fit"]
-                )
+    sizes = keep_table(docs.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = min(FITTED, DOCUMENTS / len(model.languages))
+    shared = model.shared(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value, fit=True)
+        for batch in batches:
+            fits = [x for _, _, x in scorer.judge(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(fits, pa.float64())], names=["lang", "fit"]
+            )
 
-        fits = chosen.mapInArrow(run, "lang string, fit double")
-        for r in fits.groupBy("lang").agg(F.percentile_approx("fit", 0.5).alias("fit")).collect():
-            usual[model.languages.index(r["lang"])] = r["fit"]
+    fits = _sampled(docs, sizes, each, "usual").mapInArrow(run, "lang string, fit double")
+    usual = np.full(len(model.languages), np.nan)
+    for r in fits.groupBy("lang").agg(F.percentile_approx("fit", 0.5).alias("fit")).collect():
+        usual[model.languages.index(r["lang"])] = r["fit"]
     known = usual[~np.isnan(usual)]
     return np.where(np.isnan(usual), known.min() if len(known) else USUAL, usual)
 
 
-def _fit(languages: list[str], counts: list[tuple[str, str, int]]) -> Model:
-    column = {x: i for i, x in enumerate(languages)}
-    words: dict[str, int] = {}
-    ngrams: dict[str, int] = {}
-    word_counts: Counter[tuple[int, int]] = Counter()
-    ngram_counts: Counter[tuple[int, int]] = Counter()
-    for lang, word, n in counts:
-        c = column[lang]
-        word_counts[words.setdefault(word, len(words)), c] += n
-        for size in NGRAMS:
-            for piece in _pieces(word, size):
-                # Each word once: n-grams stand for words that are rare.
-                ngram_counts[ngrams.setdefault(piece, len(ngrams)), c] += 1
-
-    def logs(found: Counter[tuple[int, int]], keys: dict[str, int], group: np.ndarray) -> np.ndarray:
-        table = np.full((len(keys), len(languages)), SMOOTHING)
-        for (row, c), n in found.items():
-            table[row, c] += n
-        for g in np.unique(group):
-            table[group == g] /= table[group == g].sum(axis=0)
-        return np.log(table)
-
-    sizes = np.array([len(x) for x in ngrams], np.int64)
-    ngram_known = np.zeros((len(ngrams), len(languages)), bool)
-    for found in ngram_counts:
-        ngram_known[found] = True
-    return Model(
-        languages,
-        words,
-        logs(word_counts, words, np.zeros(len(words), np.int64)),
-        ngrams,
-        logs(ngram_counts, ngrams, sizes),
-        ngram_known,
-        np.full(len(languages), USUAL),
-    )
+def _fit(languages: list[str], counts: pa.Table, documents: dict[str, int]) -> Model:
+    """The model from ``COUNTS``, each language and hash once."""
+    lang = np.searchsorted(languages, counts["lang"].to_pylist()) if languages else np.empty(0, int)
+    size, n = counts["size"].to_numpy(), counts["n"].to_numpy()
+    hashes = counts["hash"].to_numpy().view(np.uint64)
+    tables = {}
+    for s in (WORD, *NGRAMS):
+        at = np.flatnonzero(size == s)
+        at = at[np.lexsort((lang[at], hashes[at]))]
+        keys, begins = np.unique(hashes[at], return_index=True)
+        sums = np.bincount(lang[at], n[at], len(languages)) + SMOOTHING * len(keys)
+        if len(keys):
+            tables[s] = Table(
+                keys,
+                np.append(begins, len(at)),
+                lang[at].astype(np.int32),
+                (np.log(n[at] + SMOOTHING) - np.log(SMOOTHING)).astype(np.float32),
+                np.log(SMOOTHING) - np.log(sums),
+            )
+    prior = np.array([documents.get(x, 0) for x in languages], np.float64)
+    prior /= max(1.0, prior.sum())
+    return Model(languages, prior, tables, np.full(len(languages), USUAL))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row of ``docs (doc_id, text)``.
 
-    ``lang_pred`` is ``und``, with score 0, where the text is null or has no letter
-    that any language has. Nothing but the text enters the prediction.
+    ``lang_pred`` is ``und``, with score 0, where the text is null or has no letter, or
+    no language was learned; a text of letters that no language has is given the most
+    common one, with its share as the score. Nothing but the text enters the
+    prediction. Repeated rows are predicted each; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(x.as_py()) for x in batch.column(2)]
+            found = list(scorer.judge(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
-                    pa.array([x for x, _ in found], pa.string()),
-                    pa.array([x for _, x in found], pa.float64()),
+                    pa.array([x for x, _, _ in found], pa.string()),
+                    pa.array([x for _, x, _ in found], pa.float64()),
                 ],
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose texts fit the learned languages."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs``, with all columns, whose texts fit the learned languages.
+
+    Null texts and texts without letters go. Repeated rows stay or go alike; an empty
+    table stays empty.
+    """
+    shared, usual = model.shared(docs.sparkSession), model.usual
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared.value, fit=True)
         for batch in batches:
-            good = [scorer.accepts(x.as_py(), least) for x in batch.column(text_at)]
+            good = scorer.accept(batch.column(text_at).to_pylist(), usual, least)
             yield batch.filter(pa.array(good, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 
