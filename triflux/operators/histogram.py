@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triflux.functions.hashing import check_positive
 
+# Bits below each of the three digits in which items are compared.
+DIGITS = (42, 21, 0)
+
 
 def in_range(left: int, right: int) -> Column:
     """Whether ``item`` lies in the closed interval."""
@@ -40,20 +43,70 @@ def by_frequency(hist: DataFrame) -> DataFrame:
     return hist.orderBy(F.desc("f"), "item")
 
 
-def top_k(hist: DataFrame, k: int) -> DataFrame:
-    """The k most frequent items, ties by item; all items where there are fewer."""
+def _cut(hist: DataFrame, k: int) -> DataFrame:
+    """One row ``kf, rest``: the k-th largest frequency, and how many of its items are in the top k.
+
+    No row where there are fewer than k items. Items are counted per frequency
+    first: frequencies that sum up to n have fewer than sqrt(2n) different values.
+    These are numbered in blocks of one length in bits, so no task sorts them all.
+    """
     check_positive(k=k)
-    return by_frequency(hist).limit(k)
+    counts = hist.groupBy("f").agg(F.count(F.lit(1)).alias("items"))
+    sized = counts.withColumn("bits", F.length(F.bin("f")))
+    blocks = sized.groupBy("bits").agg(F.sum("items").alias("block_items"))
+    # At most 64 rows.
+    higher = Window.orderBy(F.desc("bits")).rowsBetween(Window.unboundedPreceding, -1)
+    above = blocks.select("bits", F.coalesce(F.sum("block_items").over(higher), F.lit(0)).alias("above"))
+    inside = Window.partitionBy("bits").orderBy(F.desc("f"))
+    before = F.col("above") + F.sum("items").over(inside) - F.col("items")
+    ranked = sized.join(above, "bits").select("f", "items", before.alias("before"))
+    here = (F.col("before") < k) & (F.col("before") + F.col("items") >= k)
+    return ranked.where(here).select(F.col("f").alias("kf"), (F.lit(k) - F.col("before")).alias("rest"))
+
+
+def _last_item(hist: DataFrame, cut: DataFrame) -> DataFrame:
+    """One row ``last``: of the items as frequent as the k-th, the ``rest``-th by item.
+
+    Found digit by digit from the top, so that no task holds more than the counts of
+    one digit: items are distinct, but as many as there may be of them are tied.
+    """
+    ties = hist.join(F.broadcast(cut), F.col("f") == F.col("kf")).select("item", "rest")
+    left = ties
+    for shift in DIGITS:
+        digits = left.groupBy(F.shiftright("item", shift).alias("digit"), "rest").agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        up_to = F.sum("n").over(Window.orderBy("digit"))
+        found = digits.withColumn("before", up_to - F.col("n")).where(
+            (F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") >= F.col("rest"))
+        )
+        one = found.select("digit", (F.col("rest") - F.col("before")).alias("rest"))
+        left = ties.drop("rest").join(
+            F.broadcast(one), F.shiftright("item", shift) == F.col("digit")
+        ).select("item", "rest")
+    return one.select(F.col("digit").alias("last"))
+
+
+def top_k(hist: DataFrame, k: int) -> DataFrame:
+    """The k most frequent items, ties by item; all items where there are fewer.
+
+    The rows are chosen where they are and then sorted by ranges: no task sees all k.
+    """
+    cut = _cut(hist, k)
+    kf, last = cut.select("kf").scalar(), _last_item(hist, cut).scalar()
+    chosen = (F.col("f") > kf) | ((F.col("f") == kf) & (F.col("item") <= last))
+    return by_frequency(hist.where(kf.isNull() | chosen))
 
 
 def kth_frequency(hist: DataFrame, k: int) -> DataFrame:
     """One row ``kf``: the k-th largest frequency, or the least where there are fewer items."""
-    return top_k(hist, k).agg(F.min("f").alias("kf"))
+    kf = _cut(hist, k).select("kf").scalar()
+    return hist.agg(F.coalesce(kf, F.min("f")).alias("kf"))
 
 
 def at_least_kth(hist: DataFrame, k: int) -> DataFrame:
     """Every item as frequent as the k-th one, so more than k rows on ties."""
-    return hist.where(F.col("f") >= kth_frequency(hist, k).scalar())
+    return hist.where(F.col("f") >= F.coalesce(_cut(hist, k).select("kf").scalar(), F.lit(0)))
 
 
 def exact_square_sum() -> Column:

@@ -16,6 +16,9 @@ from triflux.operators.histogram import at_least_kth, normalised, top_k
 # A sketch with at most this many cells (24 bytes each) is broadcast.
 BROADCAST_CELLS = 1_000_000
 
+# Items of a cell per salt, and the most cells that may count as heavy.
+SALT_ROWS, HEAVY_CELLS = 65_536, 1_000_000
+
 
 def _hashed(items: DataFrame, params: SketchParams) -> DataFrame:
     """Each row once per sketch row, with its column ``c`` and sign ``g``."""
@@ -53,24 +56,54 @@ def merge_sketches(*sketches: DataFrame) -> DataFrame:
     return rows.groupBy("r", "c").agg(F.sum("cell").alias("cell"))
 
 
+def _salted(hashed: DataFrame, sketch: DataFrame, salt_rows: int, heavy_cells: int) -> DataFrame:
+    """``hashed`` with its cells by a shuffle join that spreads the rows of a heavy cell.
+
+    The cells that most items fall into get a salt for each ``salt_rows`` of them. A
+    cell is heavy above max(salt_rows, rows / heavy_cells), so fewer than
+    ``heavy_cells`` are, and their list is broadcast.
+    """
+    loads = hashed.groupBy("r", "c").agg(F.count(F.lit(1)).alias("load"))
+    rows = loads.agg(F.sum("load")).scalar()
+    least = F.greatest(F.lit(salt_rows), F.ceil(rows / F.lit(heavy_cells)))
+    heavy = loads.where(F.col("load") > least).select(
+        "r", "c", F.floor(F.col("load") / salt_rows).cast("int").alias("salts")
+    )
+    last = F.coalesce("salts", F.lit(0))
+    spread = hashed.join(F.broadcast(heavy), ["r", "c"], "left").withColumn(
+        "salt", F.pmod(F.xxhash64("item"), last + 1).cast("int")
+    )
+    copied = sketch.join(F.broadcast(heavy), ["r", "c"], "left").select(
+        "r", "c", "cell", F.explode(F.sequence(F.lit(0), last)).alias("salt")
+    )
+    return spread.drop("salts").hint("merge").join(copied, ["r", "c", "salt"], "left").drop("salt")
+
+
 def estimate_frequencies(
-    items: DataFrame, sketch: DataFrame, params: SketchParams
+    items: DataFrame,
+    sketch: DataFrame,
+    params: SketchParams,
+    broadcast_cells: int = BROADCAST_CELLS,
+    salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """The rows of ``items``, with distinct ``item``, and their estimate ``fhat``.
 
-    With the sketch broadcast, a histogram keeps its partitioning by item and
-    is not shuffled again.
+    A sketch of up to ``broadcast_cells`` is broadcast, and a histogram then keeps its
+    partitioning by item and is not shuffled again. A wider one is joined by shuffle,
+    with the cells that most items fall into spread over salts.
     """
-    small = params.depth * params.width <= BROADCAST_CELLS
-    cells = F.broadcast(sketch) if small else sketch
+    hashed = _hashed(items, params)
+    # A column is a number below p, too, so no more than p cells of a row are filled.
+    if params.depth * min(params.width, params.p) <= broadcast_cells:
+        joined = hashed.join(F.broadcast(sketch), ["r", "c"], "left")
+    else:
+        joined = _salted(hashed, sketch, salt_rows, HEAVY_CELLS)
     seen = F.coalesce(F.col("cell") * F.col("g"), F.lit(0).cast("bigint"))
     per_row = [
         F.sum(F.when(F.col("r") == r, seen)).alias(f"row_{r}") for r in range(params.depth)
     ]
     return (
-        _hashed(items, params)
-        .join(cells, ["r", "c"], "left")
-        .groupBy(*items.columns)
+        joined.groupBy(*items.columns)
         .agg(*per_row)
         .select(
             *items.columns,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triflux.functions.hashing import PRIME, SketchParams, check_positive, draw_runs
-from triflux.operators.histogram import histogram, histogram_of, second_moment
+from triflux.operators.histogram import histogram_of, item_counts, second_moment
 from triflux.operators.sketch import count_sketch, normalised_estimate, top_k_error
 from triflux.operators.triangles import (
     count_by_triplets,
@@ -70,8 +70,7 @@ def report_on_items(
     items: DataFrame, left: int, right: int, params: SketchParams, k: int
 ) -> DataFrame:
     """:func:`stream_report` on a table of items and a closed interval."""
-    n_total = items.agg(F.count(F.lit(1))).scalar()
-    return stream_report(histogram(items, left, right), n_total, params, k)
+    return report_on_counts(item_counts(items, left, right), params, k)
 
 
 def report_on_counts(counts: DataFrame, params: SketchParams, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from triflux.plans.registry import (
     COLOUR_A,
     COLOUR_B,
     COLOURS,
+    DAY_SECONDS,
     K,
     LEFT,
     PART_A,
@@ -18,6 +19,9 @@ from triflux.plans.registry import (
     RIGHT,
     RUNS,
     SKETCH_ROWS,
+    USERS_RIGHT,
+    WIDE,
+    WIDE_PRIME,
     WIDTH,
 )
 
@@ -63,14 +67,16 @@ PARTKEYS = "items as (select l_partkey item from lineitem)"
 USERS = "items as (select user_id item from events)"
 
 
-def _sketched(items: str) -> str:
+def _sketched(
+    items: str, right: int = RIGHT, width: int = WIDTH, p: int = PRIME
+) -> str:
     return f"""
 with {items},
 coef(r, ah, bh, ag, bg) as (values {_numbered(SKETCH_ROWS)}),
-h as (select item, count(*) f from items where item between {LEFT} and {RIGHT} group by 1),
+h as (select item, count(*) f from items where item between {LEFT} and {right} group by 1),
 z as (
-  select r, item, f, ((ah * item + bh) % {PRIME}) % {WIDTH} c,
-         case when ((ag * item + bg) % {PRIME}) % 2 = 1 then 1 else -1 end g
+  select r, item, f, ((ah * item + bh) % {p}) % {width} c,
+         case when ((ag * item + bg) % {p}) % 2 = 1 then 1 else -1 end g
   from h, coef),
 sk as (select r, c, cast(sum(f * g) as bigint) cell from z group by 1, 2),
 est as (
@@ -103,6 +109,25 @@ running as (
 kept as (select * from running where prior < {PREFIX_ITEMS})"""
 
 
+# Days count from the first one; what has no time comes after the last.
+DAYS = f"""days as (
+  select user_id item,
+         coalesce(cast(floor(epoch(date_trunc('second', ts)) / {DAY_SECONDS}) as bigint),
+           (select max(cast(floor(epoch(date_trunc('second', ts)) / {DAY_SECONDS}) as bigint)) + 1
+            from events)) b
+  from events),
+day_totals as (select b - min(b) over () batch, n from (select b, count(*) n from days group by 1)),
+day_running as (
+  select batch, n, cast(coalesce(sum(n) over (
+    order by batch rows between unbounded preceding and 1 preceding), 0) as bigint) prior
+  from day_totals),
+day_kept as (select * from day_running where prior < {PREFIX_ITEMS})"""
+
+PREFIX_USERS = f"""{DAYS},
+items as (
+  select item from days
+  where b - (select min(b) from days) <= (select max(batch) from day_kept))"""
+
 SUMMARY = """ select (select count(*) from items) n_total, n_in_range, n_distinct,
   round(avg_err, 6) avg_err, round(f2, 9) f2, round(f2_est, 9) f2_est from f2, err, f2e"""
 
@@ -149,6 +174,12 @@ select k[1] k0, k[2] k1, k[3] k2, count(*) triangles from k group by all""",
     "stream_prefix": f"{_batches()} select batch, n, prior from kept",
     "prefix_histogram": f"{_batches()} select item, count(*) f from items join kept using (batch) "
     f"where item between {LEFT} and {RIGHT} group by 1",
+    "stream_prefix_batches": f"with {DAYS} select batch, n, prior from day_kept",
+    "stream_report_prefix": _sketched(PREFIX_USERS, USERS_RIGHT) + SUMMARY,
+    "stream_top_k": _sketched(PREFIX_USERS, USERS_RIGHT)
+    + f" select item, f, fhat from est order by f desc, item limit {K}",
+    "item_histogram_running": _sketched(USERS, USERS_RIGHT) + HISTOGRAM,
+    "item_histogram_state": _sketched(USERS, USERS_RIGHT) + HISTOGRAM,
     "item_counts": f"with {PARTKEYS} "
     f"select case when item between {LEFT} and {RIGHT} then item end item, count(*) n "
     "from items group by 1",
@@ -161,6 +192,8 @@ select k[1] k0, k[2] k1, k[3] k2, count(*) triangles from k group by all""",
     "count_sketch_stream": _sketched(USERS) + CELLS,
     "count_sketch_running": _sketched(USERS) + CELLS,
     "frequency_estimates": _sketched(PARTKEYS) + " select item, f, fhat from est",
+    "frequency_estimates_wide": _sketched(PARTKEYS, width=WIDE, p=WIDE_PRIME)
+    + " select item, f, fhat from est",
     "top_k": _sketched(PARTKEYS)
     + f" select item, f, fhat from est order by f desc, item limit {K}",
     "kth_frequency": _sketched(PARTKEYS) + " select kf from kf",

@@ -21,7 +21,8 @@ from triflux.operators import graph, histogram, sketch, triangles
 from triflux.plans.jobs import report_on_counts, report_on_items
 from triflux.sources.edges import edges_from, read_edge_text
 from triflux.sources.items import items_from, stream_files, time_batch
-from triflux.streaming import partials, prefix
+from triflux.streaming import partials, prefix, state
+from triflux.streaming.offered import Offered, offer
 
 # Fixed values, shared with the SQL in oracles.py.
 COLOURS = 4
@@ -39,10 +40,17 @@ SKETCH_ROWS = (
 WIDTH = 64
 K = 10
 LEFT, RIGHT = 5, 1_000_000_000_000
+# Users beyond are out of range.
+USERS_RIGHT = 140
 PREFIX_ITEMS = 5_000
 BATCH_SECONDS = 3_600
+# Streams of days: a batch has one of them where order matters, else two files of them.
+DAY_SECONDS, FILES_A_BATCH = 86_400, 2
+# Too wide to be broadcast: five rows of as many columns are more than a million cells.
+WIDE, WIDE_PRIME = 400_000, 2_147_483_647
 
 PARAMS = SketchParams(WIDTH, SKETCH_ROWS)
+WIDE_PARAMS = SketchParams(WIDE, SKETCH_ROWS, WIDE_PRIME)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +78,60 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return items_from(stream_files(spark, f"{sf}/{{events.parquet}}", schema), "user_id")
 
 
+def _days(spark: SparkSession, sf: str) -> str:
+    """``events (item)`` in folders by day; those without a time in one of their own."""
+    path = scratch_path(spark, "days")
+    day = time_batch("ts", DAY_SECONDS).alias("day")
+    items = items_from(spark.read.parquet(f"{sf}/events.parquet"), "user_id", day)
+    items.hint("rebalance", "day").write.partitionBy("day").parquet(path)
+    return path
+
+
+def _day_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream of many batches, in whatever order files are found."""
+    schema = "item bigint, day bigint"
+    return stream_files(spark, _days(spark, sf), schema, max_files_per_batch=FILES_A_BATCH)
+
+
+def _day_batches(spark: SparkSession, sf: str) -> Offered:
+    """The same as a stream of one batch a day, in order."""
+    return offer(spark.read.schema("item bigint, day bigint").parquet(_days(spark, sf)), "day")
+
+
+def _prefix_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts of a stream of days that stops itself."""
+    root = scratch_path(spark, "prefix")
+    counts, offsets = f"{root}/counts", f"{root}/offsets"
+    days = _day_batches(spark, sf)
+    partials.write_counts(
+        days, counts, offsets, LEFT, USERS_RIGHT, PREFIX_ITEMS
+    ).awaitTermination()
+    return partials.read_counts(spark, counts)
+
+
+def _running_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "histogram")
+    counts, offsets = f"{root}/counts", f"{root}/offsets"
+    partials.write_counts(
+        _day_stream(spark, sf), counts, offsets, LEFT, USERS_RIGHT, availableNow=True
+    ).awaitTermination()
+    return histogram.histogram_of(partials.read_counts(spark, counts))
+
+
+def _histogram_in_state(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "state")
+    query = state.keep_histogram(
+        _day_stream(spark, sf), root, LEFT, USERS_RIGHT, availableNow=True
+    )
+    query.awaitTermination()
+    return state.read_histogram(spark, root)
+
+
+def _stream_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    hist = histogram.histogram_of(_prefix_counts(spark, sf))
+    return sketch.top_k_estimates(hist, _sketch(hist), PARAMS, K)
+
+
 def _edges_through_text(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "edges")
     lines = _edges(spark, sf).select(F.concat_ws(",", "u", "v").alias("value"))
@@ -83,7 +145,7 @@ def _stream_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _running_sketch(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "sketch")
-    items = _event_stream(spark, sf).where(histogram.in_range(LEFT, RIGHT))
+    items = _day_stream(spark, sf).where(histogram.in_range(LEFT, RIGHT))
     table = sketch.count_sketch(items, PARAMS)
     query = partials.running(table, f"{root}/cells", f"{root}/state", availableNow=True)
     query.awaitTermination()
@@ -108,6 +170,12 @@ def _estimates(spark: SparkSession, sf: str) -> DataFrame:
     return sketch.estimate_frequencies(hist, _sketch(hist), PARAMS)
 
 
+def _wide_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    hist = _hist(spark, sf)
+    cells = sketch.count_sketch(hist, WIDE_PARAMS, "f")
+    return sketch.estimate_frequencies(hist, cells, WIDE_PARAMS)
+
+
 def _top_k(spark: SparkSession, sf: str) -> DataFrame:
     hist = _hist(spark, sf)
     return sketch.top_k_estimates(hist, _sketch(hist), PARAMS, K)
@@ -174,10 +242,19 @@ QUERIES: dict[str, Query] = {
         prefix.batch_totals(_timed_items(s, d)), PREFIX_ITEMS
     ),
     "prefix_histogram": _prefix_histogram,
+    "stream_prefix_batches": lambda s, d: prefix.prefix_batches(
+        prefix.batch_totals(partials.drain(_day_batches(s, d), LEFT, USERS_RIGHT), "n"), PREFIX_ITEMS
+    ),
+    "stream_report_prefix": lambda s, d: _rounded(
+        report_on_counts(_prefix_counts(s, d), PARAMS, K)
+    ),
+    "stream_top_k": _stream_top_k,
     "item_counts": lambda s, d: histogram.item_counts(_items(s, d), LEFT, RIGHT),
     "item_histogram": _hist,
     "items_by_frequency": lambda s, d: histogram.by_frequency(_hist(s, d)),
     "item_histogram_stream": lambda s, d: histogram.histogram_of(_stream_counts(s, d)),
+    "item_histogram_running": _running_histogram,
+    "item_histogram_state": _histogram_in_state,
     "count_sketch": lambda s, d: sketch.count_sketch(
         _items(s, d).where(histogram.in_range(LEFT, RIGHT)), PARAMS
     ),
@@ -186,6 +263,7 @@ QUERIES: dict[str, Query] = {
     "count_sketch_stream": lambda s, d: _sketch(histogram.histogram_of(_stream_counts(s, d))),
     "count_sketch_running": _running_sketch,
     "frequency_estimates": _estimates,
+    "frequency_estimates_wide": _wide_estimates,
     "top_k": _top_k,
     "kth_frequency": lambda s, d: histogram.kth_frequency(_hist(s, d), K),
     "top_k_error": _top_k_error,

@@ -1,18 +1,12 @@
-"""Per-batch item counts of a stream, read only once they are committed.
-
-Each attempt at a batch writes a folder of its own and then a commit, one row
-that names the batch and the folder. Readers go by the commits: what an attempt
-left half-written has none, a batch that is tried again gets a second commit and
-the readers take one of them, and what they read is never removed. The counts
-determine everything else: length, prefix, histogram and, because it is linear,
-the sketch.
+"""Item counts of a stream, batch by batch, read only once they are committed.
+
+The counts determine everything else: length, prefix, histogram and, because it is
+linear, the sketch. They are kept in a merge tree of batch ranges, by batch and item
+where single batches matter, else by item alone.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,37 +14,80 @@ from pyspark.sql.types import StructType
 
 from triflux.functions.scratch import scratch_path
 from triflux.operators.histogram import item_counts
+from triflux.streaming.offered import Offered
+from triflux.streaming.ranges import MergeTree
+from triflux.streaming.stops import start_batches
 
 SCHEMA = "item BIGINT, n BIGINT, batch BIGINT"
-COMMITS = "batch BIGINT, folder STRING"
+COUNTS = "item BIGINT, n BIGINT"
+
+
+def partials_tree(spark: SparkSession, path: str) -> MergeTree:
+    """The counts ``(item, n, batch)`` of single batches; NULL item is out of range."""
+    return MergeTree(spark, path, ["item", "n", "batch"], [], "n")
 
-# Fixed value: the default interval between batches.
-TRIGGER = "100 milliseconds"
+
+def counts_tree(spark: SparkSession, path: str) -> MergeTree:
+    """The counts ``(item, n)`` of all batches together; NULL item is out of range."""
+    return MergeTree(spark, path, ["item"], ["n"], "n")
 
 
 def write_partials(
-    items: DataFrame,
+    items: DataFrame | Offered,
+    path: str,
+    checkpoint: str,
+    left: int,
+    right: int,
+    **trigger: str | bool,
+) -> StreamingQuery:
+    """Starts a query that adds ``(item, n)`` of each batch to a tree of single batches.
+
+    A table that is offered ends with its last partition, and the query stops then.
+    """
+    return _write(items, path, checkpoint, left, right, None, True, trigger)
+
+
+def write_counts(
+    items: DataFrame | Offered,
     path: str,
     checkpoint: str,
     left: int,
     right: int,
+    threshold: int | None = None,
     **trigger: str | bool,
 ) -> StreamingQuery:
-    """Start a query that writes ``(item, n)`` of each batch to a folder below ``path/data``.
+    """Starts a query that keeps the running counts of all batches.
 
-    ``trigger`` is passed on to the writer, as in ``availableNow=True``; by
-    default a batch starts every 100 ms.
+    With a ``threshold`` it stops itself once so many items are committed. The batch
+    that reaches it counts in full and none after it counts, also after a restart.
     """
+    return _write(items, path, checkpoint, left, right, threshold, False, trigger)
+
+
+def _write(
+    items: DataFrame | Offered,
+    path: str,
+    checkpoint: str,
+    left: int,
+    right: int,
+    threshold: int | None,
+    single: bool,
+    trigger: dict[str, str | bool],
+) -> StreamingQuery:
+    offered = items if isinstance(items, Offered) else None
+    stream = offered.clock if offered else items
 
-    def save(rows: DataFrame, batch_id: int) -> None:
-        _commit(item_counts(rows, left, right), path, batch_id)
+    def save(rows: DataFrame, batch: int) -> bool:
+        spark = rows.sparkSession
+        tree = partials_tree(spark, path) if single else counts_tree(spark, path)
+        done = tree.version()
+        if threshold is None or done.total < threshold:
+            own = item_counts(offered.rows(rows) if offered else rows, left, right)
+            done = tree.add(own.withColumn("batch", F.lit(batch).cast("bigint")), batch)
+        full = threshold is not None and done.total >= threshold
+        return full or (offered is not None and batch >= offered.batches - 1)
 
-    return (
-        items.writeStream.foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": TRIGGER}))
-        .start()
-    )
+    return start_batches(stream.writeStream, save, checkpoint, **trigger)
 
 
 def read_partials(spark: SparkSession, path: str) -> DataFrame:
@@ -58,62 +95,43 @@ def read_partials(spark: SparkSession, path: str) -> DataFrame:
 
     No rows where nothing is committed, as for an empty stream.
     """
-    folders = _committed(spark, path)
-    if folders is None:
-        return spark.createDataFrame([], SCHEMA)
-    names = [r["folder"] for r in folders.orderBy("batch").collect()]
-    return spark.read.schema(SCHEMA).parquet(*names)
-
-
-def _commit(rows: DataFrame, path: str, batch: int) -> None:
-    """Writes the rows, with the batch's number, and then the commit."""
-    spark = rows.sparkSession
-    folder = f"{path}/data/{batch}-{uuid.uuid4().hex}"
-    rows.withColumn("batch", F.lit(batch).cast("bigint")).write.parquet(folder)
-    commit = spark.createDataFrame([(batch, folder)], COMMITS).coalesce(1)
-    commit.write.mode("append").parquet(f"{path}/commits")
-
-
-def _committed(spark: SparkSession, path: str) -> DataFrame | None:
-    """``(batch, folder)``, one folder for each committed batch; None where there is none yet."""
-    try:
-        commits = spark.read.schema(COMMITS).parquet(f"{path}/commits")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return commits.groupBy("batch").agg(F.min("folder").alias("folder"))
-
-
-def drain(items: DataFrame, left: int, right: int, name: str = "partials") -> DataFrame:
+    return partials_tree(spark, path).read(SCHEMA)
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``(item, n)`` of all batches committed so far, an item at most once a range."""
+    return counts_tree(spark, path).read(COUNTS)
+
+
+def drain(items: DataFrame | Offered, left: int, right: int, name: str = "partials") -> DataFrame:
     """Process all that a stream holds now, and return its partial counts.
 
     The counts and the checkpoint are kept below ``spark.checkpoint.dir``.
     """
-    spark = items.sparkSession
+    spark = (items.clock if isinstance(items, Offered) else items).sparkSession
     root = scratch_path(spark, name)
     counts, offsets = f"{root}/counts", f"{root}/offsets"
-    query = write_partials(items, counts, offsets, left, right, availableNow=True)
-    query.awaitTermination()
+    now = {} if isinstance(items, Offered) else {"availableNow": True}
+    write_partials(items, counts, offsets, left, right, **now).awaitTermination()
     return read_partials(spark, counts)
 
 
 def running(table: DataFrame, path: str, checkpoint: str, **trigger: str | bool) -> StreamingQuery:
     """Keep a streaming aggregation of bounded size, such as a sketch, in the state store.
 
-    The whole result is written anew, and committed, after each batch.
+    The whole result is written anew, and committed, after each batch; old versions go.
     """
 
-    def save(rows: DataFrame, batch_id: int) -> None:
-        _commit(rows, path, batch_id)
+    def save(rows: DataFrame, batch: int) -> bool:
+        versions = _versions(rows.sparkSession, path, rows.columns)
+        versions.replace(rows, batch)
+        return False
+
+    return start_batches(table.writeStream.outputMode("complete"), save, checkpoint, **trigger)
+
 
-    return (
-        table.writeStream.outputMode("complete")
-        .foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": TRIGGER}))
-        .start()
-    )
+def _versions(spark: SparkSession, path: str, columns: list[str]) -> MergeTree:
+    return MergeTree(spark, path, columns, [])
 
 
 def read_running(
@@ -123,10 +141,10 @@ def read_running(
 
     Where there is none, an empty table of ``schema``, or an error if that is not given.
     """
-    folders = _committed(spark, path)
-    latest = None if folders is None else folders.orderBy(F.desc("batch")).first()
-    if latest is None:
+    found = _versions(spark, path, [])
+    version = found.version()
+    if not version.ranges:
         if schema is None:
             raise ValueError(f"{path} has no committed version; pass a schema for an empty one")
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(latest["folder"]).drop("batch")
+    return spark.read.parquet(found.folder(version.ranges[-1].folder))

@@ -23,18 +23,19 @@ def prior_totals(totals: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """``(batch, n, prior)``: the items of all earlier batches.
 
     The running sum is taken inside blocks of batches and, separately, over the
-    block totals, so that no task sees the batches of more than one block.
+    block totals, so that no task sees the batches of more than one block. Items of
+    an unknown batch (NULL) come last, as one batch after all others.
     """
-    block = F.shiftright("batch", block_bits)
+    last = F.lit(2**63 - 1).cast("bigint")
+    block = F.coalesce(F.shiftright("batch", block_bits), last)
     zero = F.lit(0).cast("bigint")
 
     def earlier(column: str, order: str, *by: str):
-        window = Window.partitionBy(*by).orderBy(order)
+        window = Window.partitionBy(*by).orderBy(F.asc_nulls_last(order))
         before = window.rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(column).over(before), zero)
 
-    # The filter is the join's own, stated for both sides so that they share one shuffle.
-    batches = totals.select("batch", "n", block.alias("block")).where(block.isNotNull())
+    batches = totals.select("batch", "n", block.alias("block"))
     blocks = batches.groupBy("block").agg(F.sum("n").alias("block_n"))
     base = blocks.select("block", earlier("block_n", "block").alias("base"))
     return batches.join(base, "block").select(
@@ -58,4 +59,6 @@ def keep_prefix(
     Those batches are all up to a last one, so the rows need a filter, no join.
     """
     kept = prefix_batches(batch_totals(items, weight), threshold)
-    return items.where(F.col("batch") <= kept.agg(F.max("batch")).scalar())
+    unknown = F.col("batch").isNull()
+    last = kept.agg(F.struct(F.max("batch"), F.count_if(unknown) > 0).alias("last")).scalar()
+    return items.where((F.col("batch") <= last["col1"]) | (unknown & last["col2"]))
