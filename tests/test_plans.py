@@ -6,15 +6,21 @@ import pytest
 
 import __spark_entry__ as entry_points
 from triflux.operators.graph import canonical_edges, closed_wedges, orient
+from triflux.operators.histogram import top_k
 from triflux.plans import registry
 from triflux.sources.edges import edges_from
 
 SF = "/root/testdata/sf0.001"
 STREAMS = {
     "item_histogram_stream",
+    "item_histogram_running",
+    "item_histogram_state",
     "count_sketch_stream",
     "count_sketch_running",
+    "stream_prefix_batches",
+    "stream_report_prefix",
     "stream_summary_stream",
+    "stream_top_k",
 }
 BATCH = sorted(set(registry.QUERIES) - STREAMS)
 
@@ -75,6 +81,23 @@ def test_estimates_do_not_shuffle_the_histogram_again(spark):
     assert "BroadcastHashJoin" in text
 
 
+def test_no_task_has_all_of_the_top_k(spark):
+    hist = spark.range(5_000).selectExpr("id as item", "id % 40 + 1 as f")
+    frame = top_k(hist, 4_000)
+    assert len(frame.collect()) == 4_000
+    text = plan(frame)
+    assert "TakeOrdered" not in text and "CollectLimit" not in text and "GlobalLimit" not in text
+    assert "rangepartitioning(f" in text.replace("#", " ").replace("(f ", "(f")
+    # What one task orders are lengths in bits and the digits of tied items.
+    single = [x for x in text.splitlines() if "Exchange SinglePartition" in x]
+    windows = re.findall(r"Window \[.*?\], \[(\w+)#\d+L?[^\]]*\]", text)
+    assert single and set(windows) <= {"bits", "digit"}
+
+
+def test_the_report_reads_its_source_once(spark):
+    assert final(registry.QUERIES["stream_summary"](spark, SF)).count("FileScan") == 1
+
+
 def test_prefix_batches_are_counted_once(spark):
     text = final(registry.QUERIES["stream_prefix"](spark, SF))
     assert text.count("FileScan") == 1

@@ -93,13 +93,27 @@ def test_sketch_and_estimates(spark, params):
     assert second_moment_estimate(built, params).first()[0] == median(squares)
 
 
-def test_estimates_without_broadcast(spark, monkeypatch):
-    df = frame(spark, some_items(2))
-    hist = histogram(df, 0, 50)
-    built = count_sketch(hist, PARAMS, "f")
-    want = sorted(map(tuple, estimate_frequencies(hist, built, PARAMS).collect()))
-    monkeypatch.setattr(sketch_module, "BROADCAST_CELLS", 0)
-    assert sorted(map(tuple, estimate_frequencies(hist, built, PARAMS).collect())) == want
+@pytest.mark.parametrize("p, salt_rows", [(PRIME, 3), (11, 3), (11, 65_536)])
+def test_estimates_without_broadcast(spark, p, salt_rows):
+    # With a small prime all items fall into few cells.
+    params = SketchParams.draw(3, 8, seed=5, p=p)
+    items = [x % 97 for x in range(400)]
+    hist = histogram(frame(spark, items), 0, 96)
+    cells = count_sketch(hist, params, "f")
+    small = estimate_frequencies(hist, cells, params).collect()
+    wide = estimate_frequencies(hist, cells, params, broadcast_cells=0, salt_rows=salt_rows)
+    assert sorted(wide.collect()) == sorted(small) and len(small) == 97
+
+
+def test_a_sketch_is_wide_by_the_cells_that_can_be_filled(spark):
+    hist = histogram(frame(spark, [1, 2, 2]), 0, 9)
+
+    def joined(params):
+        found = estimate_frequencies(hist, count_sketch(hist, params, "f"), params)
+        return found._jdf.queryExecution().optimizedPlan().toString().count("merge")
+
+    assert joined(SketchParams.draw(3, 10**6, seed=1)) == 0
+    assert joined(SketchParams.draw(3, 10**6, seed=1, p=2**31 - 1)) > 0
 
 
 def test_items_not_in_the_sketch(spark):
@@ -183,3 +197,18 @@ def test_row_sums_and_linearity(spark, items, seed):
     got = collect_cells(count_sketch(frame(spark, items), params))
     want = cells_of(items, params)
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 6, 7, 30, 31, 1_000])
+def test_top_k_cuts_ties_by_item(spark, k):
+    rng = random.Random(k)
+    wanted = [rng.randrange(-(2**62), 2**62) for _ in range(20)] + [-1, 0, 1, 2**41, 2**42, 2**62]
+    counts = {x: rng.choice((1, 1, 1, 2, 3, 900)) for x in wanted}
+    hist = spark.createDataFrame(list(counts.items()), "item bigint, f bigint").repartition(5)
+    ranked = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    assert [tuple(r) for r in top_k(hist, k).collect()] == ranked[:k]
+    assert kth_frequency(hist, k).first().kf == ranked[:k][-1][1]
+    assert sorted(map(tuple, at_least_kth(hist, k).collect())) == sorted(
+        x for x in ranked if x[1] >= ranked[:k][-1][1]
+    )
+    assert top_k(hist.limit(0), k).count() == 0 and kth_frequency(hist.limit(0), k).first().kf is None

@@ -12,6 +12,7 @@ from triflux.sources.edges import edges_from
 from triflux.operators.graph import (
     canonical_edges,
     closed_wedges,
+    closed_wedges_by_colour,
     degrees,
     edge_counts,
     is_hub,
@@ -166,6 +167,18 @@ def test_salts_and_blocks_do_not_change_triangles(
     assert {tuple(sorted(r)) for r in rows} == want
 
 
+@pytest.mark.parametrize("salt_rows, send_block, colours", [(65_536, 8_192, 3), (2, 3, 5), (1, 1, 1)])
+def test_wedges_by_colour_are_all_wedges(spark, monkeypatch, salt_rows, send_block, colours):
+    monkeypatch.setattr(graph, "SALT_ROWS", salt_rows)
+    monkeypatch.setattr(graph, "SEND_BLOCK", send_block)
+    oriented = orient(canonical_edges(frame(spark, _random_edges(send_block))))
+    found = closed_wedges_by_colour(oriented, lambda x: F.pmod(x, F.lit(colours)), colours)
+    rows = found.select("src", "mid", "c", F.explode("last").alias("x")).collect()
+    assert all(r.c == r.x % colours for r in rows)
+    every = closed_wedges(oriented).select("src", "mid", F.explode("last").alias("x")).collect()
+    assert sorted((r.src, r.mid, r.x) for r in rows) == sorted(map(tuple, every))
+
+
 def test_hub_receives_through_several_salts(spark, monkeypatch):
     monkeypatch.setattr(graph, "SALT_ROWS", 10)
     # Every leaf closes a triangle with the two linked hubs 0 and 1.

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triflux.functions.checks import checked
@@ -111,15 +111,10 @@ def orient(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     )
 
 
-def closed_wedges(
-    oriented: DataFrame,
-    keys: Sequence[str] = (),
-    last: Callable[[Column], Column] | None = None,
-) -> DataFrame:
+def closed_wedges(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rows ``(*keys, src, mid, last)``: all third vertices of the triangles on src -> mid.
 
-    Edges are matched within equal ``keys`` only. ``last`` says which third vertices
-    count, from the vertex and the columns ``keys, src, mid``; others are not sent.
+    Edges are matched within equal ``keys`` only.
     """
     # Shuffled once, as plain rows, and read by both sides of the join.
     out = (
@@ -160,30 +155,83 @@ def closed_wedges(
             "slice(ids, i + 2, size(ids)) as later",
         )
     )
-    if last is not None:
-        sent = sent.withColumn("later", F.filter("later", last)).where("size(later) > 0")
     kept = out.selectExpr(
         *keys, "src as mid", f"explode(sequence(0L, d div {SALT_ROWS})) as salt", "ids"
     )
+    return _intersected(sent, kept, [*keys, "mid", "salt"]).select(*keys, "src", "mid", "last")
+
+
+def _intersected(sent: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
+    """The arrays sent to a vertex, cut down to what is in its own."""
     # The second array is hashed; the shorter one should be.
     common = (
         "if(size(later) < size(ids), array_intersect(ids, later), array_intersect(later, ids))"
     )
     # Neither side is bounded, and size estimates do not see what posexplode adds.
-    return (
-        sent.hint("merge")
-        .join(kept, [*keys, "mid", "salt"])
-        .selectExpr(*keys, "src", "mid", f"{common} as last")
-    )
+    both = sent.hint("merge").join(kept, on)
+    return both.withColumn("last", F.expr(common)).drop("later", "ids")
 
 
-def triangles_closed(
-    oriented: DataFrame,
-    keys: Sequence[str] = (),
-    last: Callable[[Column], Column] | None = None,
+def closed_wedges_by_colour(
+    oriented: DataFrame, colour: Callable[[Column], Column], colours: int
 ) -> DataFrame:
+    """Rows ``(src, mid, c, last)``: the third vertices of colour ``c`` of the triangles on src -> mid.
+
+    A vertex has one array of out-neighbours for each colour, and sends to each of its
+    out-neighbours the later part of every one of them. How many of a colour come
+    before an out-neighbour is counted once, in the order of its edges, so that part is
+    a slice and no element is looked at.
+    """
+    numbers = range(colours)
+    order = Window.partitionBy("src").orderBy("dst_d", "dst")
+    up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Shuffled once, as plain rows, and read by both sides of the join.
+    edges = (
+        oriented.where("src is not null")
+        .select("src", "src_d", "dst", "dst_d", colour(F.col("dst")).alias("c"))
+        .repartition("src")
+        .withColumn("seen", F.array(*[F.count_if(F.col("c") == k).over(up_to) for k in numbers]))
+    )
+    end = F.struct("dst_d", "dst")
+    own = [F.sort_array(F.collect_list(F.when(F.col("c") == k, end))).alias(f"own{k}") for k in numbers]
+    out = (
+        edges.groupBy("src", F.col("src_d").alias("d"))
+        .agg(F.sort_array(F.collect_list(F.struct("dst_d", "dst", "seen"))).alias("mids"), *own)
+        .select("src", "d", "mids", F.array(*[F.col(f"own{k}.dst") for k in numbers]).alias("own"))
+    )
+    blocks = f"explode(sequence(0, cast((size(mids) - 1) div {SEND_BLOCK} as int))) as k"
+    short = out.where(f"size(mids) between 2 and {SEND_BLOCK}").select("src", "mids", "own")
+    long = (
+        out.where(f"size(mids) > {SEND_BLOCK}")
+        .selectExpr("src", "mids", "own", blocks)
+        .selectExpr("src", f"slice(mids, k * {SEND_BLOCK} + 1, {SEND_BLOCK}) as mids", "own", "k")
+        .repartition("src", "k")
+        .drop("k")
+    )
+    sent = (
+        short.unionByName(long)
+        .selectExpr("src", "own", "explode(mids) as m")
+        .selectExpr("src", "m", "posexplode(own) as (c, ids)")
+        .where("element_at(m.seen, c + 1) < size(ids)")
+        .selectExpr(
+            "src",
+            "m.dst as mid",
+            "c",
+            f"pmod(xxhash64(src), m.dst_d div {SALT_ROWS} + 1) as salt",
+            "slice(ids, cast(element_at(m.seen, c + 1) + 1 as int), size(ids)) as later",
+        )
+    )
+    kept = (
+        out.selectExpr("src as mid", f"explode(sequence(0L, d div {SALT_ROWS})) as salt", "own")
+        .selectExpr("mid", "salt", "posexplode(own) as (c, ids)")
+        .where("size(ids) > 0")
+    )
+    return _intersected(sent, kept, ["mid", "c", "salt"]).select("src", "mid", "c", "last")
+
+
+def triangles_closed(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rows ``(*keys, triangles)`` that sum up to the triangles of each key."""
-    closed = closed_wedges(oriented, keys, last)
+    closed = closed_wedges(oriented, keys)
     return closed.selectExpr(*keys, "cast(size(last) as bigint) as triangles")
 
 

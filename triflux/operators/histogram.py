@@ -33,8 +33,12 @@ def histogram(items: DataFrame, left: int, right: int) -> DataFrame:
 
 
 def histogram_of(counts: DataFrame) -> DataFrame:
-    """``(item, f)`` summed up from the rows of :func:`item_counts`."""
-    inside = counts.where(F.col("item").isNotNull())
+    """``(item, f)`` summed up from the rows of :func:`item_counts`.
+
+    The filter needs the counts, so it stays above them: where the length of the whole
+    stream is asked for as well, both come from one pass.
+    """
+    inside = counts.where(F.col("n") * F.col("item").isNotNull().cast("bigint") > 0)
     return inside.groupBy("item").agg(F.sum("n").alias("f"))
 
 

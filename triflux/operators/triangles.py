@@ -23,6 +23,7 @@ from triflux.functions.hashing import (
 from triflux.functions.median import integer_median
 from triflux.operators.graph import (
     canonical_edges,
+    closed_wedges_by_colour,
     orient,
     total_triangles,
     triangle_rows,
@@ -181,18 +182,21 @@ def _triangles_in_own_triplet(
 ) -> DataFrame:
     """Rows ``(k0, k1, k2, triangles)`` that count every triangle once, under its sorted colours.
 
-    A triangle with two vertices of one colour would close under several keys. The
-    key and the colours of an edge leave one colour for the third vertex, so others
-    are dropped before they are sent.
+    A triangle with two vertices of one colour would close under several keys. An edge
+    and the colour of the third vertex make one key, so neighbours are sent by colour.
     """
-    keyed = _triplet_keys(orient(canonical_edges(edges)), colours, a, b, p, "src", "dst")
+    check_positive(colours=colours)
+    check_coefficients(a, b, p)
 
     def colour(x: Column) -> Column:
         return bucket_hash(x, a, b, colours, p)
 
-    missing = sum((F.col(k) for k in TRIPLET[1:]), F.col(TRIPLET[0]))
-    missing = missing - colour(F.col("src")) - colour(F.col("mid"))
-    return triangles_closed(keyed, TRIPLET, lambda x: colour(x) == missing)
+    closed = closed_wedges_by_colour(orient(canonical_edges(edges)), colour, colours)
+    key = F.array_sort(F.array(colour(F.col("src")), colour(F.col("mid")), F.col("c").cast("bigint")))
+    triangles = F.size("last").cast("bigint").alias("triangles")
+    return closed.select(key.alias("k"), triangles).select(
+        *[F.element_at("k", i + 1).alias(k) for i, k in enumerate(TRIPLET)], "triangles"
+    )
 
 
 def triangles_per_triplet(
