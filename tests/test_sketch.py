@@ -206,9 +206,10 @@ def test_top_k_cuts_ties_by_item(spark, k):
     counts = {x: rng.choice((1, 1, 1, 2, 3, 900)) for x in wanted}
     hist = spark.createDataFrame(list(counts.items()), "item bigint, f bigint").repartition(5)
     ranked = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    assert [tuple(r) for r in top_k(hist, k, 0).collect()] == ranked[:k]
     assert [tuple(r) for r in top_k(hist, k).collect()] == ranked[:k]
-    assert kth_frequency(hist, k).first().kf == ranked[:k][-1][1]
-    assert sorted(map(tuple, at_least_kth(hist, k).collect())) == sorted(
+    assert kth_frequency(hist, k, 0).first().kf == ranked[:k][-1][1]
+    assert sorted(map(tuple, at_least_kth(hist, k, 0).collect())) == sorted(
         x for x in ranked if x[1] >= ranked[:k][-1][1]
     )
-    assert top_k(hist.limit(0), k).count() == 0 and kth_frequency(hist.limit(0), k).first().kf is None
+    assert top_k(hist.limit(0), k, 0).count() == 0 and kth_frequency(hist.limit(0), k, 0).first().kf is None

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from triflux.functions.hashing import check_positive
 
+# The most rows of a top K that one task gathers.
+ONE_TASK = 1_000
+
 # Bits below each of the three digits in which items are compared.
 DIGITS = (42, 21, 0)
 
@@ -50,20 +53,13 @@ def by_frequency(hist: DataFrame) -> DataFrame:
 def _cut(hist: DataFrame, k: int) -> DataFrame:
     """One row ``kf, rest``: the k-th largest frequency, and how many of its items are in the top k.
 
-    No row where there are fewer than k items. Items are counted per frequency
-    first: frequencies that sum up to n have fewer than sqrt(2n) different values.
-    These are numbered in blocks of one length in bits, so no task sorts them all.
+    No row where there are fewer than k items. Items are counted per frequency first:
+    frequencies that sum up to n have fewer than sqrt(2n) different values, which is
+    all that one task puts in order.
     """
-    check_positive(k=k)
     counts = hist.groupBy("f").agg(F.count(F.lit(1)).alias("items"))
-    sized = counts.withColumn("bits", F.length(F.bin("f")))
-    blocks = sized.groupBy("bits").agg(F.sum("items").alias("block_items"))
-    # At most 64 rows.
-    higher = Window.orderBy(F.desc("bits")).rowsBetween(Window.unboundedPreceding, -1)
-    above = blocks.select("bits", F.coalesce(F.sum("block_items").over(higher), F.lit(0)).alias("above"))
-    inside = Window.partitionBy("bits").orderBy(F.desc("f"))
-    before = F.col("above") + F.sum("items").over(inside) - F.col("items")
-    ranked = sized.join(above, "bits").select("f", "items", before.alias("before"))
+    before = F.sum("items").over(Window.orderBy(F.desc("f"))) - F.col("items")
+    ranked = counts.select("f", "items", before.alias("before"))
     here = (F.col("before") < k) & (F.col("before") + F.col("items") >= k)
     return ranked.where(here).select(F.col("f").alias("kf"), (F.lit(k) - F.col("before")).alias("rest"))
 
@@ -91,26 +87,33 @@ def _last_item(hist: DataFrame, cut: DataFrame) -> DataFrame:
     return one.select(F.col("digit").alias("last"))
 
 
-def top_k(hist: DataFrame, k: int) -> DataFrame:
+def top_k(hist: DataFrame, k: int, one_task: int = ONE_TASK) -> DataFrame:
     """The k most frequent items, ties by item; all items where there are fewer.
 
-    The rows are chosen where they are and then sorted by ranges: no task sees all k.
+    Up to ``one_task`` rows are gathered by one task. More are chosen where they are and
+    then sorted by ranges, so that no task sees all k.
     """
+    check_positive(k=k)
+    if k <= one_task:
+        return by_frequency(hist).limit(k)
     cut = _cut(hist, k)
     kf, last = cut.select("kf").scalar(), _last_item(hist, cut).scalar()
     chosen = (F.col("f") > kf) | ((F.col("f") == kf) & (F.col("item") <= last))
     return by_frequency(hist.where(kf.isNull() | chosen))
 
 
-def kth_frequency(hist: DataFrame, k: int) -> DataFrame:
+def kth_frequency(hist: DataFrame, k: int, one_task: int = ONE_TASK) -> DataFrame:
     """One row ``kf``: the k-th largest frequency, or the least where there are fewer items."""
+    check_positive(k=k)
+    if k <= one_task:
+        return top_k(hist, k).agg(F.min("f").alias("kf"))
     kf = _cut(hist, k).select("kf").scalar()
     return hist.agg(F.coalesce(kf, F.min("f")).alias("kf"))
 
 
-def at_least_kth(hist: DataFrame, k: int) -> DataFrame:
+def at_least_kth(hist: DataFrame, k: int, one_task: int = ONE_TASK) -> DataFrame:
     """Every item as frequent as the k-th one, so more than k rows on ties."""
-    return hist.where(F.col("f") >= F.coalesce(_cut(hist, k).select("kf").scalar(), F.lit(0)))
+    return hist.where(F.col("f") >= kth_frequency(hist, k, one_task).scalar())
 
 
 def exact_square_sum() -> Column:

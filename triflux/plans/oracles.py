@@ -8,8 +8,8 @@ from triflux.plans.registry import (
     COLOUR_A,
     COLOUR_B,
     COLOURS,
-    DAY_SECONDS,
     K,
+    LARGE_K,
     LEFT,
     PART_A,
     PART_A2,
@@ -19,6 +19,7 @@ from triflux.plans.registry import (
     RIGHT,
     RUNS,
     SKETCH_ROWS,
+    SPAN_SECONDS,
     USERS_RIGHT,
     WIDE,
     WIDE_PRIME,
@@ -109,24 +110,24 @@ running as (
 kept as (select * from running where prior < {PREFIX_ITEMS})"""
 
 
-# Days count from the first one; what has no time comes after the last.
-DAYS = f"""days as (
+# Spans count from the first one; what has no time comes after the last.
+SPANS = f"""spans as (
   select user_id item,
-         coalesce(cast(floor(epoch(date_trunc('second', ts)) / {DAY_SECONDS}) as bigint),
-           (select max(cast(floor(epoch(date_trunc('second', ts)) / {DAY_SECONDS}) as bigint)) + 1
+         coalesce(cast(floor(epoch(date_trunc('second', ts)) / {SPAN_SECONDS}) as bigint),
+           (select max(cast(floor(epoch(date_trunc('second', ts)) / {SPAN_SECONDS}) as bigint)) + 1
             from events)) b
   from events),
-day_totals as (select b - min(b) over () batch, n from (select b, count(*) n from days group by 1)),
-day_running as (
+span_totals as (select b - min(b) over () batch, n from (select b, count(*) n from spans group by 1)),
+span_running as (
   select batch, n, cast(coalesce(sum(n) over (
     order by batch rows between unbounded preceding and 1 preceding), 0) as bigint) prior
-  from day_totals),
-day_kept as (select * from day_running where prior < {PREFIX_ITEMS})"""
+  from span_totals),
+span_kept as (select * from span_running where prior < {PREFIX_ITEMS})"""
 
-PREFIX_USERS = f"""{DAYS},
+PREFIX_USERS = f"""{SPANS},
 items as (
-  select item from days
-  where b - (select min(b) from days) <= (select max(batch) from day_kept))"""
+  select item from spans
+  where b - (select min(b) from spans) <= (select max(batch) from span_kept))"""
 
 SUMMARY = """ select (select count(*) from items) n_total, n_in_range, n_distinct,
   round(avg_err, 6) avg_err, round(f2, 9) f2, round(f2_est, 9) f2_est from f2, err, f2e"""
@@ -174,7 +175,7 @@ select k[1] k0, k[2] k1, k[3] k2, count(*) triangles from k group by all""",
     "stream_prefix": f"{_batches()} select batch, n, prior from kept",
     "prefix_histogram": f"{_batches()} select item, count(*) f from items join kept using (batch) "
     f"where item between {LEFT} and {RIGHT} group by 1",
-    "stream_prefix_batches": f"with {DAYS} select batch, n, prior from day_kept",
+    "stream_prefix_batches": f"with {SPANS} select batch, n, prior from span_kept",
     "stream_report_prefix": _sketched(PREFIX_USERS, USERS_RIGHT) + SUMMARY,
     "stream_top_k": _sketched(PREFIX_USERS, USERS_RIGHT)
     + f" select item, f, fhat from est order by f desc, item limit {K}",
@@ -196,6 +197,7 @@ select k[1] k0, k[2] k1, k[3] k2, count(*) triangles from k group by all""",
     + " select item, f, fhat from est",
     "top_k": _sketched(PARTKEYS)
     + f" select item, f, fhat from est order by f desc, item limit {K}",
+    "top_k_large": _sketched(PARTKEYS) + f" select item, f from h order by f desc, item limit {LARGE_K}",
     "kth_frequency": _sketched(PARTKEYS) + " select kf from kf",
     "top_k_error": _sketched(PARTKEYS) + " select round(avg_err, 6) avg_err from err",
     "second_moment": _sketched(PARTKEYS)

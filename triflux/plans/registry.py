@@ -44,8 +44,10 @@ LEFT, RIGHT = 5, 1_000_000_000_000
 USERS_RIGHT = 140
 PREFIX_ITEMS = 5_000
 BATCH_SECONDS = 3_600
-# Streams of days: a batch has one of them where order matters, else two files of them.
-DAY_SECONDS, FILES_A_BATCH = 86_400, 2
+# Streams of many batches have one of these spans in each.
+SPAN_SECONDS = 64 * 3_600
+# More than one task should gather.
+LARGE_K = 1_500
 # Too wide to be broadcast: five rows of as many columns are more than a million cells.
 WIDE, WIDE_PRIME = 400_000, 2_147_483_647
 
@@ -78,33 +80,33 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return items_from(stream_files(spark, f"{sf}/{{events.parquet}}", schema), "user_id")
 
 
-def _days(spark: SparkSession, sf: str) -> str:
-    """``events (item)`` in folders by day; those without a time in one of their own."""
-    path = scratch_path(spark, "days")
-    day = time_batch("ts", DAY_SECONDS).alias("day")
-    items = items_from(spark.read.parquet(f"{sf}/events.parquet"), "user_id", day)
-    items.hint("rebalance", "day").write.partitionBy("day").parquet(path)
+def _spans(spark: SparkSession, sf: str) -> str:
+    """``events (item)`` in folders by time span; those without a time in one of their own."""
+    path = scratch_path(spark, "spans")
+    span = time_batch("ts", SPAN_SECONDS).alias("span")
+    items = items_from(spark.read.parquet(f"{sf}/events.parquet"), "user_id", span)
+    items.hint("rebalance", "span").write.partitionBy("span").parquet(path)
     return path
 
 
-def _day_stream(spark: SparkSession, sf: str) -> DataFrame:
+def _span_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same as a stream of many batches, in whatever order files are found."""
-    schema = "item bigint, day bigint"
-    return stream_files(spark, _days(spark, sf), schema, max_files_per_batch=FILES_A_BATCH)
+    schema = "item bigint, span bigint"
+    return stream_files(spark, _spans(spark, sf), schema, max_files_per_batch=1)
 
 
-def _day_batches(spark: SparkSession, sf: str) -> Offered:
-    """The same as a stream of one batch a day, in order."""
-    return offer(spark.read.schema("item bigint, day bigint").parquet(_days(spark, sf)), "day")
+def _span_batches(spark: SparkSession, sf: str) -> Offered:
+    """The same as a stream of one span a batch, in order."""
+    return offer(spark.read.schema("item bigint, span bigint").parquet(_spans(spark, sf)), "span")
 
 
 def _prefix_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """The counts of a stream of days that stops itself."""
+    """The counts of a stream that stops itself."""
     root = scratch_path(spark, "prefix")
     counts, offsets = f"{root}/counts", f"{root}/offsets"
-    days = _day_batches(spark, sf)
+    spans = _span_batches(spark, sf)
     partials.write_counts(
-        days, counts, offsets, LEFT, USERS_RIGHT, PREFIX_ITEMS
+        spans, counts, offsets, LEFT, USERS_RIGHT, PREFIX_ITEMS
     ).awaitTermination()
     return partials.read_counts(spark, counts)
 
@@ -113,7 +115,7 @@ def _running_histogram(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "histogram")
     counts, offsets = f"{root}/counts", f"{root}/offsets"
     partials.write_counts(
-        _day_stream(spark, sf), counts, offsets, LEFT, USERS_RIGHT, availableNow=True
+        _span_stream(spark, sf), counts, offsets, LEFT, USERS_RIGHT, availableNow=True
     ).awaitTermination()
     return histogram.histogram_of(partials.read_counts(spark, counts))
 
@@ -121,7 +123,7 @@ def _running_histogram(spark: SparkSession, sf: str) -> DataFrame:
 def _histogram_in_state(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "state")
     query = state.keep_histogram(
-        _day_stream(spark, sf), root, LEFT, USERS_RIGHT, availableNow=True
+        _span_stream(spark, sf), root, LEFT, USERS_RIGHT, availableNow=True
     )
     query.awaitTermination()
     return state.read_histogram(spark, root)
@@ -145,7 +147,7 @@ def _stream_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _running_sketch(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_path(spark, "sketch")
-    items = _day_stream(spark, sf).where(histogram.in_range(LEFT, RIGHT))
+    items = _span_stream(spark, sf).where(histogram.in_range(LEFT, RIGHT))
     table = sketch.count_sketch(items, PARAMS)
     query = partials.running(table, f"{root}/cells", f"{root}/state", availableNow=True)
     query.awaitTermination()
@@ -243,7 +245,7 @@ QUERIES: dict[str, Query] = {
     ),
     "prefix_histogram": _prefix_histogram,
     "stream_prefix_batches": lambda s, d: prefix.prefix_batches(
-        prefix.batch_totals(partials.drain(_day_batches(s, d), LEFT, USERS_RIGHT), "n"), PREFIX_ITEMS
+        prefix.batch_totals(partials.drain(_span_batches(s, d), LEFT, USERS_RIGHT), "n"), PREFIX_ITEMS
     ),
     "stream_report_prefix": lambda s, d: _rounded(
         report_on_counts(_prefix_counts(s, d), PARAMS, K)
@@ -265,6 +267,7 @@ QUERIES: dict[str, Query] = {
     "frequency_estimates": _estimates,
     "frequency_estimates_wide": _wide_estimates,
     "top_k": _top_k,
+    "top_k_large": lambda s, d: histogram.top_k(_hist(s, d), LARGE_K),
     "kth_frequency": lambda s, d: histogram.kth_frequency(_hist(s, d), K),
     "top_k_error": _top_k_error,
     "second_moment": _second_moment,

@@ -33,11 +33,10 @@ class Offered:
     def batches(self) -> int:
         return self.last - self.first + 1 + self.unnumbered
 
-    def rows(self, tick: DataFrame) -> DataFrame:
-        """The partition that a batch of the clock stands for."""
-        at = self.first + tick.select("value").first()["value"]
-        own, number = F.col(self.column), F.lit(at)
-        return self.table.where(own.isNull() if at == self.last + 1 else own == number)
+    def rows(self, batch: int) -> DataFrame:
+        """The partition that a batch of the clock stands for: a batch is one tick, so its number is."""
+        at, own = self.first + batch, F.col(self.column)
+        return self.table.where(own.isNull() if at == self.last + 1 else own == at)
 
 
 def offer(table: DataFrame, column: str) -> Offered:

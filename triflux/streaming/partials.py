@@ -24,12 +24,15 @@ COUNTS = "item BIGINT, n BIGINT"
 
 def partials_tree(spark: SparkSession, path: str) -> MergeTree:
     """The counts ``(item, n, batch)`` of single batches; NULL item is out of range."""
-    return MergeTree(spark, path, ["item", "n", "batch"], [], "n")
+    return MergeTree(spark, path, ["item", "n", "batch"], [])
 
 
-def counts_tree(spark: SparkSession, path: str) -> MergeTree:
-    """The counts ``(item, n)`` of all batches together; NULL item is out of range."""
-    return MergeTree(spark, path, ["item"], ["n"], "n")
+def counts_tree(spark: SparkSession, path: str, measured: bool = True) -> MergeTree:
+    """The counts ``(item, n)`` of all batches together; NULL item is out of range.
+
+    Versions know the sum of ``n`` if it is ``measured``, which takes a look at each batch.
+    """
+    return MergeTree(spark, path, ["item"], ["n"], "n" if measured else None)
 
 
 def write_partials(
@@ -79,10 +82,14 @@ def _write(
 
     def save(rows: DataFrame, batch: int) -> bool:
         spark = rows.sparkSession
-        tree = partials_tree(spark, path) if single else counts_tree(spark, path)
+        tree = (
+            partials_tree(spark, path)
+            if single
+            else counts_tree(spark, path, threshold is not None)
+        )
         done = tree.version()
         if threshold is None or done.total < threshold:
-            own = item_counts(offered.rows(rows) if offered else rows, left, right)
+            own = item_counts(offered.rows(batch) if offered else rows, left, right)
             done = tree.add(own.withColumn("batch", F.lit(batch).cast("bigint")), batch)
         full = threshold is not None and done.total >= threshold
         return full or (offered is not None and batch >= offered.batches - 1)
