@@ -5,8 +5,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry_points
-from triflux.operators.graph import canonical_edges, closed_wedges, orient
+from triflux.operators.graph import canonical_edges, closed_wedges, lay_out, orient
 from triflux.operators.histogram import top_k
+from triflux.operators.triangles import count_by_triplets, count_exact, estimate_by_colours
 from triflux.plans import registry
 from triflux.sources.edges import edges_from
 
@@ -73,6 +74,24 @@ def test_closing_join_shuffles_edges_once(spark):
     assert text.count("FileScan") == 1
 
 
+def test_runs_on_laid_out_edges_shuffle_no_edge(spark):
+    edges = edges_from(spark.read.parquet(f"{SF}/lineitem.parquet"), "l_partkey", "l_suppkey")
+    layout = lay_out(edges)
+    want = count_exact(edges).first().triangles
+    for a, b in registry.RUNS[:2]:
+        run = estimate_by_colours(layout, 4, [(a, b)])
+        assert run.first().estimate == estimate_by_colours(edges, 4, [(a, b)]).first().estimate
+        text = final(run)
+        keys = set(re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", text))
+        # What moves is out-arrays, to the vertices that close them, and then counts.
+        assert all("mid#" in x and "salt#" in x or x.startswith("run#") for x in keys), keys
+        assert "Bucketed: true" in text and "lineitem" not in text
+    assert count_exact(layout).first().triangles == want
+    text = final(count_by_triplets(layout, 3, 5, 7))
+    assert not re.search(r"hashpartitioning\((src|u|v|x)#", text)
+    assert count_by_triplets(layout, 3, 5, 7).first().triangles == want
+
+
 def test_estimates_do_not_shuffle_the_histogram_again(spark):
     text = final(registry.QUERIES["frequency_estimates"](spark, SF))
     assert text.count("FileScan") == 1

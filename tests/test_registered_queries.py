@@ -40,7 +40,7 @@ def test_matches_sql(spark, duck, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     types = dict(zip(want.columns, map(str, want.types)))
-    spark_types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE"}
+    spark_types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
     assert {c: spark_types[t] for c, t in got.dtypes} == types
     got_rows = [tuple(row) for row in got.select(columns).collect()]
     want_rows = want.select(*columns).fetchall()

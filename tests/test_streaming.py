@@ -144,7 +144,8 @@ def test_prefix_of_an_exactly_full_stream(spark):
 def test_scratch_needs_a_shared_folder(spark, tmp_path):
     from triflux.functions.scratch import scratch_path
 
-    assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_path(spark, "x").startswith(f"file:{root}/x-")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 

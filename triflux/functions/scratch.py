@@ -8,9 +8,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triflux.functions.files import Folder, qualified
+
+# What this process has asked for and not removed: folders, and tables of the catalog.
+_paths: list[str] = []
+_tables: list[str] = []
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``.
+    """A fresh path under ``spark.checkpoint.dir``, with its scheme.
 
     On a cluster the setting must name storage that every executor shares.
     Only a local session may go without it, and then gets a temporary folder.
@@ -20,7 +26,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="triflux-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = qualified(spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    _paths.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all tables that this process has written on the way to results.
+
+    For when the results have been read: DataFrames that come from them read those tables.
+    """
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
+    while _paths:
+        parent, _, name = _paths.pop().rpartition("/")
+        Folder(spark, parent).remove(name)
 
 
 def keep_table(frame: DataFrame, name: str) -> DataFrame:
@@ -32,3 +52,23 @@ def keep_table(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_path(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def keep_bucketed(frame: DataFrame, name: str, column: str) -> DataFrame:
+    """:func:`keep_table`, with the rows in buckets by the hash of a column.
+
+    A job that groups or joins by that column needs no shuffle. There is one file per
+    bucket, and as many buckets as ``spark.sql.shuffle.partitions``.
+    """
+    spark = frame.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    _tables.append(table)
+    (
+        frame.repartition(buckets, column)
+        .write.bucketBy(buckets, column)
+        .sortBy(column)
+        .option("path", scratch_path(spark, name))
+        .saveAsTable(table)
+    )
+    return spark.table(table)

@@ -22,11 +22,13 @@ What keeps hot vertices apart
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triflux.functions.checks import checked
+from triflux.functions.scratch import keep_bucketed
 
 # Arrays received per (vertex, salt).
 SALT_ROWS = 65_536
@@ -111,16 +113,34 @@ def orient(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
     )
 
 
-def closed_wedges(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+@dataclass(frozen=True)
+class Layout:
+    """Oriented edges in buckets by ``src``, for any number of runs."""
+
+    oriented: DataFrame
+
+
+def lay_out(edges: DataFrame) -> Layout:
+    """Makes edges canonical, orients them and writes them, once for several runs.
+
+    A run that starts from them has no degrees to find and shuffles no edge: out-arrays
+    are made where the edges lie, and only these are sent.
+    """
+    return Layout(keep_bucketed(orient(canonical_edges(edges)), "adjacency", "src"))
+
+
+def closed_wedges(
+    oriented: DataFrame, keys: Sequence[str] = (), laid_out: bool = False
+) -> DataFrame:
     """Rows ``(*keys, src, mid, last)``: all third vertices of the triangles on src -> mid.
 
-    Edges are matched within equal ``keys`` only.
+    Edges are matched within equal ``keys`` only. ``laid_out`` edges lie by ``src`` already.
     """
+    known = oriented.where("src is not null")
     # Shuffled once, as plain rows, and read by both sides of the join.
+    dealt = known if laid_out else known.repartition(*keys, "src")
     out = (
-        oriented.where("src is not null")
-        .repartition(*keys, "src")
-        .groupBy(*keys, "src", F.col("src_d").alias("d"))
+        dealt.groupBy(*keys, "src", F.col("src_d").alias("d"))
         .agg(F.expr("sort_array(collect_list(struct(dst_d, dst)))").alias("out"))
         .selectExpr(*keys, "src", "d", "out.dst as ids", "out.dst_d as ds")
     )
@@ -173,7 +193,7 @@ def _intersected(sent: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
 
 
 def closed_wedges_by_colour(
-    oriented: DataFrame, colour: Callable[[Column], Column], colours: int
+    oriented: DataFrame, colour: Callable[[Column], Column], colours: int, laid_out: bool = False
 ) -> DataFrame:
     """Rows ``(src, mid, c, last)``: the third vertices of colour ``c`` of the triangles on src -> mid.
 
@@ -185,12 +205,13 @@ def closed_wedges_by_colour(
     numbers = range(colours)
     order = Window.partitionBy("src").orderBy("dst_d", "dst")
     up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = oriented.where("src is not null").select(
+        "src", "src_d", "dst", "dst_d", colour(F.col("dst")).alias("c")
+    )
     # Shuffled once, as plain rows, and read by both sides of the join.
+    dealt = known if laid_out else known.repartition("src")
     edges = (
-        oriented.where("src is not null")
-        .select("src", "src_d", "dst", "dst_d", colour(F.col("dst")).alias("c"))
-        .repartition("src")
-        .withColumn("seen", F.array(*[F.count_if(F.col("c") == k).over(up_to) for k in numbers]))
+        dealt.withColumn("seen", F.array(*[F.count_if(F.col("c") == k).over(up_to) for k in numbers]))
     )
     end = F.struct("dst_d", "dst")
     own = [F.sort_array(F.collect_list(F.when(F.col("c") == k, end))).alias(f"own{k}") for k in numbers]
@@ -229,9 +250,11 @@ def closed_wedges_by_colour(
     return _intersected(sent, kept, ["mid", "c", "salt"]).select("src", "mid", "c", "last")
 
 
-def triangles_closed(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def triangles_closed(
+    oriented: DataFrame, keys: Sequence[str] = (), laid_out: bool = False
+) -> DataFrame:
     """Rows ``(*keys, triangles)`` that sum up to the triangles of each key."""
-    closed = closed_wedges(oriented, keys)
+    closed = closed_wedges(oriented, keys, laid_out)
     return closed.selectExpr(*keys, "cast(size(last) as bigint) as triangles")
 
 
@@ -241,11 +264,13 @@ def total_triangles() -> Column:
     return F.when(F.count("triangles") == 0, F.lit(0).cast("bigint")).otherwise(total)
 
 
-def triangle_rows(oriented: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def triangle_rows(
+    oriented: DataFrame, keys: Sequence[str] = (), laid_out: bool = False
+) -> DataFrame:
     """``(*keys, u, v, w)``: every triangle once as ``u < v < w``."""
     ids = F.array_sort(F.array("src", "mid", "x"))
     return (
-        closed_wedges(oriented, keys)
+        closed_wedges(oriented, keys, laid_out)
         .select(*keys, "src", "mid", F.explode("last").alias("x"))
         .select(*keys, ids.alias("t"))
         .select(*keys, *[F.element_at("t", i + 1).alias(x) for i, x in enumerate("uvw")])

@@ -22,6 +22,7 @@ from triflux.functions.hashing import (
 )
 from triflux.functions.median import integer_median
 from triflux.operators.graph import (
+    Layout,
     canonical_edges,
     closed_wedges_by_colour,
     orient,
@@ -33,15 +34,24 @@ from triflux.operators.graph import (
 TRIPLET = ("k0", "k1", "k2")
 
 
-def count_exact(edges: DataFrame) -> DataFrame:
+def _oriented(edges: DataFrame | Layout) -> tuple[DataFrame, bool]:
+    """Oriented edges, and whether they lie by ``src`` already."""
+    if isinstance(edges, Layout):
+        return edges.oriented, True
+    return orient(canonical_edges(edges)), False
+
+
+def count_exact(edges: DataFrame | Layout) -> DataFrame:
     """One row ``triangles``."""
-    closed = triangles_closed(orient(canonical_edges(edges)))
+    oriented, laid_out = _oriented(edges)
+    closed = triangles_closed(oriented, laid_out=laid_out)
     return closed.agg(total_triangles().alias("triangles"))
 
 
-def list_triangles(edges: DataFrame) -> DataFrame:
+def list_triangles(edges: DataFrame | Layout) -> DataFrame:
     """Every triangle as ``u < v < w``."""
-    return triangle_rows(orient(canonical_edges(edges)))
+    oriented, laid_out = _oriented(edges)
+    return triangle_rows(oriented, laid_out=laid_out)
 
 
 def _same_colour(colours: int, a: int, b: int, p: int, u: str, v: str) -> Column:
@@ -61,15 +71,17 @@ def monochromatic_edges(
 
 
 def _coloured_triangles(
-    edges: DataFrame, colours: int, runs: Sequence[tuple[int, int]], p: int
+    edges: DataFrame | Layout, colours: int, runs: Sequence[tuple[int, int]], p: int
 ) -> DataFrame:
     """Rows ``(run, colour, triangles)`` from the monochromatic edges of every run."""
     check_positive(colours=colours, runs=len(runs))
     for a, b in runs:
         check_coefficients(a, b, p)
-    # Edges that are monochromatic in no run go before the first shuffle.
-    used = edges.where(reduce(or_, [_same_colour(colours, a, b, p, "u", "v") for a, b in runs]))
-    oriented = orient(canonical_edges(used))
+    if not isinstance(edges, Layout):
+        # Edges that are monochromatic in no run go before the first shuffle.
+        any_run = [_same_colour(colours, a, b, p, "u", "v") for a, b in runs]
+        edges = edges.where(reduce(or_, any_run))
+    oriented, laid_out = _oriented(edges)
     per_run = F.array(
         *[
             F.struct(
@@ -83,7 +95,7 @@ def _coloured_triangles(
         ]
     )
     keyed = oriented.select("*", F.inline(per_run)).where(F.col("colour").isNotNull())
-    return triangles_closed(keyed, ("run", "colour"))
+    return triangles_closed(keyed, ("run", "colour"), laid_out)
 
 
 def _summed(rows: DataFrame, key: str, values: int) -> DataFrame:
@@ -97,14 +109,17 @@ def _summed(rows: DataFrame, key: str, values: int) -> DataFrame:
 
 
 def triangles_per_colour(
-    edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME
+    edges: DataFrame | Layout, colours: int, a: int, b: int, p: int = PRIME
 ) -> DataFrame:
     """``(colour, triangles)`` for every colour, 0 where it has no triangle."""
     return _summed(_coloured_triangles(edges, colours, [(a, b)], p), "colour", colours)
 
 
 def estimate_by_colours(
-    edges: DataFrame, colours: int, runs: Sequence[tuple[int, int]], p: int = PRIME
+    edges: DataFrame | Layout,
+    colours: int,
+    runs: Sequence[tuple[int, int]],
+    p: int = PRIME,
 ) -> DataFrame:
     """``(run, estimate)`` for each ``(a, b)`` in runs: C^2 times the one-coloured triangles.
 
@@ -136,7 +151,7 @@ def pair_hash(a: int, a2: int, b: int, parts: int, p: int = PRIME) -> Column:
 
 
 def estimate_by_partitions(
-    edges: DataFrame, parts: int, seed: int = 0, part: Column | None = None
+    edges: DataFrame | Layout, parts: int, seed: int = 0, part: Column | None = None
 ) -> DataFrame:
     """One row ``estimate``: N^2 times the triangles inside single edge parts.
 
@@ -148,10 +163,9 @@ def estimate_by_partitions(
     if part is None:
         part = F.pmod(F.xxhash64("u", "v", F.lit(seed)), F.lit(parts).cast("bigint"))
     ends = (F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
-    keyed = (
-        orient(canonical_edges(edges)).select("*", *ends).withColumn("part", part).drop("u", "v")
-    )
-    closed = triangles_closed(keyed, ("part",))
+    oriented, laid_out = _oriented(edges)
+    keyed = oriented.select("*", *ends).withColumn("part", part).drop("u", "v")
+    closed = triangles_closed(keyed, ("part",), laid_out)
     return closed.agg(_scaled(parts, total_triangles()).alias("estimate"))
 
 
@@ -178,7 +192,7 @@ def triplet_edges(edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME
 
 
 def _triangles_in_own_triplet(
-    edges: DataFrame, colours: int, a: int, b: int, p: int
+    edges: DataFrame | Layout, colours: int, a: int, b: int, p: int
 ) -> DataFrame:
     """Rows ``(k0, k1, k2, triangles)`` that count every triangle once, under its sorted colours.
 
@@ -191,7 +205,8 @@ def _triangles_in_own_triplet(
     def colour(x: Column) -> Column:
         return bucket_hash(x, a, b, colours, p)
 
-    closed = closed_wedges_by_colour(orient(canonical_edges(edges)), colour, colours)
+    oriented, laid_out = _oriented(edges)
+    closed = closed_wedges_by_colour(oriented, colour, colours, laid_out)
     key = F.array_sort(F.array(colour(F.col("src")), colour(F.col("mid")), F.col("c").cast("bigint")))
     triangles = F.size("last").cast("bigint").alias("triangles")
     return closed.select(key.alias("k"), triangles).select(
@@ -200,14 +215,16 @@ def _triangles_in_own_triplet(
 
 
 def triangles_per_triplet(
-    edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME
+    edges: DataFrame | Layout, colours: int, a: int, b: int, p: int = PRIME
 ) -> DataFrame:
     """``(k0, k1, k2, triangles)`` for the colour triplets that have triangles."""
     found = _triangles_in_own_triplet(edges, colours, a, b, p).where("triangles > 0")
     return found.groupBy(*TRIPLET).agg(total_triangles().alias("triangles"))
 
 
-def count_by_triplets(edges: DataFrame, colours: int, a: int, b: int, p: int = PRIME) -> DataFrame:
+def count_by_triplets(
+    edges: DataFrame | Layout, colours: int, a: int, b: int, p: int = PRIME
+) -> DataFrame:
     """One row ``triangles``: the exact count, the same for all colours, a and b."""
     found = _triangles_in_own_triplet(edges, colours, a, b, p)
     return found.agg(total_triangles().alias("triangles"))

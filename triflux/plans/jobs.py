@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triflux.functions.hashing import PRIME, SketchParams, check_positive, draw_runs
+from triflux.operators.graph import Layout
 from triflux.operators.histogram import histogram_of, item_counts, second_moment
 from triflux.operators.sketch import count_sketch, normalised_estimate, top_k_error
 from triflux.operators.triangles import (
@@ -20,7 +21,7 @@ METHODS = ("exact", "exact_triplet", "colour", "partition")
 
 
 def count_triangles(
-    edges: DataFrame,
+    edges: DataFrame | Layout,
     method: str = "exact",
     colours: int = 1,
     runs: int = 1,
@@ -31,7 +32,8 @@ def count_triangles(
 
     ``colours`` is the number of colours, or of edge parts for ``partition``.
     ``colour`` reports the median over ``runs``; the exact counts are equal in
-    all runs and are computed once.
+    all runs and are computed once. Edges that several counts start from are best laid
+    out first, by ``lay_out``.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, got {method!r}")

@@ -140,6 +140,14 @@ ORACLES: dict[str, str] = {
     "(select count(*) from e) edges",
     "canonical_edges": f"with {EDGES} select u, v from e",
     "edges_through_text": f"with {EDGES} select u, v from e",
+    "edges_lenient": "select l_partkey u, l_suppkey v from lineitem where l_linenumber < 5",
+    "edge_rejects": """
+select case l_linenumber when 7 then l_partkey || ';' || l_suppkey
+       when 6 then l_partkey || ',' || l_returnflag else '' end as value
+from lineitem where l_linenumber >= 5""",
+    "edge_line_counts": """
+select count(*) filter (l_linenumber < 5) n_edges, count(*) filter (l_linenumber >= 5) n_rejects
+from lineitem""",
     "monochromatic_edges": f"with {EDGES} select {_colour('u')} colour, u, v from e "
     f"where {_colour('u')} = {_colour('v')}",
     "triangles_exact": f"with {EDGES}, {TRIANGLES} select count(*) triangles from t",
@@ -152,6 +160,8 @@ n as (
 select colour, coalesce(n, 0) triangles
 from (select unnest(range({COLOURS})) colour) left join n using (colour)""",
     "triangles_colour_runs": f"{COLOUR_RUNS} select run, estimate from est",
+    "triangles_runs_laid_out": f"{COLOUR_RUNS} select run, estimate from est",
+    "triangles_exact_laid_out": f"with {EDGES}, {TRIANGLES} select count(*) triangles from t",
     "triangles_colour_median": f"{COLOUR_RUNS} "
     f"select {_median('list(estimate)')} estimate from est",
     "triangles_partition": f"""

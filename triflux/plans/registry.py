@@ -11,6 +11,7 @@ Items
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from triflux.functions.hashing import SketchParams
 from triflux.functions.scratch import scratch_path
 from triflux.operators import graph, histogram, sketch, triangles
 from triflux.plans.jobs import report_on_counts, report_on_items
-from triflux.sources.edges import edges_from, read_edge_text
+from triflux.sources.edges import EdgeText, edges_from, read_edge_text, read_edge_text_lenient
 from triflux.sources.items import items_from, stream_files, time_batch
 from triflux.streaming import partials, prefix, state
 from triflux.streaming.offered import Offered, offer
@@ -141,6 +142,40 @@ def _edges_through_text(spark: SparkSession, sf: str) -> DataFrame:
     return graph.canonical_edges(read_edge_text(spark, path))
 
 
+def _edge_text(spark: SparkSession, sf: str) -> EdgeText:
+    """Edges as lines of a file, with what a careless writer puts between them."""
+    path = scratch_path(spark, "lines")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        F.when(F.col("l_linenumber") == 7, F.concat_ws(";", "l_partkey", "l_suppkey"))
+        .when(F.col("l_linenumber") == 6, F.concat_ws(",", "l_partkey", "l_returnflag"))
+        .when(F.col("l_linenumber") == 5, F.lit(""))
+        .otherwise(F.concat_ws(",", "l_partkey", "l_suppkey", "l_returnflag"))
+        .alias("value")
+    )
+    lines.write.text(path)
+    return read_edge_text_lenient(spark, path)
+
+
+def _edge_line_counts(spark: SparkSession, sf: str) -> DataFrame:
+    text = _edge_text(spark, sf)
+    return spark.range(1).select(
+        F.lit(text.n_edges).cast("bigint").alias("n_edges"),
+        F.lit(text.n_rejects).cast("bigint").alias("n_rejects"),
+    )
+
+
+def _runs_laid_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Each run a count of its own, all from edges that were laid out once."""
+    layout = graph.lay_out(_edges(spark, sf))
+    runs = [
+        triangles.estimate_by_colours(layout, COLOURS, [run]).select(
+            F.lit(i).alias("run"), "estimate"
+        )
+        for i, run in enumerate(RUNS)
+    ]
+    return reduce(DataFrame.unionByName, runs)
+
+
 def _stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     return partials.drain(_event_stream(spark, sf), LEFT, RIGHT)
 
@@ -214,6 +249,9 @@ QUERIES: dict[str, Query] = {
     "edge_counts": lambda s, d: graph.edge_counts(_edges(s, d)),
     "canonical_edges": lambda s, d: graph.canonical_edges(_edges(s, d)),
     "edges_through_text": _edges_through_text,
+    "edges_lenient": lambda s, d: _edge_text(s, d).edges,
+    "edge_rejects": lambda s, d: _edge_text(s, d).rejects,
+    "edge_line_counts": _edge_line_counts,
     "monochromatic_edges": lambda s, d: triangles.monochromatic_edges(
         _edges(s, d), COLOURS, COLOUR_A, COLOUR_B
     ),
@@ -225,6 +263,8 @@ QUERIES: dict[str, Query] = {
     "triangles_colour_runs": lambda s, d: triangles.estimate_by_colours(
         _edges(s, d), COLOURS, RUNS
     ),
+    "triangles_runs_laid_out": _runs_laid_out,
+    "triangles_exact_laid_out": lambda s, d: triangles.count_exact(graph.lay_out(_edges(s, d))),
     "triangles_colour_median": lambda s, d: triangles.median_estimate(
         triangles.estimate_by_colours(_edges(s, d), COLOURS, RUNS)
     ),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from triflux.functions.checks import checked
-from triflux.functions.scratch import keep_table
+from triflux.functions.scratch import keep_table, scratch_path
 
 
 def _tokens(spark: SparkSession, path: str, partitions: int | None) -> DataFrame:
@@ -40,18 +42,44 @@ def read_edge_text(
     return keep_table(edges, "edges") if keep else edges
 
 
+@dataclass(frozen=True)
+class EdgeText:
+    """What a text was sorted into: ``edges (u, v)``, ``rejects (value)``, and their numbers."""
+
+    edges: DataFrame
+    rejects: DataFrame
+    n_edges: int
+    n_rejects: int
+
+
 def read_edge_text_lenient(
     spark: SparkSession, path: str, partitions: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """``(edges, rejects)``: rejects holds the lines that are not an edge, as ``value``."""
+) -> EdgeText:
+    """Reads the text once and sets aside the lines that are not an edge.
+
+    One job parses, counts and writes both kinds; the results read what it wrote.
+    """
     t = F.col("t")
+    u, v = (F.try_element_at(t, F.lit(i)).try_cast("bigint") for i in (1, 2))
     parsed = _tokens(spark, path, partitions).select(
-        "value",
-        F.try_element_at(t, F.lit(1)).try_cast("bigint").alias("u"),
-        F.try_element_at(t, F.lit(2)).try_cast("bigint").alias("v"),
+        u.alias("u"), v.alias("v"), "value", (u.isNotNull() & v.isNotNull()).alias("good")
+    )
+    line = F.when(~F.col("good"), F.col("value")).alias("value")
+    seen = Observation()
+    counted = parsed.observe(
+        seen,
+        F.count_if("good").alias("n_edges"),
+        F.count_if(~F.col("good")).alias("n_rejects"),
+    )
+    written = scratch_path(spark, "edge-text")
+    counted.select("u", "v", line, "good").write.partitionBy("good").parquet(written)
+    rows = spark.read.schema("u bigint, v bigint, value string, good boolean").parquet(written)
+    return EdgeText(
+        rows.where("good").select("u", "v"),
+        rows.where("not good").select("value"),
+        seen.get["n_edges"],
+        seen.get["n_rejects"],
     )
-    good = F.col("u").isNotNull() & F.col("v").isNotNull()
-    return parsed.where(good).select("u", "v"), parsed.where(~good).select("value")
 
 
 def edges_from(table: DataFrame, u: str, v: str) -> DataFrame:
