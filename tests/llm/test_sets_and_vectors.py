@@ -84,6 +84,25 @@ def test_one_document_of_each_group_stays(frame):
     assert near_dup.deduplicated(frame([])).count() == 0
 
 
+def test_columns_of_any_name_are_kept(frame):
+    schema = "doc_id long, text string, source string, _class string, _one int, _one_class int, _size string, _MIX int, _copy int, d int, t int"
+    extra = ("c", 1, 2, "s", 3, 4, 5, 6)
+    rows = [(1, "a b c d e f g", "x", *extra), (2, "A b c d e f g", "x", *extra), (3, None, None, *extra)]
+    docs = frame(rows, schema)
+    once = near_dup.deduplicated(docs)
+    assert once.columns == docs.columns
+    assert sorted(map(tuple, once.collect())) == [rows[0], rows[2]]
+    mix = mixing.mixed(docs)
+    assert mix.columns == docs.columns and set(map(tuple, mix.collect())) <= set(rows)
+    assert mix.count() > 0
+
+
+def test_stages_take_an_empty_table(spark):
+    none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(5, 5), (160, 101)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -111,6 +130,8 @@ def test_fingerprints_match_brute_force(frame):
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         a, b = shingles_of(t), shingles_of(edited)
         assert r.near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        c = shingles_of(after)
+        assert r.near_next == pytest.approx(len(a & c) / len(a | c) if a | c else 1.0)
     same = {}
     for (k, t) in clean:
         for r in of[k, len(t)]:

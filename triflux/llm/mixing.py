@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triflux.functions.scratch import keep_table
+from triflux.llm.names import fresh
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -91,15 +92,16 @@ def chance(seed: int = SEED) -> Column:
 
 
 def copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``size, source_size, target, copies`` in ``_mix``, a struct.
+    """``docs`` with ``size, source_size, target, copies`` in a struct, the last column.
 
-    ``docs`` needs ``doc_id, text, source`` and keeps all its columns. Null texts
+    That is ``_mix``, or a longer name where there is such a column. ``docs`` needs ``doc_id, text, source`` and keeps all its columns. Null texts
     and texts without words have size 0. A source of size 0 has target 0 and its
     documents no copies. Equal rows draw the same number. No random state: runs
     agree. Words are counted once, before sums and copies both use them.
     """
-    sized = docs.withColumn("_size", n_words())
-    targets = source_targets(sized.select("source", F.col("_size").alias("size")))
+    size = fresh("_size", docs.columns)
+    sized = docs.withColumn(size, n_words())
+    targets = source_targets(sized.select("source", F.col(size).alias("size")))
     # Spark broadcasts the table if it is small enough, else splits a hot source's partition.
     table = keep_table(targets, "targets")
     t = table.alias("t")
@@ -109,12 +111,13 @@ def copies(docs: DataFrame, seed: int = SEED) -> DataFrame:
     whole = F.floor(rate)
     n = (whole + F.when(chance(seed) < rate - whole, 1).otherwise(0)).cast("int")
     mix = F.struct(
-        F.col("_size").alias("size"),
+        F.col(size).alias("size"),
         F.col("t.source_size").alias("source_size"),
         F.col("t.target").alias("target"),
         n.alias("copies"),
     )
-    return joined.select(*[F.col(f"d.{_quoted(c)}") for c in docs.columns], mix.alias("_mix"))
+    own = [F.col(f"d.{_quoted(c)}") for c in docs.columns]
+    return joined.select(*own, mix.alias(fresh("_mix", docs.columns)))
 
 
 def _quoted(name: str) -> str:
@@ -122,10 +125,11 @@ def _quoted(name: str) -> str:
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    """The mix itself: the rows of ``docs``, with all their columns, each as often as it is taken."""
     rows = copies(docs, seed)
-    repeated = F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies")))
-    return rows.withColumn("_copy", repeated).drop("_mix", "_copy")
+    own = [F.col(_quoted(c)) for c in docs.columns]
+    times = F.col(_quoted(rows.columns[-1])).getField("copies")
+    return rows.select(*own, F.explode(F.array_repeat(F.lit(0), times))).select(*own)
 
 
 def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from triflux.functions.scratch import keep_table
 from triflux.llm.components import connected_components
+from triflux.llm.names import fresh
 
 WORDS = 5
 PERCENT = 80
@@ -406,13 +407,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row of each group of ``docs``, with all its columns: one with the smallest doc_id.
 
-    Rows without words are all kept. Rows that agree in id and words are one.
+    Rows without words are all kept. Rows that agree in id and words are one. Names of
+    further columns are of no account; an empty table stays empty.
     """
     rows = grouped(docs, words).where(F.col("class").isNotNull())
     first = rows.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "class")).alias("x")
     )
-    ones = first.select(F.col("x.doc_id").alias("_one"), F.col("x.class").alias("_one_class"))
+    one, one_class, own_class = (
+        fresh(x, docs.columns) for x in ("_one", "_one_class", "_class")
+    )
+    ones = first.select(F.col("x.doc_id").alias(one), F.col("x.class").alias(one_class))
 
     text_at = docs.columns.index("text")
 
@@ -424,15 +429,15 @@ def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.binary())],
-                names=[*batch.schema.names, "_class"],
+                names=[*batch.schema.names, own_class],
             )
 
-    schema = StructType([*docs.schema.fields, StructField("_class", BinaryType())])
+    schema = StructType([*docs.schema.fields, StructField(own_class, BinaryType())])
     marked = docs.mapInArrow(classed, schema)
-    same = F.col("doc_id").eqNullSafe(F.col("_one")) & (F.col("_class") == F.col("_one_class"))
-    kept = marked.where(F.col("_class").isNotNull()).join(ones, same)
-    kept = kept.dropDuplicates(["doc_id", "_class"]).select(*docs.columns)
-    return kept.unionByName(marked.where(F.col("_class").isNull()).select(*docs.columns))
+    same = F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(own_class) == F.col(one_class))
+    kept = marked.where(F.col(own_class).isNotNull()).join(ones, same)
+    kept = kept.dropDuplicates(["doc_id", own_class]).select(*docs.columns)
+    return kept.unionByName(marked.where(F.col(own_class).isNull()).select(*docs.columns))
 
 
 def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
