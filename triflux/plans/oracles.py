@@ -20,6 +20,7 @@ from triflux.plans.registry import (
     RUNS,
     SKETCH_ROWS,
     SPAN_SECONDS,
+    TEXT_PARTITIONS,
     USERS_RIGHT,
     WIDE,
     WIDE_PRIME,
@@ -148,9 +149,14 @@ from lineitem where l_linenumber >= 5""",
     "edge_line_counts": """
 select count(*) filter (l_linenumber < 5) n_edges, count(*) filter (l_linenumber >= 5) n_rejects
 from lineitem""",
+    "edge_partitions": f"select cast({TEXT_PARTITIONS} as bigint) partitions, count(*) edges from lineitem",
     "monochromatic_edges": f"with {EDGES} select {_colour('u')} colour, u, v from e "
     f"where {_colour('u')} = {_colour('v')}",
     "triangles_exact": f"with {EDGES}, {TRIANGLES} select count(*) triangles from t",
+    "triangles_by_method": f"""
+with {EDGES}, {TRIANGLES}
+select unnest(['exact', 'exact_triplet', 'colour', 'partition']) as method, n triangles
+from (select count(*) n from t)""",
     "triangles_list": f"with {EDGES}, {TRIANGLES} select u, v, w from t",
     "triangles_per_colour": f"""
 with {EDGES}, {TRIANGLES},

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from triflux.functions.hashing import SketchParams
 from triflux.functions.scratch import scratch_path
 from triflux.operators import graph, histogram, sketch, triangles
-from triflux.plans.jobs import report_on_counts, report_on_items
+from triflux.plans.jobs import METHODS, count_triangles, report_on_counts, report_on_items
 from triflux.sources.edges import EdgeText, edges_from, read_edge_text, read_edge_text_lenient
 from triflux.sources.items import items_from, stream_files, time_batch
 from triflux.streaming import partials, prefix, state
@@ -49,6 +49,7 @@ BATCH_SECONDS = 3_600
 SPAN_SECONDS = 64 * 3_600
 # More than one task should gather.
 LARGE_K = 1_500
+TEXT_PARTITIONS = 7
 # Too wide to be broadcast: five rows of as many columns are more than a million cells.
 WIDE, WIDE_PRIME = 400_000, 2_147_483_647
 
@@ -142,6 +143,34 @@ def _edges_through_text(spark: SparkSession, sf: str) -> DataFrame:
     return graph.canonical_edges(read_edge_text(spark, path))
 
 
+def _edge_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges read back in a given number of partitions: how many there are, and all edges."""
+    path = scratch_path(spark, "edges")
+    lines = _edges(spark, sf).select(F.concat_ws(",", "u", "v").alias("value"))
+    lines.write.text(path)
+    edges = read_edge_text(spark, path, partitions=TEXT_PARTITIONS)
+    each = edges.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(
+        F.count(F.lit(1)).alias("partitions"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges")
+    )
+
+
+def _by_method(spark: SparkSession, sf: str) -> DataFrame:
+    """The methods by name; with one colour or one part the estimators count exactly, too."""
+    path = scratch_path(spark, "edges")
+    lines = _edges(spark, sf).select(F.concat_ws(",", "u", "v").alias("value"))
+    lines.write.text(path)
+    edges = read_edge_text(spark, path, keep=True)
+    colours = {"exact": 1, "exact_triplet": COLOURS, "colour": 1, "partition": 1}
+    counts = [
+        count_triangles(edges, method, colours[method], runs=len(RUNS), seed=11).select(
+            F.lit(method).alias("method"), F.col("triangles").cast("bigint").alias("triangles")
+        )
+        for method in METHODS
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def _edge_text(spark: SparkSession, sf: str) -> EdgeText:
     """Edges as lines of a file, with what a careless writer puts between them."""
     path = scratch_path(spark, "lines")
@@ -252,10 +281,12 @@ QUERIES: dict[str, Query] = {
     "edges_lenient": lambda s, d: _edge_text(s, d).edges,
     "edge_rejects": lambda s, d: _edge_text(s, d).rejects,
     "edge_line_counts": _edge_line_counts,
+    "edge_partitions": _edge_partitions,
     "monochromatic_edges": lambda s, d: triangles.monochromatic_edges(
         _edges(s, d), COLOURS, COLOUR_A, COLOUR_B
     ),
     "triangles_exact": lambda s, d: triangles.count_exact(_edges(s, d)),
+    "triangles_by_method": _by_method,
     "triangles_list": lambda s, d: triangles.list_triangles(_edges(s, d)),
     "triangles_per_colour": lambda s, d: triangles.triangles_per_colour(
         _edges(s, d), COLOURS, COLOUR_A, COLOUR_B
