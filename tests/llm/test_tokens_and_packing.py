@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from triflux.llm import tokens
-from triflux.llm.config_lp import solve
+from triflux.llm.config_lp import fractional, solve, solve_with_bound
 from triflux.llm.packing import pack, packed_ids
 from triflux.llm.token_files import (
     TokenFileReader,
@@ -144,3 +144,53 @@ def test_packing_is_gapless_and_whole(frame, plain):
 
 def test_packing_an_empty_table(frame):
     assert pack(frame([]))[1].count() == 0
+
+
+def least_bins(items, capacity):
+    """The fewest bins for a few items, by trying all."""
+    best = len(items)
+
+    def place(rest, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if not rest:
+            best = len(rooms)
+            return
+        size, rest = rest[0], rest[1:]
+        for room in {r for r in rooms if r >= size}:
+            at = rooms.index(room)
+            place(rest, [*rooms[:at], room - size, *rooms[at + 1 :]])
+        place(rest, [*rooms, capacity - size])
+
+    place(sorted(items, reverse=True), [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_bound_and_plan_stand_on_either_side_of_the_optimum(seed):
+    rng = random.Random(seed)
+    items = [rng.choice((3, 4, 5, 6, 7, 9, 11, 13, 20)) for _ in range(11)]
+    plan, bound = solve_with_bound(Counter(items), 20)
+    used = Counter()
+    for content, copies in plan:
+        assert sum(k * n for k, n in content.items()) <= 20
+        used.update({k: n * copies for k, n in content.items()})
+    assert used == Counter(items)
+    bins = sum(copies for _, copies in plan)
+    assert bound <= least_bins(items, 20) <= bins <= least_bins(items, 20) + 1
+
+
+def test_the_program_is_solved_and_rounded():
+    # Lengths that fill bins only in threes and pairs: the program finds those.
+    lengths, demand = np.array([30, 35, 50]), np.array([2_000, 2_000, 1_000])
+    contents, amounts, bound = fractional(lengths, demand, 100)
+    covered = sum(a * c[0] for a, c in zip(amounts, contents))
+    assert covered == pytest.approx(2_000, rel=0.1) and len(contents) >= 3
+    assert 1_800 <= bound <= 1_834
+    rng = random.Random(3)
+    histogram = Counter(rng.randint(1, 999) for _ in range(20_000))
+    plan, bound = solve_with_bound(histogram, 1_000)
+    tokens = sum(k * n for k, n in histogram.items())
+    assert -(-tokens // 1_000) <= bound <= sum(n for _, n in plan) <= 1.01 * bound
+    assert solve({}, 10) == [] and solve_with_bound({10: 3}, 10) == ([({10: 1}, 3)], 3)

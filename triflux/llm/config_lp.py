@@ -1,12 +1,16 @@
 """A configuration program over a histogram of lengths, for packing bins of one capacity.
 
-A configuration is a multiset of lengths that fits into a bin. The program asks
-for the fewest bins whose configurations cover the histogram. It is solved by
-multiplicative weights: a length weighs its size times a factor that falls with
-the share of its demand already served, a knapsack dynamic program over the
-capacity prices the configurations of greatest weight, and a whole number of
-copies of each is taken, never above the demand that is left. What no step has
-taken is packed best-fit, also by counts.
+A configuration is a multiset of lengths that fits into a bin. The program asks for
+the least total amount of configurations that cover the histogram, amounts being
+fractions at first. Multiplicative weights solve it: a length weighs its size times a
+factor that falls exponentially with the share of its demand that is covered, a
+knapsack dynamic program over the capacity prices all configurations at these weights,
+and those near the optimum price get a small amount each. Weights divided by the
+optimum price are a solution of the dual program, so every step gives a lower bound
+for the number of bins.
+
+Amounts are then rounded: whole parts first, then one more copy of each, by the size
+of the fraction left, where demand allows. What that leaves is packed best-fit.
 
 Everything here works on the histogram, which has at most ``capacity`` entries,
 so neither time nor memory grow with the number of items.
@@ -15,16 +19,18 @@ so neither time nor memory grow with the number of items.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 
 import numpy as np
 
-STEPS = 150
-PER_STEP = 16
-#: The share of a configuration's greatest possible number of copies taken at once.
-SHARE = 0.5
-#: How fast a length loses weight as its demand is served.
-RATE = 1.0
+STEPS = 30
+#: The share of a configuration's scarcest demand that one step covers with it.
+SHARE = 0.1
+#: How fast a length loses weight as its demand is covered.
+RATE = 2.0
+#: How far below the optimum price a configuration may be.
+NEAR = 0.02
 
 Plan = list[tuple[dict[int, int], int]]
 
@@ -110,40 +116,82 @@ def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> Plan:
     return [({int(lengths[k]): n for k, n in c.items()}, copies) for c, copies in bins if copies]
 
 
-def solve(histogram: dict[int, int], capacity: int) -> Plan:
-    """Configurations and their numbers of copies, holding each item of the histogram once.
+def fractional(
+    lengths: np.ndarray, demand: np.ndarray, capacity: int
+) -> tuple[list[Counter[int]], np.ndarray, float]:
+    """Configurations (of indices into ``lengths``), their amounts, and the lower bound.
 
-    ``histogram`` maps lengths (1 to ``capacity``) to how many items have them. An
-    empty histogram gives an empty plan.
+    The amounts hold as many tokens as the demand does; a length may be covered somewhat
+    more or less than once.
+    """
+    covered = np.zeros(len(lengths))
+    found: dict[frozenset, int] = {}
+    contents: list[Counter[int]] = []
+    amounts: list[float] = []
+    bound = 0.0
+    for _ in range(STEPS):
+        weights = lengths * np.exp(-RATE * covered)
+        best, last = _knapsack(lengths, weights, capacity)
+        bound = max(bound, float(weights @ demand) / best[capacity])
+        price = weights + best[capacity - lengths]
+        near = np.flatnonzero(price >= (1 - NEAR) * best[capacity])
+        for first in near[np.argsort(covered[near], kind="stable")].tolist():
+            content = _configuration(first, lengths, demand, last, capacity)
+            amount = SHARE * min(demand[k] / n for k, n in content.items())
+            for k, n in content.items():
+                covered[k] += amount * n / demand[k]
+            at = found.setdefault(frozenset(content.items()), len(contents))
+            if at == len(contents):
+                contents.append(content)
+                amounts.append(0.0)
+            amounts[at] += amount
+    held = float((covered * demand) @ lengths)
+    scale = float(demand @ lengths) / held if held else 0.0
+    return contents, np.array(amounts) * scale, bound
+
+
+def _rounded(
+    contents: list[Counter[int]], amounts: np.ndarray, left: np.ndarray
+) -> list[tuple[Counter[int], int]]:
+    """Whole copies within ``left``, which is reduced by them."""
+    whole = np.floor(amounts)
+    # First the whole parts, the largest first; then what was cut off.
+    order = np.argsort(-whole, kind="stable"), np.argsort(whole - amounts, kind="stable")
+    plan = []
+    for copies, at in [(whole, order[0]), (np.ones(len(whole)), order[1])]:
+        for i in at.tolist():
+            content = contents[i]
+            n = min(int(copies[i]), *(int(left[k]) // m for k, m in content.items()))
+            if n > 0:
+                for k, m in content.items():
+                    left[k] -= n * m
+                plan.append((content, n))
+    return plan
+
+
+def solve_with_bound(histogram: dict[int, int], capacity: int) -> tuple[Plan, int]:
+    """Configurations and their numbers of copies, and the least number of bins possible.
+
+    The plan holds each item of the histogram, which maps lengths (1 to ``capacity``) to
+    how many items have them, once. An empty histogram gives an empty plan.
     """
     plan: Plan = []
     demand = {n: k for n, k in histogram.items() if k > 0}
     if demand and (min(demand) < 1 or max(demand) > capacity):
         raise ValueError(f"a length is not within 1 to {capacity}")
-    if capacity in demand:
-        plan.append(({capacity: 1}, demand.pop(capacity)))
+    full = demand.pop(capacity, 0)
+    if full:
+        plan.append(({capacity: 1}, full))
     if not demand:
-        return plan
+        return plan, full
     lengths = np.array(sorted(demand), np.int64)
-    total = np.array([demand[n] for n in lengths.tolist()], np.int64)
-    left = total.copy()
-    for _ in range(STEPS):
-        open_ = np.flatnonzero(left > 0)
-        if not len(open_):
-            break
-        sizes = lengths[open_]
-        weights = sizes * np.exp(RATE * left[open_] / total[open_])
-        _, last = _knapsack(sizes, weights, capacity)
-        rest = left[open_].copy()
-        # The most under-served lengths, in tokens, each get their best configuration.
-        for first in np.argsort(-sizes * rest, kind="stable")[:PER_STEP].tolist():
-            if not rest[first]:
-                continue
-            taken = _configuration(first, sizes, rest, last, capacity)
-            most = min(int(rest[k]) // n for k, n in taken.items())
-            copies = max(1, int(SHARE * most))
-            for k, n in taken.items():
-                rest[k] -= copies * n
-            plan.append(({int(sizes[k]): n for k, n in taken.items()}, copies))
-        left[open_] = rest
-    return plan + _best_fit(lengths, left, capacity)
+    left = np.array([demand[n] for n in lengths.tolist()], np.int64)
+    contents, amounts, bound = fractional(lengths, left.copy(), capacity)
+    rounded = _rounded(contents, amounts, left)
+    plan += [({int(lengths[k]): n for k, n in c.items()}, copies) for c, copies in rounded]
+    return plan + _best_fit(lengths, left, capacity), full + math.ceil(bound - 1e-6)
+
+
+def solve(histogram: dict[int, int], capacity: int) -> Plan:
+    """The plan of :func:`solve_with_bound`."""
+    return solve_with_bound(histogram, capacity)[0]
