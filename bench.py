@@ -3,6 +3,7 @@
 BENCH_SF_DIR   tables (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
 BENCH_REPEAT   timed runs per query after one warm-up; the median counts (default 3)
+BENCH_SECONDS  no further run of a query once its timed runs took so long (default 10)
 BENCH_QUERIES  comma-separated names (default: all)
 
 The ``copurchase_*`` queries count triangles in the "parts bought together"
@@ -32,6 +33,7 @@ from triflux.sources.edges import read_edge_text  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 REPEAT = int(os.environ.get("BENCH_REPEAT", "3"))
+SECONDS = float(os.environ.get("BENCH_SECONDS", "10"))
 ONLY = [name for name in os.environ.get("BENCH_QUERIES", "").split(",") if name]
 
 COPURCHASE = {
@@ -96,6 +98,8 @@ def main() -> None:
             start = time.perf_counter()
             frame = job()  # streaming queries do their work here
             runs.append(time.perf_counter() - start + seconds(frame))
+            if sum(runs[1:]) > SECONDS:
+                break
         times[name] = round(statistics.median(runs[1:]), 3)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
     print(
