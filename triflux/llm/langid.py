@@ -339,6 +339,8 @@ def learn(
     languages = sorted(set(counts["lang"].unique().to_pylist()))
     known = sizes.where(F.col("lang").isin(languages)).collect() if languages else []
     model = _fit(languages, counts, {r["lang"]: r["n"] for r in known})
+    del counts
+    pa.default_memory_pool().release_unused()
     if usual and languages:
         model.usual = _usual(complete.where(held_out()), model)
     return model
@@ -376,7 +378,10 @@ def _usual(docs: DataFrame, model: Model) -> np.ndarray:
 
 def _fit(languages: list[str], counts: pa.Table, documents: dict[str, int]) -> Model:
     """The model from ``COUNTS``, each language and hash once."""
-    lang = np.searchsorted(languages, counts["lang"].to_pylist()) if languages else np.empty(0, int)
+    place = {x: i for i, x in enumerate(languages)}
+    coded = counts["lang"].dictionary_encode().combine_chunks()
+    places = np.array([place[x] for x in coded.dictionary.to_pylist()], np.int64)
+    lang = places[coded.indices.to_numpy()]
     size, n = counts["size"].to_numpy(), counts["n"].to_numpy()
     hashes = counts["hash"].to_numpy().view(np.uint64)
     tables = {}
