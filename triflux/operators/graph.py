@@ -181,43 +181,50 @@ def closed_wedges(
     return _intersected(sent, kept, [*keys, "mid", "salt"]).select(*keys, "src", "mid", "last")
 
 
+def _common(one: str, other: str) -> str:
+    """What two arrays have in common. The second argument is hashed; the shorter one should be."""
+    return (
+        f"if(size({one}) < size({other}), "
+        f"array_intersect({other}, {one}), array_intersect({one}, {other}))"
+    )
+
+
 def _intersected(sent: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
     """The arrays sent to a vertex, cut down to what is in its own."""
-    # The second array is hashed; the shorter one should be.
-    common = (
-        "if(size(later) < size(ids), array_intersect(ids, later), array_intersect(later, ids))"
-    )
     # Neither side is bounded, and size estimates do not see what posexplode adds.
     both = sent.hint("merge").join(kept, on)
-    return both.withColumn("last", F.expr(common)).drop("later", "ids")
+    return both.withColumn("last", F.expr(_common("later", "ids"))).drop("later", "ids")
 
 
-def closed_wedges_by_colour(
-    oriented: DataFrame, colour: Callable[[Column], Column], colours: int, laid_out: bool = False
+def closed_wedges_by_class(
+    oriented: DataFrame, classes: Sequence[Column], within: bool = False, laid_out: bool = False
 ) -> DataFrame:
-    """Rows ``(src, mid, c, last)``: the third vertices of colour ``c`` of the triangles on src -> mid.
-
-    A vertex has one array of out-neighbours for each colour, and sends to each of its
-    out-neighbours the later part of every one of them. How many of a colour come
-    before an out-neighbour is counted once, in the order of its edges, so that part is
-    a slice and no element is looked at.
+    """Rows ``(src, mid, c, last)``: the third vertices that both ends of src -> mid reach by class ``c``.
+
+    Classes are conditions over the columns of ``oriented`` and may overlap. With
+    ``within`` src -> mid is of that class as well. A vertex has one array of
+    out-neighbours for each class, and sends to each of its out-neighbours the later
+    part of every one of them. How many of a class come before an out-neighbour is
+    counted once, in the order of its edges, so that part is a slice and no element is
+    looked at. The parts go as one row an edge: what classes have in common lies side
+    by side, where a shuffle file's compression finds it.
     """
-    numbers = range(colours)
+    numbers = range(len(classes))
     order = Window.partitionBy("src").orderBy("dst_d", "dst")
     up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = oriented.where("src is not null").select(
-        "src", "src_d", "dst", "dst_d", colour(F.col("dst")).alias("c")
+    known = (
+        oriented.where("src is not null")
+        .select("src", "src_d", "dst", "dst_d", F.array(*classes).alias("of"))
+        .where(F.array_contains("of", True))
     )
     # Shuffled once, as plain rows, and read by both sides of the join.
     dealt = known if laid_out else known.repartition("src")
-    edges = (
-        dealt.withColumn("seen", F.array(*[F.count_if(F.col("c") == k).over(up_to) for k in numbers]))
-    )
+    edges = dealt.withColumn("seen", F.array(*[F.count_if(F.col("of")[k]).over(up_to) for k in numbers]))
     end = F.struct("dst_d", "dst")
-    own = [F.sort_array(F.collect_list(F.when(F.col("c") == k, end))).alias(f"own{k}") for k in numbers]
+    own = [F.sort_array(F.collect_list(F.when(F.col("of")[k], end))).alias(f"own{k}") for k in numbers]
     out = (
         edges.groupBy("src", F.col("src_d").alias("d"))
-        .agg(F.sort_array(F.collect_list(F.struct("dst_d", "dst", "seen"))).alias("mids"), *own)
+        .agg(F.sort_array(F.collect_list(F.struct("dst_d", "dst", "seen", "of"))).alias("mids"), *own)
         .select("src", "d", "mids", F.array(*[F.col(f"own{k}.dst") for k in numbers]).alias("own"))
     )
     blocks = f"explode(sequence(0, cast((size(mids) - 1) div {SEND_BLOCK} as int))) as k"
@@ -229,25 +236,38 @@ def closed_wedges_by_colour(
         .repartition("src", "k")
         .drop("k")
     )
+    has = [f"m.seen[{k}] < size(own[{k}])" + f" and m.of[{k}]" * within for k in numbers]
+    parts = [
+        f"if({x}, slice(own[{k}], cast(m.seen[{k}] + 1 as int), size(own[{k}])), null)"
+        for k, x in zip(numbers, has, strict=True)
+    ]
     sent = (
         short.unionByName(long)
         .selectExpr("src", "own", "explode(mids) as m")
-        .selectExpr("src", "m", "posexplode(own) as (c, ids)")
-        .where("element_at(m.seen, c + 1) < size(ids)")
+        .where(" or ".join(f"({x})" for x in has))
         .selectExpr(
             "src",
             "m.dst as mid",
-            "c",
             f"pmod(xxhash64(src), m.dst_d div {SALT_ROWS} + 1) as salt",
-            "slice(ids, cast(element_at(m.seen, c + 1) + 1 as int), size(ids)) as later",
+            f"array({', '.join(parts)}) as later",
         )
     )
-    kept = (
-        out.selectExpr("src as mid", f"explode(sequence(0L, d div {SALT_ROWS})) as salt", "own")
-        .selectExpr("mid", "salt", "posexplode(own) as (c, ids)")
-        .where("size(ids) > 0")
+    kept = out.selectExpr(
+        "src as mid", f"explode(sequence(0L, d div {SALT_ROWS})) as salt", "own as ids"
     )
-    return _intersected(sent, kept, ["mid", "c", "salt"]).select("src", "mid", "c", "last")
+    common = ", ".join(_common(f"later[{k}]", f"ids[{k}]") for k in numbers)
+    # Neither side is bounded, as in _intersected.
+    both = sent.hint("merge").join(kept, ["mid", "salt"])
+    closed = both.selectExpr("src", "mid", f"posexplode(array({common})) as (c, last)")
+    return closed.where("size(last) > 0")
+
+
+def closed_wedges_by_colour(
+    oriented: DataFrame, colour: Callable[[Column], Column], colours: int, laid_out: bool = False
+) -> DataFrame:
+    """Rows ``(src, mid, c, last)``: the third vertices of colour ``c`` of the triangles on src -> mid."""
+    classes = [colour(F.col("dst")) == c for c in range(colours)]
+    return closed_wedges_by_class(oriented, classes, laid_out=laid_out)
 
 
 def triangles_closed(

@@ -24,6 +24,7 @@ from triflux.functions.median import integer_median
 from triflux.operators.graph import (
     Layout,
     canonical_edges,
+    closed_wedges_by_class,
     closed_wedges_by_colour,
     orient,
     total_triangles,
@@ -82,20 +83,11 @@ def _coloured_triangles(
         any_run = [_same_colour(colours, a, b, p, "u", "v") for a, b in runs]
         edges = edges.where(reduce(or_, any_run))
     oriented, laid_out = _oriented(edges)
-    per_run = F.array(
-        *[
-            F.struct(
-                F.lit(run).alias("run"),
-                F.when(
-                    _same_colour(colours, a, b, p, "src", "dst"),
-                    bucket_hash(F.col("src"), a, b, colours, p),
-                ).alias("colour"),
-            )
-            for run, (a, b) in enumerate(runs)
-        ]
-    )
-    keyed = oriented.select("*", F.inline(per_run)).where(F.col("colour").isNotNull())
-    return triangles_closed(keyed, ("run", "colour"), laid_out)
+    same = [_same_colour(colours, a, b, p, "src", "dst") for a, b in runs]
+    closed = closed_wedges_by_class(oriented, same, within=True, laid_out=laid_out)
+    shared = F.array(*[bucket_hash(F.col("src"), a, b, colours, p) for a, b in runs])
+    triangles = F.size("last").cast("bigint").alias("triangles")
+    return closed.select(F.col("c").alias("run"), shared[F.col("c")].alias("colour"), triangles)
 
 
 def _summed(rows: DataFrame, key: str, values: int) -> DataFrame:
