@@ -619,9 +619,37 @@ def _judged(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _scored(asked: DataFrame, model: Model) -> DataFrame:
-    """``word, scores, letters, fits, real`` of distinct words, from arrays and rest together."""
+    """``word, scores, letters, fits, real`` of distinct words that the arrays' words do not have.
+
+    Those that are words of the rest have their scores there. Only the others, which are
+    unseen, are taken apart.
+    """
     shared = model.shared(asked.sparkSession)
     width = len(model.languages)
+    scored = "word string, scores array<double>, letters double, fits double, real boolean"
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            letters, real = _letters(words)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(grams(words, WORD)[0].view(np.int64)),
+                    pa.array(letters, pa.float64()),
+                    pa.array(real, pa.bool_()),
+                ],
+                names=["word", "hash", "letters", "real"],
+            )
+
+    words = asked.mapInArrow(hashed, "word string, hash long, letters double, real boolean")
+    own = model.rest.where(F.col("size") == WORD).select("hash", "sums")
+    words = keep_table(words.join(own, "hash", "left"), "words")
+    scores = F.col("sums").cast("array<float>").cast("array<double>").alias("scores")
+    seen = words.where("sums is not null").select(
+        "word", scores, "letters", F.col("letters").alias("fits"), "real"
+    )
+    asked = words.where("sums is null").select("word")
     found = "known long, sums array<double>, having array<long>"
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -631,6 +659,8 @@ def _scored(asked: DataFrame, model: Model) -> DataFrame:
             for low in range(0, len(every), AT_ONCE):
                 words = every[low : low + AT_ONCE]
                 for size, table in shared.value.tables.items():
+                    if size == WORD:
+                        continue
                     hashes, counts = grams(words, size)
                     owner = np.repeat(np.arange(len(words)), counts)
                     known, sums, having = table.look_up(hashes, owner, len(words))
@@ -669,14 +699,12 @@ def _scored(asked: DataFrame, model: Model) -> DataFrame:
             scores, fits = np.zeros((len(words), width), np.float32), np.zeros(len(words), np.float32)
             for at, (word, sizes) in enumerate(zip(words, batch.column(1).to_pylist(), strict=True)):
                 own = {x["size"]: x for x in sizes}
-                for size in (WORD, *NGRAMS):
+                for size in NGRAMS:
                     if size in own and own[size]["known"]:
                         scores[at] = np.array(own[size]["sums"]) / own[size]["known"]
                         break
                 size = min(NGRAMS[0], len(word) + 2)
-                if own[WORD]["known"]:
-                    fits[at] = 1
-                elif size in own:
+                if size in own:
                     fits[at] = (max(own[size]["having"]) / (len(word) + 3 - size)) ** 2
             letters, real = _letters(words)
             yield pa.RecordBatch.from_arrays(
@@ -690,9 +718,7 @@ def _scored(asked: DataFrame, model: Model) -> DataFrame:
                 names=["word", "scores", "letters", "fits", "real"],
             )
 
-    return by_word.mapInArrow(
-        choose, "word string, scores array<double>, letters double, fits double, real boolean"
-    )
+    return by_word.mapInArrow(choose, scored).unionByName(seen)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
