@@ -61,6 +61,32 @@ def test_a_split_model_judges_as_a_whole_one(frame, monkeypatch, held):
     assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
 
 
+def test_texts_that_fit_by_held_words_go_through_no_join(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 300)
+    model = langid.learn_all(spark.createDataFrame(_rows(), DOCS))
+    assert model.rest is not None
+    plain = [(i, "a b c d", None) for i in range(20)]
+    seen = []
+    real = langid._judged
+    monkeypatch.setattr(langid, "_judged", lambda docs, m: seen.extend(docs.collect()) or real(docs, m))
+    kept = langid.accepted(spark.createDataFrame([*plain, (30, None, None), (31, "12", None)], DOCS), model)
+    assert sorted(map(tuple, kept.collect())) == plain and not seen
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    mixed = [*plain, (40, "a zzzzz", None), (41, "zzzzz", None)]
+    kept = langid.accepted(spark.createDataFrame(mixed, DOCS), model)
+    assert [r.text for r in seen] == ["zzzzz"]
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(20), 40]
+
+
+def test_unseen_words_where_only_letters_were_learned(spark):
+    letters = spark.createDataFrame([(i, "a b c d", "aa") for i in range(8)], DOCS)
+    model = langid.learn_all(letters)
+    assert model.rest is None
+    other = spark.createDataFrame([(1, "xyxy", None), (2, "a b xyxy", None)], DOCS)
+    assert [r.doc_id for r in langid.accepted(other, model).collect()] == [2]
+
+
 def test_nothing_to_learn(frame):
     empty = frame([], DOCS)
     assert langid.accepted(empty, langid.learn_all(empty)).count() == 0
