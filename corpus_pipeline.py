@@ -1,7 +1,7 @@
 """A pipeline over ``documents``: five stages, each from one operator of ``triflux.llm``.
 
 Each stage works on all rows that its predecessor kept, and all but the last
-return the columns of their input.
+return the columns of their input. Texts go to Python in small batches.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triflux.functions.batches import in_small_batches
 from triflux.functions.scratch import keep_table
 from triflux.llm import langid, mixing, near_dup, packing, secret_scan
 
@@ -18,16 +19,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that was learned; those without letters go."""
+    in_small_batches(spark)
     return langid.accepted(docs, langid.learn_all(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by shingles of five words."""
+    in_small_batches(spark)
     return near_dup.deduplicated(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with placeholders for secrets."""
+    in_small_batches(spark)
     return secret_scan.redacted(docs)
 
 
@@ -38,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of the documents' pieces in sequences of 4096 tokens."""
+    in_small_batches(spark)
     return packing.pack(docs)[1]
 
 
