@@ -43,14 +43,25 @@ def clear_scratch(spark: SparkSession) -> None:
         Folder(spark, parent).remove(name)
 
 
-def keep_table(frame: DataFrame, name: str) -> DataFrame:
+#: For rows of about a megabyte. A page otherwise has 100 rows at least and is compressed at
+#: once outside the heap; readers hold all rows of a row group.
+LONG_ROWS = {
+    "parquet.page.size.row.check.min": "1",
+    "parquet.page.size.row.check.max": "1",
+    "parquet.block.size.row.check.min": "1",
+    "parquet.block.size.row.check.max": "1",
+    "parquet.block.size": str(16 << 20),
+}
+
+
+def keep_table(frame: DataFrame, name: str, long_rows: bool = False) -> DataFrame:
     """Write a DataFrame once, below ``spark.checkpoint.dir``, and return the table.
 
     For data that several jobs use. The table outlives executors, and a join of
     it with itself shuffles it once, which it does not do for a cached DataFrame.
     """
     path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.options(**(LONG_ROWS if long_rows else {})).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

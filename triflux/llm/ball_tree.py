@@ -2,13 +2,12 @@
 
 A node's ball, a centre and a radius, bounds the inner product of a query with
 any vector in it: that with the centre plus the query's norm times the radius.
-Nodes wait in the order of their bounds; those below the k-th score known so far,
-here or in another tree, are not opened.
+Leaves wait in the order of their bounds; for queries whose k-th score known so far,
+here or in another tree, is beyond a leaf's bound, it is not opened.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +15,8 @@ import numpy as np
 LEAF = 64
 #: Bounds are floating-point numbers; this share of their terms covers rounding.
 SLACK = 1e-9
+#: No score is known yet.
+UNKNOWN = np.iinfo(np.int64).min
 
 
 @dataclass
@@ -86,42 +87,70 @@ class BallTree:
     def search(
         self, query: np.ndarray, own_id: int, bounds: np.ndarray, k: int, least: int | None
     ) -> list[tuple[int, int]]:
-        """Up to k pairs ``(score, id)`` among vectors with other ids, best first.
+        """Up to k pairs ``(score, id)`` among vectors with other ids, best first: see ``search_all``."""
+        floor = None if least is None else np.array([least])
+        found = self.search_all(query[None], np.array([own_id]), bounds[None], k, floor)
+        return list(zip(found[1].tolist(), found[2].tolist(), strict=True))
 
-        Ties go to the smaller id. Scores below ``least``, the k-th known from
-        elsewhere, are left out. ``bounds`` is the query's row of bounds.
+    def search_all(
+        self,
+        queries: np.ndarray,
+        own_ids: np.ndarray,
+        bounds: np.ndarray,
+        k: int,
+        least: np.ndarray | None = None,
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(at, score, id)``: for each query up to k vectors with other ids, best first.
+
+        Ties go to the smaller id. Scores below ``least``, the k-th known from elsewhere
+        (``UNKNOWN`` if none is), are left out. ``bounds`` has a row for each query.
+        Leaves come in the order of their bounds; one is opened for all queries that it
+        may still have something for, by one product of matrices.
         """
-        exact = self.vectors if self._needs_integers(query) else self.vectors.astype(np.float64)
-        point = query if exact is self.vectors else query.astype(np.float64)
-        best: list[tuple[int, int]] = []
-        floor = -np.inf if least is None else least
-        waiting = [(-bounds[0], 0)]
-        while waiting:
-            bound, node = heapq.heappop(waiting)
-            if -bound < floor:
-                break
-            begin, end, child = self.spans[node].tolist()
-            if child:
-                for x in (child, child + 1):
-                    if bounds[x] >= floor:
-                        heapq.heappush(waiting, (-bounds[x], x))
+        whole = self._needs_integers(queries)
+        vectors = self.vectors if whole else self.vectors.astype(np.float64)
+        points = queries if whole else queries.astype(np.float64)
+        floor = np.full(len(queries), UNKNOWN) if least is None else least.astype(np.int64)
+        reach = np.ascontiguousarray(bounds.T)
+        for node in np.flatnonzero(self.spans[:, 2]).tolist():  # parents come before children
+            child = self.spans[node, 2]
+            np.minimum(reach[child : child + 2], reach[node], out=reach[child : child + 2])
+        leaves = np.flatnonzero(self.spans[:, 2] == 0)
+        first = leaves[np.argsort(-reach[leaves].max(axis=1, initial=-np.inf), kind="stable")]
+        best = (np.empty(0, np.int64),) * 3
+        more, waiting = [], 0
+        for leaf in first.tolist():
+            open_ = np.flatnonzero(reach[leaf] >= floor)
+            if not len(open_):
                 continue
-            scores = exact[begin:end] @ point
-            ids = self.ids[begin:end]
-            for i in np.flatnonzero((scores >= floor) & (ids != own_id)).tolist():
-                found = (int(scores[i]), -int(ids[i]))
-                if len(best) < k:
-                    heapq.heappush(best, found)
-                elif found > best[0]:
-                    heapq.heapreplace(best, found)
-            if len(best) == k:
-                floor = max(floor, best[0][0])
-        return [(score, -x) for score, x in sorted(best, reverse=True)]
+            begin, end, _ = self.spans[leaf].tolist()
+            scores = (points if len(open_) == len(points) else points[open_]) @ vectors[begin:end].T
+            row, column = np.nonzero(scores >= floor[open_, None])
+            at, ids = open_[row], self.ids[begin:end][column]
+            other = ids != own_ids[at]
+            more.append((at[other], scores[row, column][other].astype(np.int64), ids[other]))
+            waiting += len(more[-1][0])
+            if 2 * waiting >= k * len(queries):
+                best, more, waiting = _best([best, *more], k, floor), [], 0
+        return _best([best, *more], k, floor)
 
     def _needs_integers(self, query: np.ndarray) -> bool:
         """Whether sums could leave the integers that floating point holds exactly."""
-        most = float(np.abs(query).max(initial=0)) * self._largest() * len(query)
+        most = float(np.abs(query).max(initial=0)) * self._largest() * query.shape[-1]
         return most >= 2.0**53
 
     def _largest(self) -> float:
         return float(np.abs(self.vectors).max(initial=0))
+
+
+def _best(
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, floor: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best ``(at, score, id)`` of each query, in order; raises ``floor`` to the k-th scores."""
+    at, score, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((ids, -score, at))
+    rank = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+    order, rank = order[rank < k], rank[rank < k]
+    last = order[rank == k - 1]
+    floor[at[last]] = np.maximum(floor[at[last]], score[last])
+    return at[order], score[order], ids[order]

@@ -1,9 +1,10 @@
 """Exact top-k inner products: ball trees over shards, searched by blocks of queries.
 
 Vectors are dealt evenly to shards of about ``SHARD`` rows, each with a ball tree
-of its own, and queries to blocks. A task searches one shard for one block. Rounds
-share the k-th scores: one shard, then a few, then all others, each with the best
-scores of the rounds before as a bound.
+of its own, and queries to blocks. Blocks are sent to stripes of shards, and a task
+searches the shards of a stripe for one block after the other. Rounds share the k-th
+scores: one shard, then a few, then all others, each with the best scores of the
+rounds before as a bound.
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triflux.functions.batches import in_small_batches
 from triflux.functions.scratch import keep_table
-from triflux.llm.ball_tree import BallTree
+from triflux.llm.ball_tree import UNKNOWN, BallTree
 
 K = 10
 EVERY = 100
 SCALE = 1024
 SHARD = 4096
-QUERIES = 512
+QUERIES = 2048
+#: The last round has about so many stripes before one gets several shards, and a stripe so many bytes of vectors.
+STRIPES = 64
+STRIPE_BYTES = 64 << 20
 #: The first shard of each round but the first round.
 ROUNDS = (1, 8)
 #: Components beyond this could give scores beyond 64 bits (with up to 2048 of them).
@@ -76,7 +81,7 @@ def build_shards(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
         return pa.table([*head, *columns], names=["dim", "shard", *_PARTS])
 
     schema = "dim int, shard int, " + ", ".join(f"{x} binary" for x in _PARTS)
-    return keep_table(dealt.groupBy("dim", "shard").applyInArrow(build, schema), "shards")
+    return keep_table(dealt.groupBy("dim", "shard").applyInArrow(build, schema), "shards", long_rows=True)
 
 
 def query_blocks(queries: DataFrame, block_rows: int = QUERIES) -> DataFrame:
@@ -93,14 +98,42 @@ def query_blocks(queries: DataFrame, block_rows: int = QUERIES) -> DataFrame:
     return keep_table(
         rows.select("dim", "block", F.col("q.vec_id").alias("ids"), F.col("q.v").alias("vs")),
         "blocks",
+        long_rows=True,
     )
 
 
-def _search(blocks: DataFrame, shards: DataFrame, k: int) -> DataFrame:
-    """The best of each shard for each query; blocks carry the scores to reach in ``least``."""
-    each = shards.groupBy("dim").agg(F.collect_set("shard").alias("own"))  # numbers only
-    sent = blocks.join(F.broadcast(each), "dim").withColumn("shard", F.explode("own")).drop("own")
-    both = sent.join(shards, ["dim", "shard"]).select(
+def _stripes(shards: DataFrame, low: int, high: int | None, shard_rows: int) -> DataFrame:
+    """``dim, width, first, last``: the numbers of the stripes of a round, a row per dimension.
+
+    A stripe has ``width`` shards: one, or in the last round as many as make a task's
+    share, so that blocks are sent to far fewer places than there are shards.
+    """
+    numbers = shards.groupBy("dim").agg(F.max("shard").alias("top")).where(F.col("top") >= low)
+    held = F.greatest(F.lit(1), F.floor(F.lit(STRIPE_BYTES) / (8 * shard_rows * F.greatest("dim", F.lit(1)))))
+    shared = F.greatest(F.lit(1), F.floor((F.col("top") + 1) / STRIPES))
+    width = F.lit(1) if high is not None else F.least(held, shared)
+    last = F.col("top") if high is None else F.least("top", F.lit(high - 1))
+    number = lambda x: F.floor(x / F.col("width")).cast("int")
+    return numbers.withColumn("width", width.cast("int")).select(
+        "dim", "width", number(F.lit(low)).alias("first"), number(last).alias("last")
+    )
+
+
+def _search(
+    blocks: DataFrame, shards: DataFrame, k: int, low: int, high: int | None, shard_rows: int = SHARD
+) -> DataFrame:
+    """The best of each shard from ``low`` to below ``high`` for each query.
+
+    Blocks carry the scores to reach in ``least``. What is broadcast has a row per
+    dimension; neither side of the join is, however small it seems.
+    """
+    stripes = F.broadcast(_stripes(shards, low, high, shard_rows))
+    own = shards.where(F.col("shard") >= low)
+    own = (own if high is None else own.where(F.col("shard") < high)).join(stripes, "dim")
+    own = own.select("dim", F.floor(F.col("shard") / F.col("width")).cast("int").alias("stripe"), *_PARTS)
+    numbers = F.explode(F.sequence("first", "last"))
+    sent = blocks.join(stripes, "dim").withColumn("stripe", numbers).drop("width", "first", "last")
+    both = sent.hint("merge").join(own, ["dim", "stripe"]).select(
         "dim", "block", "ids", "vs", "least", *_PARTS
     )
 
@@ -109,21 +142,17 @@ def _search(blocks: DataFrame, shards: DataFrame, k: int) -> DataFrame:
             for row in range(batch.num_rows):
                 one = {name: batch.column(i)[row] for i, name in enumerate(batch.schema.names)}
                 dim, block = one["dim"].as_py(), one["block"].as_py()
-                tree = BallTree.from_parts([one[x].as_py() for x in _PARTS], dim)
+                tree = BallTree.from_parts([one[x].as_buffer() for x in _PARTS], dim)
                 points = _matrix(one["vs"].values, dim)
-                ids, least = one["ids"].as_py(), {x["at"]: x["score"] for x in one["least"].as_py() or []}
-                bounds = tree.bounds(points)
-                found = [
-                    (dim, block, at, query_id, vec_id, score)
-                    for at, query_id in enumerate(ids)
-                    for score, vec_id in tree.search(
-                        points[at], query_id, bounds[at], k, least.get(at)
-                    )
-                ]
-                columns = zip(*found, strict=True) if found else [[]] * 6
-                kinds = [pa.int32()] * 3 + [pa.int64()] * 3
+                ids, least = one["ids"].values, np.full(len(points), UNKNOWN)
+                own_ids = np.array(ids.to_pylist(), object) if ids.null_count else ids.to_numpy()
+                if one["least"].is_valid:
+                    known = one["least"].values
+                    least[known.field("at").to_numpy()] = known.field("score").to_numpy()
+                at, score, vec_ids = tree.search_all(points, own_ids, tree.bounds(points), k, least)
+                same = [np.full(len(at), x, np.int32) for x in (dim, block)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)],
+                    [*(pa.array(x) for x in (*same, at.astype(np.int32))), ids.take(pa.array(at)), pa.array(vec_ids), pa.array(score)],
                     names=[x.split()[0] for x in FOUND.split(", ")],
                 )
 
@@ -145,22 +174,21 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     different vectors under one id each. With fewer than k candidates all are
     returned; empty tables give an empty result. Other columns are ignored.
     """
+    in_small_batches(candidates.sparkSession)  # a row has a block and a shard
     shards = build_shards(integer_vectors(candidates))
     blocks = query_blocks(integer_vectors(queries))
     found: DataFrame | None = None
     starts = [0, *ROUNDS]
     for low, high in zip(starts, [*ROUNDS, None], strict=True):
-        own = shards.where(F.col("shard") >= low)
-        own = own if high is None else own.where(F.col("shard") < high)
-        if low and own.select("shard").isEmpty():
+        if low and shards.where(F.col("shard") >= low).select("shard").isEmpty():
             break
         asked = blocks.withColumn("least", F.lit(None).cast("array<struct<at:int,score:long>>"))
         if found is not None:
             kth = found.where(F.col("rank") == k).groupBy("dim", "block").agg(
                 F.collect_list(F.struct("at", "score")).alias("least")
             )
-            asked = blocks.join(kth, ["dim", "block"], "left")
-        more = _search(asked, own, k)
+            asked = blocks.join(kth.hint("merge"), ["dim", "block"], "left")
+        more = _search(asked, shards, k, low, high)
         if found is not None:
             more = more.unionByName(found.drop("rank"))
         found = keep_table(_best(more, k), "found")
