@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,38 @@ def clear_scratch(spark: SparkSession) -> None:
         Folder(spark, parent).remove(name)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes one path that ``scratch_path`` gave, before ``clear_scratch``."""
+    _paths.remove(path)
+    parent, _, name = path.rpartition("/")
+    Folder(spark, parent).remove(name)
+
+
+def remove_table(frame: DataFrame) -> None:
+    """Removes the files of a table of ``keep_table`` that nothing will read any more."""
+    spark = frame.sparkSession
+    folders = {qualified(spark, x.rpartition("/")[0]) for x in frame.inputFiles()}
+    for path in folders & set(_paths):
+        remove_path(spark, path)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside remove their shuffle files when they end, not when the driver collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 #: For rows of about a megabyte. A page otherwise has 100 rows at least and is compressed at
 #: once outside the heap; readers hold all rows of a row group.
 LONG_ROWS = {

@@ -21,6 +21,7 @@ What keeps hot vertices apart
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triflux.functions.checks import checked
-from triflux.functions.scratch import keep_bucketed
+from triflux.functions.scratch import keep_bucketed, keep_table, remove_table, shuffles_removed
 
 # Arrays received per (vertex, salt).
 SALT_ROWS = 65_536
@@ -39,6 +40,13 @@ SEND_BLOCK = 8_192
 # Degrees are broadcast for at most max(HUB_ROWS, sqrt(2m)) vertices.
 HUB_ROWS = 1_000_000
 
+# Array elements that one share of a bounded layout sends: so many for each edge, or so many in all.
+SHARE_PER_EDGE = 6
+SHARE_LEAST = 16_000_000
+
+# Share k of n, as (k, n).
+Share = tuple[int, int]
+
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
     """Each undirected edge once as ``u < v``; self-loops and NULL ends are dropped."""
@@ -81,15 +89,18 @@ def is_hub(known: DataFrame, rows: int = HUB_ROWS) -> Column:
     return F.col("d") > F.least(ends / F.lit(float(rows)), F.sqrt(ends))
 
 
-def orient(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
+def orient(
+    edges: DataFrame, hub_rows: int = HUB_ROWS, known: DataFrame | None = None, stepwise: bool = False
+) -> DataFrame:
     """Canonical edges as ``(src, dst, src_d, dst_d)`` with src first in the degree order.
 
     Every vertex has its degree. Those of hubs come by broadcast, as their table
     has a proven bound. The others come by two shuffle joins, in which a vertex
     that is not a hub has at most sqrt(2m) rows; rows of hubs, which find nothing
-    there, are spread by their other end.
+    there, are spread by their other end. ``known`` has the ``degrees`` if they are
+    known; ``stepwise`` writes what the first shuffle join gives, which the caller removes.
     """
-    known = degrees(edges)
+    known = degrees(edges) if known is None else known
     hub = is_hub(known, hub_rows)
     # Set apart first, so that the broadcast does not wait for the aggregation.
     hubs = known.where(hub).hint("rebalance")
@@ -103,6 +114,8 @@ def orient(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
         )
         own = rest.selectExpr("x as key", "false as done", f"d as r{end}")
         ends = keyed.join(own, ["key", "done"], "left").drop("key", "done")
+        if stepwise and end == "u":
+            ends = keep_table(ends, "ends")
     # u < v already holds, so on equal degrees u comes first.
     known = ends.selectExpr("u", "v", "coalesce(hu, ru) as du", "coalesce(hv, rv) as dv")
     return known.selectExpr(
@@ -115,26 +128,60 @@ def orient(edges: DataFrame, hub_rows: int = HUB_ROWS) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """Oriented edges in buckets by ``src``, for any number of runs."""
+    """Oriented edges in buckets by ``src``, for any number of runs.
+
+    With ``shares`` each count runs at once, so many shares of the vertices one after
+    the other, and a share's shuffle files go when it has been counted.
+    """
 
     oriented: DataFrame
+    shares: int | None = None
 
 
-def lay_out(edges: DataFrame) -> Layout:
+def lay_out(edges: DataFrame, bounded: bool = False, last_use: bool = False) -> Layout:
     """Makes edges canonical, orients them and writes them, once for several runs.
 
     A run that starts from them has no degrees to find and shuffles no edge: out-arrays
-    are made where the edges lie, and only these are sent.
+    are made where the edges lie, and only these are sent. ``bounded`` keeps the files of
+    all this and of the counts in proportion to the edges: it goes step by step, each with
+    the files of the step before at most, and counts in shares. A vertex sends at most m
+    array elements in a graph of m edges, so no share has much more than its part. With
+    ``last_use`` a scratch table of edges goes as soon as it has been read.
     """
-    return Layout(keep_bucketed(orient(canonical_edges(edges)), "adjacency", "src"))
+    if not bounded:
+        return Layout(keep_bucketed(orient(canonical_edges(edges)), "adjacency", "src"))
+    with shuffles_removed(edges.sparkSession):
+        canonical = keep_table(canonical_edges(edges), "canonical")
+        if last_use:
+            remove_table(edges)
+        known = keep_table(degrees(canonical), "degrees")
+        ends = orient(canonical, known=known, stepwise=True)
+        oriented = keep_table(ends, "oriented")
+        for frame in (canonical, known, ends):
+            remove_table(frame)
+        laid = keep_bucketed(oriented, "adjacency", "src")
+        remove_table(oriented)
+        sizes = laid.groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        row = sizes.agg(F.sum("n").alias("m"), F.sum(F.expr("n * (n - 1) / 2")).alias("sent")).first()
+    share = max(SHARE_LEAST, SHARE_PER_EDGE * (row.m or 0))
+    return Layout(laid, max(1, math.ceil((row.sent or 0) / share)))
+
+
+def _senders(out: DataFrame, share: Share | None) -> DataFrame:
+    """The out-arrays of a share of the vertices."""
+    return out if share is None else out.where(f"pmod(xxhash64(src, 1), {share[1]}) = {share[0]}")
 
 
 def closed_wedges(
-    oriented: DataFrame, keys: Sequence[str] = (), laid_out: bool = False
+    oriented: DataFrame,
+    keys: Sequence[str] = (),
+    laid_out: bool = False,
+    share: Share | None = None,
 ) -> DataFrame:
     """Rows ``(*keys, src, mid, last)``: all third vertices of the triangles on src -> mid.
 
     Edges are matched within equal ``keys`` only. ``laid_out`` edges lie by ``src`` already.
+    With a ``share`` only its part of the first vertices.
     """
     known = oriented.where("src is not null")
     # Shuffled once, as plain rows, and read by both sides of the join.
@@ -148,9 +195,10 @@ def closed_wedges(
     # out-neighbours and has the part of the array from its first one on.
     blocks = f"sequence(0, cast((size(ids) - 2) div {SEND_BLOCK} as int))"
     begin = f"k * {SEND_BLOCK} + 1"
-    short = out.where(f"size(ids) between 2 and {SEND_BLOCK}").selectExpr(*keys, "src", "ids", "ds")
+    first = _senders(out, share)
+    short = first.where(f"size(ids) between 2 and {SEND_BLOCK}").selectExpr(*keys, "src", "ids", "ds")
     long = (
-        out.where(f"size(ids) > {SEND_BLOCK}")
+        first.where(f"size(ids) > {SEND_BLOCK}")
         .selectExpr(*keys, "src", "ids", "ds", f"explode({blocks}) as k")
         .selectExpr(
             *keys,
@@ -175,6 +223,8 @@ def closed_wedges(
             "slice(ids, i + 2, size(ids)) as later",
         )
     )
+    if laid_out:  # nothing is shuffled that both sides could share, and the order of these is not needed
+        out = dealt.groupBy(*keys, "src", F.col("src_d").alias("d")).agg(F.collect_list("dst").alias("ids"))
     kept = out.selectExpr(
         *keys, "src as mid", f"explode(sequence(0L, d div {SALT_ROWS})) as salt", "ids"
     )
@@ -197,7 +247,11 @@ def _intersected(sent: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
 
 
 def closed_wedges_by_class(
-    oriented: DataFrame, classes: Sequence[Column], within: bool = False, laid_out: bool = False
+    oriented: DataFrame,
+    classes: Sequence[Column],
+    within: bool = False,
+    laid_out: bool = False,
+    share: Share | None = None,
 ) -> DataFrame:
     """Rows ``(src, mid, c, last)``: the third vertices that both ends of src -> mid reach by class ``c``.
 
@@ -207,7 +261,7 @@ def closed_wedges_by_class(
     part of every one of them. How many of a class come before an out-neighbour is
     counted once, in the order of its edges, so that part is a slice and no element is
     looked at. The parts go as one row an edge: what classes have in common lies side
-    by side, where a shuffle file's compression finds it.
+    by side, where a shuffle file's compression finds it. ``share`` as in ``closed_wedges``.
     """
     numbers = range(len(classes))
     order = Window.partitionBy("src").orderBy("dst_d", "dst")
@@ -228,9 +282,10 @@ def closed_wedges_by_class(
         .select("src", "d", "mids", F.array(*[F.col(f"own{k}.dst") for k in numbers]).alias("own"))
     )
     blocks = f"explode(sequence(0, cast((size(mids) - 1) div {SEND_BLOCK} as int))) as k"
-    short = out.where(f"size(mids) between 2 and {SEND_BLOCK}").select("src", "mids", "own")
+    first = _senders(out, share)
+    short = first.where(f"size(mids) between 2 and {SEND_BLOCK}").select("src", "mids", "own")
     long = (
-        out.where(f"size(mids) > {SEND_BLOCK}")
+        first.where(f"size(mids) > {SEND_BLOCK}")
         .selectExpr("src", "mids", "own", blocks)
         .selectExpr("src", f"slice(mids, k * {SEND_BLOCK} + 1, {SEND_BLOCK}) as mids", "own", "k")
         .repartition("src", "k")
@@ -252,6 +307,9 @@ def closed_wedges_by_class(
             f"array({', '.join(parts)}) as later",
         )
     )
+    if laid_out:  # as in closed_wedges
+        own = F.array(*[F.collect_list(F.when(F.col("of")[k], F.col("dst"))) for k in numbers])
+        out = dealt.groupBy("src", F.col("src_d").alias("d")).agg(own.alias("own"))
     kept = out.selectExpr(
         "src as mid", f"explode(sequence(0L, d div {SALT_ROWS})) as salt", "own as ids"
     )
@@ -263,18 +321,25 @@ def closed_wedges_by_class(
 
 
 def closed_wedges_by_colour(
-    oriented: DataFrame, colour: Callable[[Column], Column], colours: int, laid_out: bool = False
+    oriented: DataFrame,
+    colour: Callable[[Column], Column],
+    colours: int,
+    laid_out: bool = False,
+    share: Share | None = None,
 ) -> DataFrame:
     """Rows ``(src, mid, c, last)``: the third vertices of colour ``c`` of the triangles on src -> mid."""
     classes = [colour(F.col("dst")) == c for c in range(colours)]
-    return closed_wedges_by_class(oriented, classes, laid_out=laid_out)
+    return closed_wedges_by_class(oriented, classes, laid_out=laid_out, share=share)
 
 
 def triangles_closed(
-    oriented: DataFrame, keys: Sequence[str] = (), laid_out: bool = False
+    oriented: DataFrame,
+    keys: Sequence[str] = (),
+    laid_out: bool = False,
+    share: Share | None = None,
 ) -> DataFrame:
     """Rows ``(*keys, triangles)`` that sum up to the triangles of each key."""
-    closed = closed_wedges(oriented, keys, laid_out)
+    closed = closed_wedges(oriented, keys, laid_out, share)
     return closed.selectExpr(*keys, "cast(size(last) as bigint) as triangles")
 
 

@@ -6,7 +6,7 @@ copies and self-loops. All runs of an estimator are one Spark job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -21,8 +21,10 @@ from triflux.functions.hashing import (
     check_positive,
 )
 from triflux.functions.median import integer_median
+from triflux.functions.scratch import keep_table, shuffles_removed
 from triflux.operators.graph import (
     Layout,
+    Share,
     canonical_edges,
     closed_wedges_by_class,
     closed_wedges_by_colour,
@@ -42,10 +44,24 @@ def _oriented(edges: DataFrame | Layout) -> tuple[DataFrame, bool]:
     return orient(canonical_edges(edges)), False
 
 
+def _by_share(
+    edges: DataFrame | Layout, rows: Callable[[Share | None], DataFrame], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Rows ``(*keys, triangles)``: of all at once, or summed up for one share after the other."""
+    if not isinstance(edges, Layout) or edges.shares is None:
+        return rows(None)
+    sums = []
+    with shuffles_removed(edges.oriented.sparkSession):
+        for k in range(edges.shares):
+            one = rows((k, edges.shares)).groupBy(*keys).agg(total_triangles().alias("triangles"))
+            sums.append(keep_table(one, "counts"))
+    return reduce(DataFrame.unionByName, sums)
+
+
 def count_exact(edges: DataFrame | Layout) -> DataFrame:
     """One row ``triangles``."""
     oriented, laid_out = _oriented(edges)
-    closed = triangles_closed(oriented, laid_out=laid_out)
+    closed = _by_share(edges, lambda x: triangles_closed(oriented, laid_out=laid_out, share=x))
     return closed.agg(total_triangles().alias("triangles"))
 
 
@@ -84,10 +100,14 @@ def _coloured_triangles(
         edges = edges.where(reduce(or_, any_run))
     oriented, laid_out = _oriented(edges)
     same = [_same_colour(colours, a, b, p, "src", "dst") for a, b in runs]
-    closed = closed_wedges_by_class(oriented, same, within=True, laid_out=laid_out)
     shared = F.array(*[bucket_hash(F.col("src"), a, b, colours, p) for a, b in runs])
     triangles = F.size("last").cast("bigint").alias("triangles")
-    return closed.select(F.col("c").alias("run"), shared[F.col("c")].alias("colour"), triangles)
+
+    def rows(share: Share | None) -> DataFrame:
+        closed = closed_wedges_by_class(oriented, same, True, laid_out, share)
+        return closed.select(F.col("c").alias("run"), shared[F.col("c")].alias("colour"), triangles)
+
+    return _by_share(edges, rows, ("run", "colour"))
 
 
 def _summed(rows: DataFrame, key: str, values: int) -> DataFrame:
@@ -157,7 +177,9 @@ def estimate_by_partitions(
     ends = (F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
     oriented, laid_out = _oriented(edges)
     keyed = oriented.select("*", *ends).withColumn("part", part).drop("u", "v")
-    closed = triangles_closed(keyed, ("part",), laid_out)
+    closed = _by_share(
+        edges, lambda x: triangles_closed(keyed, ("part",), laid_out, x).select("triangles")
+    )
     return closed.agg(_scaled(parts, total_triangles()).alias("estimate"))
 
 
@@ -198,12 +220,16 @@ def _triangles_in_own_triplet(
         return bucket_hash(x, a, b, colours, p)
 
     oriented, laid_out = _oriented(edges)
-    closed = closed_wedges_by_colour(oriented, colour, colours, laid_out)
     key = F.array_sort(F.array(colour(F.col("src")), colour(F.col("mid")), F.col("c").cast("bigint")))
     triangles = F.size("last").cast("bigint").alias("triangles")
-    return closed.select(key.alias("k"), triangles).select(
-        *[F.element_at("k", i + 1).alias(k) for i, k in enumerate(TRIPLET)], "triangles"
-    )
+
+    def rows(share: Share | None) -> DataFrame:
+        closed = closed_wedges_by_colour(oriented, colour, colours, laid_out, share)
+        return closed.select(key.alias("k"), triangles).select(
+            *[F.element_at("k", i + 1).alias(k) for i, k in enumerate(TRIPLET)], "triangles"
+        )
+
+    return _by_share(edges, rows, TRIPLET)
 
 
 def triangles_per_triplet(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triflux.functions.hashing import SketchParams
-from triflux.functions.scratch import scratch_path
+from triflux.functions.scratch import remove_path, scratch_path
 from triflux.operators import graph, histogram, sketch, triangles
 from triflux.plans.jobs import METHODS, count_triangles, report_on_counts, report_on_items
 from triflux.sources.edges import EdgeText, edges_from, read_edge_text, read_edge_text_lenient
@@ -160,8 +160,11 @@ def _by_method(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "edges")
     lines = _edges(spark, sf).select(F.concat_ws(",", "u", "v").alias("value"))
     lines.write.text(path)
-    # All methods start from one layout; each by itself would find the degrees again.
-    layout = graph.lay_out(read_edge_text(spark, path, keep=True))
+    edges = read_edge_text(spark, path, keep=True)
+    remove_path(spark, path)
+    # All methods start from one layout; each by itself would find the degrees again. They
+    # count one after the other, so that their shuffle files are never there together.
+    layout = graph.lay_out(edges, bounded=True, last_use=True)
     colours = {"exact": 1, "exact_triplet": COLOURS, "colour": 1, "partition": 1}
     counts = [
         count_triangles(layout, method, colours[method], runs=len(RUNS), seed=11).select(
