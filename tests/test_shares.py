@@ -18,7 +18,7 @@ CONF = scratch._CLEANUP
 def blocks(spark):
     """Files that shuffles have on disk now; they are removed in the background."""
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    return sum("shuffle_" in disk.getAllBlocks().apply(i).toString() for i in range(disk.getAllBlocks().size()))
+    return disk.getAllBlocks().mkString(" ").count("shuffle_")
 
 
 def random_edges(spark, n=60, m=700):
